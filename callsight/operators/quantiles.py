@@ -15,23 +15,16 @@ Sums and counts wanted beside the percentiles ride along in pass 1.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS_PER_E = 512
-_NO_BIN = -(2**62)
-
-
-def _bin(value: Column) -> Column:
-    """A whole number that never falls as the value rises."""
-    size = F.floor(F.least(F.log1p(F.abs(value)), F.lit(800.0)) * BINS_PER_E)
-    return F.coalesce(F.when(value < 0, -size).otherwise(size).cast("bigint"), F.lit(_NO_BIN))
-
-
-def _same(a: DataFrame, b: DataFrame, left: Sequence[str], right: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[l].eqNullSafe(b[r]) for l, r in zip(left, right)))
+# The bin of a value: a whole number that never falls as the value rises. Null has its own.
+BIN = """coalesce(
+    cast(if(_v < 0, -1, 1) * floor(least(log1p(abs(_v)), 800D) * 512) as bigint),
+    -4611686018427387904)"""
+# Whether a run of _c values, with _before values below it, holds a rank.
+HOLDS = "(_before <= {rank} and {rank} < _before + _c)"
 
 
 def exact_percentiles(
@@ -55,73 +48,56 @@ def exact_percentiles(
     """
     keys, sums = list(keys), sums or {}
     group = [f"_k{i}" for i in range(len(keys))]
-    src = df.withColumns({**{g: F.col(k) for g, k in zip(group, keys)}, "_v": F.col(value).cast("double")})
-    src = src.withColumn("_bin", _bin(F.col("_v")))
-
-    counts = src.groupBy(*group, "_bin").agg(
-        F.count("_v").alias("_n"), *[c.alias(f"_s{i}") for i, c in enumerate(sums.values())]
-    )
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns(
-        {
-            "_before": F.sum("_n").over(upto) - F.col("_n"),
-            "_total": F.sum("_n").over(whole),
-            **{f"_s{i}": F.sum(f"_s{i}").over(whole) for i in range(len(sums))},
-        }
-    )
-
-    def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("_total") - 1)
-
-    def holds(r: Column, n: str) -> Column:
-        return (F.col("_before") <= r) & (r < F.col("_before") + F.col(n))
-
-    wanted = reduce(
-        lambda a, b: a | b,
-        [holds(edge(rank(p)), "_n") for p in probs.values() for edge in (F.floor, F.ceil)],
-        F.col("_total") == 0,
-    )
     carried = [f"_s{i}" for i in range(len(sums))]
-    bins = placed.where(wanted).select(
-        *[F.col(g).alias(f"{g}_") for g in group], F.col("_bin").alias("_bin_"), "_before", "_total", *carried
+    src = df.select("*", *[F.col(k).alias(g) for g, k in zip(group, keys)], F.col(value).cast("double").alias("_v"))
+    src = src.withColumn("_bin", F.expr(BIN))
+
+    # Pass 1: where the ranks lie. _before is the number of values below a bin.
+    by, order = f"partition by {', '.join(group) or '1'}", "rows between unbounded preceding and current row"
+    placed = (
+        src.groupBy(*group, "_bin")
+        .agg(F.count("_v").alias("_c"), *[c.alias(s) for s, c in zip(carried, sums.values())])
+        .selectExpr(
+            *[f"{g} as {g}_" for g in group],
+            "_bin as _bin_",
+            "_c",
+            f"sum(_c) over ({by} order by _bin {order}) - _c as _before",
+            f"sum(_c) over ({by}) as _total",
+            *[f"sum({s}) over ({by}) as {s}" for s in carried],
+        )
     )
-
-    on_left, on_right = [*group, "_bin"], [*[f"{g}_" for g in group], "_bin_"]
+    ranks = {name: f"({p!r}D * (_total - 1))" for name, p in probs.items()}
+    ends = [f"{end}({rank})" for rank in ranks.values() for end in ("floor", "ceil")]
+    wanted = " or ".join(["_total = 0", *[HOLDS.format(rank=r) for r in ends]])
     facts = ["_bin_", "_before", "_total", *carried]
+    bins = placed.where(wanted).select(*[f"{g}_" for g in group], *facts)
+
+    # Pass 2: the values of those bins, equal ones counted.
+    same = " and ".join(f"{g} <=> {g}_" for g in [*group, "_bin"])
     if max_groups is None:
         values = src.groupBy(*group, "_bin", "_v").agg(F.count("_v").alias("_c"))
-        found = values.join(bins, _same(values, bins, on_left, on_right)).select(*group, *facts, "_v", "_c")
+        found = values.join(bins, F.expr(same))
     else:
-        values = src.select(*group, "_bin", "_v")
-        found = (
-            values.join(F.broadcast(bins), _same(values, bins, on_left, on_right))
-            .groupBy(*group, *facts, "_v")
-            .agg(F.count("_v").alias("_c"))
-        )
-
-    within = Window.partitionBy(*group, "_bin_").orderBy("_v")
-    found = found.withColumn(
-        "_before",
-        F.col("_before")
-        + F.sum("_c").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        - F.col("_c"),
+        values = src.select(*group, "_bin", "_v").join(F.broadcast(bins), F.expr(same))
+        found = values.groupBy(*group, *facts, "_v").agg(F.count("_v").alias("_c"))
+    within = f"partition by {', '.join([*group, '_bin_'])} order by _v {order}"
+    found = found.selectExpr(
+        *group, "_v", "_c", "_total", *carried, f"_before + sum(_c) over ({within}) - _c as _before"
     )
-    at = []
-    for i, p in enumerate(probs.values()):
-        for side, edge in (("lo", F.floor), ("hi", F.ceil)):
-            at.append(F.max(F.when(holds(edge(rank(p)), "_c"), F.col("_v"))).alias(f"_{side}{i}"))
-    ends = found.groupBy(*group).agg(F.max("_total").alias("_total"), *[F.max(c).alias(c) for c in carried], *at)
-
-    def between(i: int, p: float) -> Column:
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        share = rank(p) - F.floor(rank(p))
-        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share)
-
-    return ends.select(
-        *[F.col(g).alias(k) for g, k in zip(group, keys)],
-        *[F.col(f"_s{i}").alias(name) for i, name in enumerate(sums)],
-        *[between(i, p).alias(name) for i, (name, p) in enumerate(probs.items())],
+    at = [F.expr(f"max(case when {HOLDS.format(rank=r)} then _v end)").alias(f"_e{i}") for i, r in enumerate(ends)]
+    sums_again = [F.max(c).alias(c) for c in ["_total", *carried]]
+    between = [
+        f"if(_e{2 * i} = _e{2 * i + 1}, _e{2 * i}, _e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({r} - floor({r}))) as `{name}`"
+        for i, (name, r) in enumerate(ranks.items())
+    ]
+    return (
+        found.groupBy(*group)
+        .agg(*sums_again, *at)
+        .selectExpr(
+            *[f"{g} as `{k}`" for g, k in zip(group, keys)],
+            *[f"{s} as `{name}`" for s, name in zip(carried, sums)],
+            *between,
+        )
     )
 
 
