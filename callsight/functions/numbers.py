@@ -47,6 +47,10 @@ def severity(value: Column, limits: tuple[float, float]) -> Column:
     return F.when(value >= red, "red").when(value >= yellow, "yellow").when(value.isNotNull(), "green")
 
 
+def _formatted(col: Column, pattern: str) -> Column:
+    return F.call_function("format_number", col, F.lit(pattern))
+
+
 def human_number(col: Column) -> Column:
     """1234567 -> 1.2M, 3400 -> 3.4k, 12 -> 12 for a whole number.
 
@@ -56,7 +60,7 @@ def human_number(col: Column) -> Column:
 
     def short(unit: int, suffix: str) -> Column:
         nudge = F.when(F.pmod(col, F.lit(unit)) == unit // 4, 1).otherwise(0)
-        return F.concat(F.format_number((col + nudge) / F.lit(float(unit)), "0.0"), F.lit(suffix))
+        return F.concat(_formatted((col + nudge) / F.lit(float(unit)), "0.0"), F.lit(suffix))
 
     return (
         F.when(col >= 1_000_000, short(1_000_000, "M"))
@@ -66,7 +70,7 @@ def human_number(col: Column) -> Column:
 
 
 def money(col: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(zero_float(col), "0.0000"))
+    return F.concat(F.lit("$"), _formatted(zero_float(col), "0.0000"))
 
 
 def milliseconds_text(col: Column) -> Column:
@@ -75,4 +79,4 @@ def milliseconds_text(col: Column) -> Column:
 
 def percent_text(col: Column) -> Column:
     """A rate with 2 decimals at most, without trailing zeros, as in 0%, 2.5%, 12.34%."""
-    return F.concat(F.format_number(zero_float(col), "0.##"), F.lit("%"))
+    return F.concat(_formatted(zero_float(col), "0.##"), F.lit("%"))

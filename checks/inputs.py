@@ -251,7 +251,7 @@ DAMAGE = {
     1: """regexp_replace(body, '"model":"[^"]*",', '')""",
     2: """regexp_replace(body, '"status":"[a-z]+"', '"status":"weird"')""",
     3: """regexp_replace(body, '"latency_ms":[0-9.E-]+', '"latency_ms":null')""",
-    4: """regexp_replace(body, '"metadata":.k":[0-9]+.', '"metadata":[1]')""",
+    4: """regexp_replace(body, '"metadata":[^}]*[}]', '"metadata":[1]')""",
     5: """regexp_replace(body, '"provider":"[^"]*"', '"provider":5')""",
     6: """regexp_replace(body, '"prompt_tokens":([0-9]+)', '"prompt_tokens":" $1 "')""",
     7: """regexp_replace(body, '"prompt_tokens":([0-9]+)', '"prompt_tokens":$1.0')""",

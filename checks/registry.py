@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks import metrics_queries
+from checks import conversation_queries, metrics_queries, text_queries
 
-_PARTS = [metrics_queries]
+_PARTS = [metrics_queries, text_queries, conversation_queries]
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
