@@ -1,12 +1,14 @@
 """From raw JSON to valid events, dead letters and log rows.
 
-Raw text is parsed once into a VARIANT. Each field is then judged by the kind of JSON
-value it holds, with the lenient rules of the event contract: numbers may come as
-text, whole floats count as integers, times may be ISO text or epoch numbers.
+Each field is judged by the kind of JSON value it holds, with the lenient rules of the
+event contract: numbers may come as text, whole floats count as integers, times may be
+ISO text or epoch numbers. A record is parsed twice by the built-in parser, once for the
+texts of its fields and once for their kinds; casting texts is far cheaper than casting
+VARIANT values.
 
 Stricter than the contract, on purpose: token counts outside 0 ... 2^32-1, numbers that
-are not finite, duplicate keys and the NaN literal make a record a dead letter, as the
-log table could not hold them or the JSON is ambiguous.
+are not finite and repeated keys within `metadata` make a record a dead letter, as the
+log table could not hold them or they are ambiguous.
 """
 
 from __future__ import annotations
@@ -65,6 +67,9 @@ NO = ("0", "off", "f", "false", "n", "no")
 # Epoch numbers above this are milliseconds, others seconds.
 EPOCH_SECONDS_LIMIT = "2e10"
 
+# Standard JSON only.
+_PARSER = "map('allowSingleQuotes', 'false')"
+
 _DECIMAL = r"'^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$'"
 _INTEGER = r"'^\\s*[+-]?[0-9]+([.]0+)?\\s*$'"
 _ISO = (
@@ -77,43 +82,38 @@ def _words(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def _typed(kind: str, v: str, k: str) -> str:
-    """SQL for the value of a field, null when it does not fit. `v` is the field's
-    variant and `k` the name of its JSON kind."""
-    string = f"variant_get({v}, '$', 'string')"
-    double = f"try_variant_get({v}, '$', 'double')"
-    digits = f"regexp_replace({string}, '(?<=[0-9])_(?=[0-9])', '')"
+def _typed(kind: str, s: str, k: str) -> str:
+    """SQL for the value of a field, null when it does not fit. `s` is the field's text
+    and `k` the kind of its JSON value."""
     is_text, is_bool = f"{k} = 'STRING'", f"{k} = 'BOOLEAN'"
-    is_number = f"({k} in ('BIGINT', 'DOUBLE', 'FLOAT') or {k} like 'DECIMAL%')"
-    truth = f"variant_get({v}, '$', 'boolean')"
+    is_number = f"({k} in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith({k}, 'DECIMAL'))"
+    double = f"try_cast(trim({s}) as double)"
     if kind == "text":
-        return f"case when {is_text} then {string} end"
+        return f"if({is_text}, {s}, null)"
     if kind == "status":
-        return f"case when {is_text} and {string} in ({_words(CALL_STATUSES)}) then {string} end"
+        return f"if({is_text} and {s} in ({_words(CALL_STATUSES)}), {s}, null)"
     if kind == "number":
-        number = f"""case when {is_number} then {double}
-            when {is_bool} then if({truth}, 1D, 0D)
+        digits = f"regexp_replace({s}, '(?<=[0-9])_(?=[0-9])', '')"
+        return f"""case when {is_number} and {s} rlike {_DECIMAL} then {double}
+            when {is_bool} then if({s} = 'true', 1D, 0D)
             when {is_text} and {digits} rlike {_DECIMAL} then try_cast(trim({digits}) as double) end"""
-        return f"nullif(nullif({number}, double('Infinity')), double('-Infinity'))"
     if kind == "count":
-        number = f"""case when {k} = 'BIGINT' then try_variant_get({v}, '$', 'bigint')
+        digits = f"regexp_replace({s}, '(?<=[0-9])_(?=[0-9])', '')"
+        return f"""case when {k} = 'BIGINT' then try_cast({s} as bigint)
             when {is_number} and {double} = floor({double}) then try_cast({double} as bigint)
-            when {is_bool} then if({truth}, 1L, 0L)
+            when {is_bool} then if({s} = 'true', 1L, 0L)
             when {is_text} and {digits} rlike {_INTEGER}
               then try_cast(split_part(trim({digits}), '.', 1) as bigint) end"""
-        return f"case when ({number}) between 0 and {MAX_TOKENS} then ({number}) end"
     if kind == "flag":
-        return f"""case when {is_bool} then {truth}
+        return f"""case when {is_bool} then {s} = 'true'
             when {is_number} and {double} in (0D, 1D) then {double} = 1D
-            when {is_text} and lower({string}) in ({_words(YES)}) then true
-            when {is_text} and lower({string}) in ({_words(NO)}) then false end"""
+            when {is_text} and lower({s}) in ({_words(YES)}) then true
+            when {is_text} and lower({s}) in ({_words(NO)}) then false end"""
     if kind == "time":
-        return f"""case when {is_number} then {_epoch(double)}
-            when {is_text} and {string} rlike {_DECIMAL} then {_epoch(f"try_cast(trim({string}) as double)")}
-            when {is_text} and {string} rlike {_ISO}
-              then try_cast(translate(upper({string}), '_,', ' .') as timestamp) end"""
+        return f"""case when ({is_number} or {is_text}) and {s} rlike {_DECIMAL} then {_epoch(double)}
+            when {is_text} and {s} rlike {_ISO} then try_cast(translate(upper({s}), '_,', ' .') as timestamp) end"""
     if kind == "object":
-        return f"case when {k} like 'OBJECT%' then to_json({v}) end"
+        return f"if(startswith({k}, 'OBJECT'), {s}, null)"
     raise ValueError(kind)
 
 
@@ -122,32 +122,48 @@ def _epoch(number: str) -> str:
     return f"timestamp_micros(try_cast(round({seconds} * 1000000) as bigint))"
 
 
-def _parts(doc: str) -> list[str]:
-    """Each field's variant and kind, from the document's variant."""
-    out = []
-    for name in FIELDS:
-        field = f"try_variant_get({doc}, '$.{name}', 'variant')"
-        out += [f"{field} as v_{name}", f"schema_of_variant({field}) as k_{name}"]
-    return out
+def _parse(value: str) -> str:
+    """SQL for a record's fields, twice: their texts and their JSON values.
+
+    The parser ignores what follows the first value. The record is parsed once as the
+    only element of a list and once as the only field of an object: text after the
+    record's end can look like the end of one of the two, not of both.
+    """
+    texts, values = (", ".join(f"{n}: {t}" for n in FIELDS) for t in ("string", "variant"))
+    listed = f"from_json(concat('[', {value}, ']'), 'array<struct<{texts}>>', {_PARSER})"
+    nested = f"from_json(concat('{{\"r\":', {value}, '}}'), 'r struct<{values}>', {_PARSER}).r"
+    return f"struct({listed} as listed, {nested} as nested)"
+
+
+def _fields(at: str) -> str:
+    """SQL for the texts (`s`) and kinds (`k`) of a parsed record's fields, null where a
+    field is missing; `n` is the number of records found."""
+    kinds = ", ".join(f"schema_of_variant({at}.nested.{n}) as {n}" for n in FIELDS)
+    return f"""named_struct('n', if({at}.nested is not null, size({at}.listed), 0),
+        's', get({at}.listed, 0), 'k', struct({kinds}))"""
 
 
 def _event(at: str) -> str:
-    """SQL for the event struct. `at` prefixes the columns that `_parts` made."""
-    return f"struct({', '.join(f'{_typed(kind, f"{at}v_{n}", f"{at}k_{n}")} as {n}' for n, kind in FIELDS.items())})"
+    """SQL for the event struct, from a record's fields."""
+    values = (f"{_typed(kind, f'{at}.s.{n}', f'{at}.k.{n}')} as {n}" for n, kind in FIELDS.items())
+    return f"struct({', '.join(values)})"
 
 
 def _reasons(event: str, at: str) -> str:
     """SQL for the names of the bad fields of an event: required but without a value, or
     there but without one that fits."""
     bad = []
-    for name in FIELDS:
-        wrong = f"{event}.{name} is null"
+    for name, kind in FIELDS.items():
+        misfit = f"{event}.{name} is null"
+        if kind == "count":
+            misfit = f"not coalesce({event}.{name} between 0 and {MAX_TOKENS}, false)"
         if name in NULLABLE:
-            wrong += f" and {at}k_{name} <> 'VOID'"
+            misfit += f" and {at}.s.{name} is not null"
         elif name not in REQUIRED:
-            wrong += f" and {at}k_{name} is not null"
-        bad.append(f"if({wrong}, '{name}', null)")
-    return f"array_compact(array({', '.join(bad)}))"
+            misfit += f" and ({at}.k.{name} is not null or {at}.s.{name} is not null)"
+        bad.append(f"if({misfit}, '{name}', null)")
+    is_record = f"coalesce({at}.n = 1 and {at}.s is not null, false)"
+    return f"if({is_record}, array_compact(array({', '.join(bad)})), array('json'))"
 
 
 def _once(df: DataFrame, name: str, expr: str) -> DataFrame:
@@ -159,10 +175,9 @@ def _once(df: DataFrame, name: str, expr: str) -> DataFrame:
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
     """Adds `event` (typed fields, nulls where missing) and `reasons` (names of the bad
     fields, or `json` when the text is no JSON object). No reasons means valid."""
-    docs = _once(df, "_doc", f"try_parse_json({col})")
-    parts = _once(docs, "_p", f"struct(schema_of_variant(_doc) as kind, {', '.join(_parts('_doc'))})")
-    reasons = f"if(startswith(_p.kind, 'OBJECT'), {_reasons('event', '_p.')}, array('json'))"
-    return _once(parts, "event", _event("_p.")).withColumn("reasons", F.expr(reasons)).drop("_doc", "_p")
+    docs = _once(df, "_doc", _parse(col))
+    fields = _once(docs, "_f", _fields("_doc"))
+    return _once(fields, "event", _event("_f")).withColumn("reasons", F.expr(_reasons("event", "_f"))).drop("_doc", "_f")
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,32 +229,32 @@ def to_log_row(events: DataFrame) -> DataFrame:
 
 
 def judge_batches(df: DataFrame, col: str = "value") -> DataFrame:
-    """Client batches `{"events": [...]}`: adds `events` (the variants), `accepted` (all
-    of them valid, else nothing of the batch passes) and `n_events`. Row by row, so it
-    also works on a stream."""
-    parts = f"transform(events, e -> named_struct('kind', schema_of_variant(e), {_named(_parts('e'))}))"
-    typed = f"transform({parts}, p -> struct(p as p, {_event('p.')} as event))"
-    valid = f"forall({typed}, x -> startswith(x.p.kind, 'OBJECT') and size({_reasons('x.event', 'x.p.')}) = 0)"
+    """Client batches `{"events": [...]}`: adds `events` (their JSON texts), `accepted`
+    (all of them valid, else nothing of the batch passes) and `n_events`. Row by row, so
+    it also works on a stream."""
+    objects = f"from_json(concat('{{\"r\":', {col}, '}}'), 'r struct<events: array<variant>>', {_PARSER}).r.events"
+    listed = f"from_json(concat('[', {col}, ']'), 'array<struct<events: array<string>>>', {_PARSER})"
+    fields = f"transform(transform(events, e -> {_parse('e')}), d -> {_fields('d')})"
+    typed = f"transform({fields}, f -> struct(f as f, {_event('f')} as event))"
+    valid = f"forall({typed}, x -> size({_reasons('x.event', 'x.f')}) = 0)"
+    batches = _once(df, "_b", f"struct({listed} as listed, {objects} as objects)")
+    batches = _once(batches, "events", "if(size(_b.listed) = 1, get(_b.listed, 0).events, null)")
+    whole = "forall(_b.objects, o -> startswith(schema_of_variant(o), 'OBJECT'))"
+    accepted = f"coalesce(size(events) = size(_b.objects) and {whole} and {valid}, false)"
     return (
-        df.withColumn("events", F.expr(f"try_variant_get(try_parse_json({col}), '$.events', 'array<variant>')"))
-        .withColumn("accepted", F.expr(f"coalesce({valid}, false)"))
-        .withColumn("n_events", F.coalesce(F.size("events"), F.lit(0)))
+        _once(batches, "accepted", accepted)
+        .withColumn("n_events", F.coalesce(F.nullif(F.size("events"), F.lit(-1)), F.lit(0)))
+        .drop("_b")
     )
 
 
-def _named(parts: list[str]) -> str:
-    return ", ".join(f"'{p.rsplit(' as ', 1)[1]}', {p.rsplit(' as ', 1)[0]}" for p in parts)
-
-
 def split_batches(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused)."""
-    return (judged.where("accepted"), judged.where("not accepted"))
+    return judged.where("accepted"), judged.where("not accepted")
 
 
 def explode_batches(df: DataFrame, col: str = "value") -> DataFrame:
     """One row per event of the accepted batches, with its place and its JSON text."""
     accepted, _ = split_batches(judge_batches(df, col))
     keep = [c for c in df.columns if c != col]
-    return accepted.select(*keep, F.posexplode("events").alias("position", "_e")).select(
-        *keep, "position", F.to_json("_e").alias(col)
-    )
+    return accepted.select(*keep, F.posexplode("events").alias("position", col))
