@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from callsight.functions import text
 from callsight.functions.redaction import CLIENT_RULES
 from callsight.operators import calls as ops
-from callsight.session import scratch_path
 from callsight.streaming import live
 from checks import inputs
-from checks.ingest_queries import run_to_table
+from checks.ingest_queries import run_to_table, stream_by_time
 from checks.metrics_queries import times_as_text
 from checks.sql import EVENTS, MESSAGES, iso, model_of
 from checks.text_queries import scrubbed
@@ -51,10 +50,7 @@ register(
 
 
 def live_assembly(spark, sf_dir):
-    path = scratch_path(spark, "chunks")
-    chunks = inputs.chunks(spark, sf_dir)
-    chunks.repartitionByRange(4, "ts").write.parquet(path)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = stream_by_time(spark, inputs.chunks(spark, sf_dir), "ts")
     return flat(run_to_table(live.assemble_stream_live(stream, "10 minutes", "1 hour"), spark))
 
 

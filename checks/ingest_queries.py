@@ -208,14 +208,21 @@ register(
 )
 
 
-def log_stream(spark, sf_dir):
-    """The log rows as a stream of day files in the order of time."""
+def stream_by_time(spark, rows, time):
+    """The rows as a stream of parts in the order of time, one part per batch. A file
+    stream takes the oldest files first, so the parts are written one after the other."""
     path = scratch_path(spark, "rows")
-    rows = inputs.raw_logs(spark, sf_dir)
-    rows.repartitionByRange(FILES, "created_at").write.parquet(path)
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(time), [i / FILES for i in range(1, FILES)]).alias("c"))
+    part = F.size(F.filter(F.lit(cuts.first()["c"]), lambda c: c < F.unix_micros(time)))
+    for i in range(FILES):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def log_stream(spark, sf_dir):
+    return stream_by_time(spark, inputs.raw_logs(spark, sf_dir), "created_at")
+
+
 def run_to_table(df, spark, mode="append"):
     """Run a stream until nothing is left and return what it wrote."""
     out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
@@ -238,12 +245,12 @@ register(
     "stream_live_metrics",
     lambda s, d: times_as_text(
         run_to_table(live.live_metrics(log_stream(s, d), 21600, "1 hour", ("provider",)), s).select(
-            "t", "provider", "requests", "errors", "tokens", F.bround("cost_usd", 4).alias("cost_usd"), "p95_ms"
+            "t", "provider", "requests", "errors", "tokens", F.bround("cost_usd", 6).alias("cost_usd"), "p95_ms"
         )
     ),
     f"""WITH {EVENTS}, b AS (SELECT time_bucket(INTERVAL 21600 SECOND, created_at, TIMESTAMP '1970-01-01') AS bucket, * FROM raw_logs)
     SELECT {iso('bucket')} AS t, provider, count(*) AS requests, count(*) FILTER (status = 'error') AS errors,
-      CAST(sum(total_tokens) AS BIGINT) AS tokens, round_even(sum(cost_usd), 4) AS cost_usd,
+      CAST(sum(total_tokens) AS BIGINT) AS tokens, round_even(sum(cost_usd), 6) AS cost_usd,
       quantile_disc(latency_ms, 0.95) AS p95_ms
     FROM b WHERE bucket + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM calls) - INTERVAL 1 HOUR GROUP BY bucket, provider""",
 )
