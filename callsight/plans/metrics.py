@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callsight.functions.numbers import error_rate, round_even, whole, zero_float, zero_int
@@ -268,7 +268,8 @@ def pipeline_lag(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> D
 
 def share_of_peak(series: DataFrame) -> DataFrame:
     """Bar heights of a time series: percent of the busiest bucket, and the failed part of it."""
-    peak = series.agg(F.greatest(F.max("requests"), F.lit(1)).alias("peak")).scalar()
+    # The series is already counted: one row per bucket meets here, not the calls.
+    peak = F.greatest(F.max("requests").over(Window.partitionBy(F.lit(1))), F.lit(1))
     height = F.floor(F.col("requests") / peak * 100 + 0.5)
     return series.withColumn("height", height).withColumn(
         "error_height",

@@ -23,6 +23,7 @@ TABLE_SCHEMA = T.StructType(
     [*LOG_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.StringType())]
 )
 FAR_PAST, FAR_FUTURE = "0001-01-01", "9999-12-31"
+COMPACTED = "compact-"
 
 
 def write_logs(rows: DataFrame, path: str, batch_id: str, ingested_at: Time | None = None) -> None:
@@ -50,6 +51,23 @@ def read_logs(spark: SparkSession, path: str, since: Time | None = None, until:
     return in_range(rows, since or FAR_PAST, until or FAR_FUTURE) if since or until else rows
 
 
+def read_latest(spark: SparkSession, path: str, since: Time | None = None, until: Time | None = None) -> DataFrame:
+    """One row per call of a time range.
+
+    A day that is one compacted batch holds no copies and is read as it lies; only days
+    with newer batches pay for the removal of copies, as a rule the current one.
+    """
+    settled = [d for d in stored_days(spark, path) if _is_settled(_folders(spark, f"{path}/day={d}"))]
+    rows = read_logs(spark, path, since, until).drop("batch")
+    is_settled = F.col("day").isin(settled)
+    return rows.where(is_settled).unionByName(dedup_latest(rows.where(~is_settled)))
+
+
+def _is_settled(folders: list[str]) -> bool:
+    batches = [f for f in folders if f.startswith("batch=")]
+    return len(batches) == 1 and batches[0].startswith(f"batch={COMPACTED}")
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder of the table's file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,7 +103,7 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> Non
     if not old:
         return
     rows = spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*old)
-    _save(dedup_latest(rows).drop("batch").hint("rebalance", "day"), path, f"compact-{uuid.uuid4().hex}")
+    _save(dedup_latest(rows).drop("batch").hint("rebalance", "day"), path, f"{COMPACTED}{uuid.uuid4().hex}")
     for folder in old:
         _remove(spark, folder)
 

@@ -157,6 +157,17 @@ register(
 )
 
 
+def latest(spark, sf_dir):
+    """Some days compacted, the others with their copies."""
+    path = stored(spark, sf_dir)
+    days = table.stored_days(spark, path)
+    table.compact_days(spark, path, days[: len(days) // 2])
+    return times_as_text(table.read_latest(spark, path).select(*STORED[:-1]))
+
+
+register("latest_read", latest, f"WITH {EVENTS} SELECT {STORED_SQL} FROM calls")
+
+
 def expired(spark, sf_dir):
     path = stored(spark, sf_dir)
     table.drop_expired(spark, path, dt.datetime(2024, 4, 15, 10, 20, 30))
