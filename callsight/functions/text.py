@@ -10,6 +10,11 @@ from callsight.functions import redaction
 # Length of a preview and of a title, labels of calls without a prefix.
 PREVIEW_CHARS = 500
 TITLE_CHARS = 60
+# Everything that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 HOSTED_LABEL = "openrouter"
 LOCAL_LABEL = "ollama"
 
@@ -19,6 +24,11 @@ def blank(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def strip(col: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
 def missing_if_blank(col: Column) -> Column:
     """'' counts as missing."""
     return F.nullif(col, F.lit(""))
@@ -32,7 +42,7 @@ def preview(col: Column, limit: int = PREVIEW_CHARS, redact: bool = False) -> Co
 
 def title(col: Column, limit: int = TITLE_CHARS) -> Column:
     """Trim, put newlines on one line, cut with an ellipsis."""
-    line = F.replace(F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit("\n"), F.lit(" "))
+    line = F.replace(strip(col), F.lit("\n"), F.lit(" "))
     return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit), F.lit("…"))).otherwise(line)
 
 

@@ -16,14 +16,30 @@ END_MARK = "[DONE]"
 # Chunks joined in one step before the parts of a reply are joined.
 BLOCK = 4096
 
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
+# The parts of a reply or of a chunk that are used.
+_PAYLOAD = """array<struct<
+    choices: array<struct<delta: struct<content: string>>>, usage: map<string, string>, model: string>>"""
+_PARSER = {"allowSingleQuotes": "false"}
 
-def usage_from_payload(doc: Column) -> Column:
-    """Token counts of a reply's variant; missing, null and 0 are 0."""
+
+def payloads(json: Column) -> Column:
+    """The used parts of the JSON values in a text. Parsed as a list, so that a text with
+    more than one value shows, as the parser would ignore what follows the first."""
+    return F.from_json(F.concat(F.lit("["), json, F.lit("]")), _PAYLOAD, _PARSER)
+
+
+def only(values: Column) -> Column:
+    """The value of a list of one, else null."""
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def usage_from_payload(parts: Column) -> Column:
+    """Token counts of a reply's payload; missing, null and 0 are 0."""
 
     def count(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(doc, f"$.usage.{name}", "bigint"), F.lit(0)).alias(name)
+        value = F.try_element_at(parts["usage"], F.lit(name)).try_cast("double").try_cast("bigint")
+        return F.coalesce(value, F.lit(0)).alias(name)
 
     return F.struct(count("prompt_tokens"), count("completion_tokens"), count("total_tokens"))
 
@@ -35,22 +51,20 @@ def parse_sse_chunks(lines: DataFrame) -> DataFrame:
     chunks with neither text nor usage.
     """
     data = lines.where(F.startswith("line", F.lit(DATA_PREFIX))).withColumn(
-        "_payload", F.regexp_replace(F.substring("line", len(DATA_PREFIX) + 1, 2**31 - 1), _STRIP, "")
-    )
-    ends = (
-        data.where(F.col("_payload") == END_MARK).groupBy("request_id").agg(F.min("seq").alias("_end"))
+        "_payload", text.strip(F.substring("line", len(DATA_PREFIX) + 1, 2**31 - 1))
     )
+    ends = data.where(F.col("_payload") == END_MARK).groupBy("request_id").agg(F.min("seq").alias("_end"))
     before_end = data.join(ends, "request_id", "left").where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
-    docs = before_end.withColumn("_doc", F.try_parse_json("_payload")).where(F.col("_doc").isNotNull())
-    # Any usage object with something in it counts, as does a non-empty delta.
-    kind = F.schema_of_variant(F.try_variant_get("_doc", "$.usage", "variant"))
-    chunks = docs.select(
+    # Parsed as a generated column, so that the filters do not parse once more.
+    parsed = before_end.select("request_id", "seq", "ts", F.explode(F.array(payloads(F.col("_payload")))).alias("_l"))
+    parsed = parsed.select("request_id", "seq", "ts", only(F.col("_l")).alias("_p"))
+    chunks = parsed.select(
         "request_id",
         "seq",
         "ts",
-        text.blank(F.try_variant_get("_doc", "$.choices[0].delta.content", "string")).alias("delta"),
-        F.when(F.startswith(kind, F.lit("OBJECT")) & (kind != "OBJECT<>"), usage_from_payload(F.col("_doc"))).alias("usage"),
-        F.try_variant_get("_doc", "$.model", "string").alias("model"),
+        text.blank(F.get(F.col("_p.choices"), F.lit(0))["delta"]["content"]).alias("delta"),
+        F.when(F.size("_p.usage") > 0, usage_from_payload(F.col("_p"))).alias("usage"),
+        F.col("_p.model").alias("model"),
     )
     return chunks.where((F.col("delta") != "") | F.col("usage").isNotNull())
 

@@ -13,6 +13,8 @@ log table could not hold them or they are ambiguous.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,9 +145,9 @@ def _fields(at: str) -> str:
         's', get({at}.listed, 0), 'k', struct({kinds}))"""
 
 
-def _event(at: str) -> str:
-    """SQL for the event struct, from a record's fields."""
-    values = (f"{_typed(kind, f'{at}.s.{n}', f'{at}.k.{n}')} as {n}" for n, kind in FIELDS.items())
+def _values(at: str, names: Sequence[str] = tuple(FIELDS)) -> str:
+    """SQL for a struct of typed values, from a record's fields."""
+    values = (f"{_typed(FIELDS[n], f'{at}.s.{n}', f'{at}.k.{n}')} as {n}" for n in names)
     return f"struct({', '.join(values)})"
 
 
@@ -175,9 +177,17 @@ def _once(df: DataFrame, name: str, expr: str) -> DataFrame:
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
     """Adds `event` (typed fields, nulls where missing) and `reasons` (names of the bad
     fields, or `json` when the text is no JSON object). No reasons means valid."""
-    docs = _once(df, "_doc", _parse(col))
-    fields = _once(docs, "_f", _fields("_doc"))
-    return _once(fields, "event", _event("_f")).withColumn("reasons", F.expr(_reasons("event", "_f"))).drop("_doc", "_f")
+    out = _once(_once(df, "_doc", _parse(col)), "_f", _fields("_doc"))
+    # A few fields at a time: the code generated for all at once is too long for the JIT.
+    names, parts = list(FIELDS), {}
+    for i in range(0, len(names), 4):
+        part = names[i : i + 4]
+        out = _once(out, f"_part{i}", _values("_f", part))
+        parts |= {n: f"_part{i}.{n}" for n in part}
+    event = f"struct({', '.join(f'{at} as {n}' for n, at in parts.items())}) as event"
+    return out.selectExpr(*df.columns, event, "_f").selectExpr(
+        *df.columns, "event", f"{_reasons('event', '_f')} as reasons"
+    )
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +245,7 @@ def judge_batches(df: DataFrame, col: str = "value") -> DataFrame:
     objects = f"from_json(concat('{{\"r\":', {col}, '}}'), 'r struct<events: array<variant>>', {_PARSER}).r.events"
     listed = f"from_json(concat('[', {col}, ']'), 'array<struct<events: array<string>>>', {_PARSER})"
     fields = f"transform(transform(events, e -> {_parse('e')}), d -> {_fields('d')})"
-    typed = f"transform({fields}, f -> struct(f as f, {_event('f')} as event))"
+    typed = f"transform({fields}, f -> struct(f as f, {_values('f')} as event))"
     valid = f"forall({typed}, x -> size({_reasons('x.event', 'x.f')}) = 0)"
     batches = _once(df, "_b", f"struct({listed} as listed, {objects} as objects)")
     batches = _once(batches, "events", "if(size(_b.listed) = 1, get(_b.listed, 0).events, null)")

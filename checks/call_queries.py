@@ -89,15 +89,15 @@ register(
     lambda s, d: inputs.table(s, d, "events")
     .select(
         "event_id",
-        F.try_parse_json(
+        ops.payloads(
             F.expr(
                 """case event_id % 4 when 0 then concat('{"usage":{"prompt_tokens":', event_id, ',"total_tokens":null}}')
                    when 1 then '{"usage":null}' when 2 then '{}'
                    else concat('{"usage":{"completion_tokens":', event_id, ',"prompt_tokens":0,"total_tokens":', event_id, '}}') end"""
             )
-        ).alias("doc"),
+        ).alias("docs"),
     )
-    .select("event_id", ops.usage_from_payload(F.col("doc")).alias("u"))
+    .select("event_id", ops.usage_from_payload(ops.only(F.col("docs"))).alias("u"))
     .select("event_id", "u.*"),
     """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id ELSE 0 END AS prompt_tokens,
       CASE WHEN event_id % 4 = 3 THEN event_id ELSE 0 END AS completion_tokens,

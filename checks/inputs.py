@@ -240,7 +240,14 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.when(
         last,
         F.array(F.concat(F.lit("data:"), body), F.lit("data: [DONE]"), F.concat(F.lit("data: "), body)),
-    ).otherwise(F.array(F.concat(F.lit("data: "), body, F.lit("  ")), F.lit(""), F.lit(": ping"), F.lit("data: {cut")))
+    ).otherwise(
+        F.array(
+            F.concat(F.lit("data: "), body, F.lit("  ")),
+            F.lit(""),
+            F.lit(": ping"),
+            F.when(F.col("seq") % 10 == 3, "data: {cut").otherwise("event: x"),
+        )
+    )
     lines = rows.select("request_id", "seq", "ts", F.posexplode(texts).alias("n", "line"))
     return lines.select("request_id", (F.col("seq") * 4 + F.col("n")).alias("seq"), "ts", "line")
 
