@@ -2,14 +2,16 @@
 
 The built-in exact percentile keeps every distinct value of a group in one task,
 which fails once a provider, a model or the whole table is a group. The exact form
-here finds each rank in two passes and never holds a group:
+here narrows down each wanted rank and never holds a group:
 
-1. Count values per (group, bin). Bins are about 0.2 % wide, so a group has a few
-   thousand of them whatever its size, and each task sends only its bin counts. A
+1. Count values per (group, coarse bin). Coarse bins are about 1.6 % wide, so a group
+   has some hundreds of them whatever its size, and each task sends only its counts. A
    running sum over the bins tells which bins hold the wanted ranks.
-2. Keep only the values of those bins, count equal ones, and walk their running sum.
+2. Within those bins only, do the same with fine bins, 4,096 to a coarse one.
+3. Keep only the values of the fine bins found, count equal ones, and walk their
+   running sum.
 
-Sums and counts wanted beside the percentiles ride along in pass 1.
+Sums and counts wanted beside the percentiles ride along from the first step.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The bin of a value: a whole number that never falls as the value rises. Null has its own.
-BIN = """coalesce(
-    cast(if(_v < 0, -1, 1) * floor(least(log1p(abs(_v)), 800D) * 512) as bigint),
+# The fine bin of a value: a whole number that never falls as the value rises. Null has
+# its own. 4,096 neighbours make a coarse bin.
+FINE_BIN = """coalesce(
+    cast(if(_v < 0, -1, 1) * floor(least(log1p(abs(_v)), 800D) * 262144) as bigint),
     -4611686018427387904)"""
+COARSE_BIN = "_fine >> 12"
 # Whether a run of _c values, with _before values below it, holds a rank.
 HOLDS = "(_before <= {rank} and {rank} < _before + _c)"
+RUNNING = "rows between unbounded preceding and current row"
 
 
 def exact_percentiles(
@@ -48,51 +53,58 @@ def exact_percentiles(
     """
     keys, sums = list(keys), sums or {}
     group = [f"_k{i}" for i in range(len(keys))]
-    carried = [f"_s{i}" for i in range(len(sums))]
     src = df.select("*", *[F.col(k).alias(g) for g, k in zip(group, keys)], F.col(value).cast("double").alias("_v"))
-    src = src.withColumn("_bin", F.expr(BIN))
+    src = src.withColumn("_fine", F.expr(FINE_BIN)).withColumn("_coarse", F.expr(COARSE_BIN))
 
-    # Pass 1: where the ranks lie. _before is the number of values below a bin.
-    by, order = f"partition by {', '.join(group) or '1'}", "rows between unbounded preceding and current row"
-    placed = (
-        src.groupBy(*group, "_bin")
+    ranks = {name: f"({p!r}D * (_total - 1))" for name, p in probs.items()}
+    ends = [f"{end}({rank})" for rank in ranks.values() for end in ("floor", "ceil")]
+    wanted = " or ".join(["_total = 0", *[HOLDS.format(rank=r) for r in ends]])
+    carried = [f"_s{i}" for i in range(len(sums))]
+    facts = ["_before", "_total", *carried]
+
+    # Step 1: _before is the number of the group's values below a bin.
+    by = f"partition by {', '.join(group) or '1'}"
+    bins = (
+        src.groupBy(*group, "_coarse")
         .agg(F.count("_v").alias("_c"), *[c.alias(s) for s, c in zip(carried, sums.values())])
         .selectExpr(
-            *[f"{g} as {g}_" for g in group],
-            "_bin as _bin_",
+            *group,
+            "_coarse",
             "_c",
-            f"sum(_c) over ({by} order by _bin {order}) - _c as _before",
+            f"sum(_c) over ({by} order by _coarse {RUNNING}) - _c as _before",
             f"sum(_c) over ({by}) as _total",
             *[f"sum({s}) over ({by}) as {s}" for s in carried],
         )
+        .where(wanted)
     )
-    ranks = {name: f"({p!r}D * (_total - 1))" for name, p in probs.items()}
-    ends = [f"{end}({rank})" for rank in ranks.values() for end in ("floor", "ceil")]
-    wanted = " or ".join(["_total = 0", *[HOLDS.format(rank=r) for r in ends]])
-    facts = ["_bin_", "_before", "_total", *carried]
-    bins = placed.where(wanted).select(*[f"{g}_" for g in group], *facts)
 
-    # Pass 2: the values of those bins, equal ones counted.
-    same = " and ".join(f"{g} <=> {g}_" for g in [*group, "_bin"])
+    rows = src.select(*group, "_coarse", "_fine", "_v", F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_c"))
     if max_groups is None:
-        values = src.groupBy(*group, "_bin", "_v").agg(F.count("_v").alias("_c"))
-        found = values.join(bins, F.expr(same))
-    else:
-        values = src.select(*group, "_bin", "_v").join(F.broadcast(bins), F.expr(same))
-        found = values.groupBy(*group, *facts, "_v").agg(F.count("_v").alias("_c"))
-    within = f"partition by {', '.join([*group, '_bin_'])} order by _v {order}"
-    found = found.selectExpr(
-        *group, "_v", "_c", "_total", *carried, f"_before + sum(_c) over ({within}) - _c as _before"
-    )
+        rows = rows.groupBy(*group, "_coarse", "_fine", "_v").agg(F.sum("_c").alias("_c"))
+
+    def within(bins: DataFrame, bin_column: str, part: str) -> DataFrame:
+        """The parts of the wanted bins, counted, with _before brought up to each."""
+        to = bins.select(*[F.col(c).alias(f"{c}_") for c in [*group, bin_column]], *facts)
+        same = F.expr(" and ".join(f"{c} <=> {c}_" for c in [*group, bin_column]))
+        found = rows.join(to if max_groups is None else F.broadcast(to), same)
+        counted = found.groupBy(*group, bin_column, *facts, part).agg(F.sum("_c").alias("_c"))
+        over = f"partition by {', '.join([*group, bin_column])} order by {part} {RUNNING}"
+        return counted.selectExpr(
+            *group, part, "_c", "_total", *carried, f"_before + sum(_c) over ({over}) - _c as _before"
+        )
+
+    # Steps 2 and 3.
+    fine = within(bins, "_coarse", "_fine").where(wanted)
+    found = within(fine, "_fine", "_v")
+
     at = [F.expr(f"max(case when {HOLDS.format(rank=r)} then _v end)").alias(f"_e{i}") for i, r in enumerate(ends)]
-    sums_again = [F.max(c).alias(c) for c in ["_total", *carried]]
     between = [
         f"if(_e{2 * i} = _e{2 * i + 1}, _e{2 * i}, _e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({r} - floor({r}))) as `{name}`"
         for i, (name, r) in enumerate(ranks.items())
     ]
     return (
         found.groupBy(*group)
-        .agg(*sums_again, *at)
+        .agg(*[F.max(c).alias(c) for c in ["_total", *carried]], *at)
         .selectExpr(
             *[f"{g} as `{k}`" for g, k in zip(group, keys)],
             *[f"{s} as `{name}`" for s, name in zip(carried, sums)],

@@ -91,7 +91,8 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> Non
     The old batches go only after the new one is complete: a crash in between leaves
     copies, which the next compaction or a read with dedup removes, and never a gap. A
     batch that arrives meanwhile stays. Copies agree on created_at, so they never lie in
-    two days. A large day is spread over several tasks and files.
+    two days. The rows are cut into ranges of time: a large day becomes several files
+    that do not overlap, and an hour's query opens few of them.
     """
     days = list(days)
     old = [
@@ -103,7 +104,7 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> Non
     if not old:
         return
     rows = spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*old)
-    _save(dedup_latest(rows).drop("batch").hint("rebalance", "day"), path, f"{COMPACTED}{uuid.uuid4().hex}")
+    _save(dedup_latest(rows).drop("batch").repartitionByRange("day", *LOG_KEYS), path, f"{COMPACTED}{uuid.uuid4().hex}")
     for folder in old:
         _remove(spark, folder)
 
