@@ -71,9 +71,12 @@ def _totals_columns() -> list[Column]:
     ]
 
 
-def timeseries(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> DataFrame:
-    """Per bucket, oldest first. Buckets without calls are left out."""
-    raw = percentiles(mode)(
+def timeseries(
+    logs: DataFrame, bucket_seconds: int, mode: str = "exact", max_groups: int | None = None
+) -> DataFrame:
+    """Per bucket, oldest first. Buckets without calls are left out. Where the range of time
+    is closed at both ends, `max_groups` may tell how many buckets it can have."""
+    raw = percentiles(mode, max_groups)(
         logs.withColumn("t", bucket_start(F.col("created_at"), bucket_seconds)),
         ["t"],
         "latency_ms",

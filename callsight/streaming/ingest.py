@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,15 +66,11 @@ def run_ingest(
         parsed = parse_events(batch).persist()
         try:
             valid, dead = split_valid(parsed)
-            stored_rows, dead_rows = Observation(), Observation()
             rows = to_log_row(redaction.redact_events(apply_defaults(valid), redactor))
-            rows = rows.observe(stored_rows, F.count(F.lit(1)).alias("n"))
-            dead = dead.observe(dead_rows, F.count(F.lit(1)).alias("n"))
             write_with_retry(lambda: write_logs(rows, logs_path, f"{batch_id:012d}"))
             write_with_retry(lambda: write_dead_letters(dead, dead_path, f"{batch_id:012d}"))
             if counts_path:
-                counts = [(batch_id, stored_rows.get["n"], dead_rows.get["n"])]
-                write_counts(batch.sparkSession, counts, counts_path)
+                write_with_retry(lambda: write_counts(ingest_counts(parsed), batch_id, counts_path))
         finally:
             parsed.unpersist()
 
@@ -83,12 +79,10 @@ def run_ingest(
     return writer.start()
 
 
-def write_counts(spark: SparkSession, counts: list[tuple[int, int, int]], path: str) -> None:
-    """Stored and dead rows of one batch, one small row; a replay replaces it."""
-    row = spark.createDataFrame(counts, "batch_id bigint, stored bigint, dead bigint").coalesce(1)
-    row.withColumn("batch", F.col("batch_id")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(path)
+def write_counts(counts: DataFrame, batch_id: int, path: str) -> None:
+    """Stored and dead records of one batch, one row; a replay replaces it."""
+    named = counts.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "batch": F.lit(batch_id)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def ingest_counts(parsed: DataFrame) -> DataFrame:

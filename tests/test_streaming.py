@@ -60,6 +60,14 @@ def test_restart_after_a_crash_between_the_two_writes(spark, record_files, tmp_p
     assert raw.read_dead_letters(spark, paths[1]).count() == dead.count()
 
 
+def test_replay_with_other_rules_into_a_fresh_table(spark, record_files, tmp_path):
+    paths = [str(tmp_path / n) for n in ("logs", "dead", "checkpoint")]
+    shout = lambda c: F.struct(F.concat(F.coalesce(c, F.lit("")), F.lit("!")).alias("text"), F.lit(True).alias("changed"))
+    ingest.run_ingest(raw.read_raw_stream(spark, record_files, 10), *paths, redactor=shout).awaitTermination()
+    found = read_logs(spark, paths[0]).agg(F.min("redacted"), F.min("input_preview"), F.max("input_preview")).first()
+    assert tuple(found) == (1, "!", "!")
+
+
 def test_retry():
     tries = []
 
