@@ -89,8 +89,8 @@ register(
 # that are no batch, are refused.
 BATCHES = f"""
 batch AS (
-  SELECT event_id // 50 AS batch_id, count(*) AS n, bool_or(event_id % 40 IN ({DEAD})) AS bad FROM events
-  WHERE (event_id // 50) % 3 = 0 OR event_id % 40 NOT IN ({DEAD}) GROUP BY 1
+  SELECT event_id // 50 AS batch_id, count(*) AS n,
+    bool_or((event_id // 50) % 3 = 0 AND event_id % 40 IN ({DEAD})) AS bad FROM events GROUP BY 1
 )"""
 register(
     "reject_batches",
@@ -110,7 +110,7 @@ register(
     SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY event_id) - 1 AS position,
       CASE WHEN event_id % 40 <> 18 THEN request_id END AS request_id, model
     FROM batch JOIN calls ON event_id // 50 = batch_id
-    WHERE NOT bad AND batch_id % 20 <> 19 AND (batch_id % 3 = 0 OR event_id % 40 NOT IN ({DEAD}))""",
+    WHERE NOT bad AND batch_id % 20 <> 19""",
 )
 
 # --- the stored table -------------------------------------------------------------------

@@ -278,18 +278,20 @@ DAMAGE = {
 DEAD_KINDS = [1, 2, 3, 4, 5, 8, 9, 13, 15, 16, 17]
 
 
-def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls as JSON events, some damaged, some odd but valid (see DAMAGE)."""
+def wire_events(spark: SparkSession, sf_dir: str, damaged: str = "true") -> DataFrame:
+    """The calls as JSON events, some odd but valid, some (where `damaged` holds) bad."""
     plain = ["request_id", "session_id", "provider", "model", "status", "latency_ms", "ttft_ms",
              "prompt_tokens", "completion_tokens", "total_tokens", "cost_usd"]
     fields = ", ".join(f"{CALL[n]} as {n}" for n in plain)
     text_time = f"date_format({CREATED}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\") as created_at"
     body = f"to_json(struct({fields}, false as redacted, {text_time}, from_json(props, 'k bigint') as metadata)) as body"
-    kinds = " ".join(f"when {k} then {e}" for k, e in DAMAGE.items())
+    kinds = " ".join(
+        f"when event_id % 40 = {k} and {damaged if k in DEAD_KINDS else 'true'} then {e}" for k, e in DAMAGE.items()
+    )
     return (
         table(spark, sf_dir, "events")
         .selectExpr("event_id", "ts", f"{CREATED} as created_at", body)
-        .selectExpr("event_id", "ts", f"case event_id % 40 {kinds} else body end as value")
+        .selectExpr("event_id", "ts", f"case {kinds} else body end as value")
     )
 
 
@@ -308,12 +310,11 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client batches of up to 50 events each; some are no batches at all."""
-    events = wire_events(spark, sf_dir).withColumn("batch_id", F.floor(F.col("event_id") / 50))
-    # A batch with one bad event is refused whole: two of three batches carry good events only.
-    kept = events.where((F.col("batch_id") % 3 == 0) | ~(F.col("event_id") % 40).isin(DEAD_KINDS))
+    # One bad event refuses its whole batch: every third batch carries some.
+    events = wire_events(spark, sf_dir, damaged="event_id div 50 % 3 = 0").withColumn("batch_id", F.expr("event_id div 50"))
     listed = F.array_sort(F.collect_list(F.struct("event_id", "value")))
     joined = F.array_join(F.transform(listed, lambda x: x["value"]), ",")
-    return kept.groupBy("batch_id").agg(joined.alias("_all")).select(
+    return events.groupBy("batch_id").agg(joined.alias("_all")).select(
         "batch_id",
         F.when(F.col("batch_id") % 20 == 19, F.concat(F.lit('{"rows":['), "_all", F.lit("]}")))
         .otherwise(F.concat(F.lit('{"events":['), "_all", F.lit("]}")))
