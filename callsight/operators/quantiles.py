@@ -46,10 +46,10 @@ def exact_percentiles(
     parts of a group (a count or a sum). Null values are left out of the ranks, not of
     the sums. Without keys the answer has one row, also for no input.
 
-    `max_groups` is a bound on the number of groups that the caller can prove. With it
-    the wanted bins (two per percentile and group) are broadcast and the second scan is
-    filtered in place; without it equal values are counted first and the join is left to
-    adaptive execution.
+    `max_groups` is a bound on the number of groups, proven or checked (`checked_groups`).
+    With it the wanted bins (two per percentile and group) are broadcast and the later
+    scans are filtered in place; without it equal values are counted first and the joins
+    are left to adaptive execution.
     """
     keys, sums = list(keys), sums or {}
     group = [f"_k{i}" for i in range(len(keys))]
@@ -113,6 +113,14 @@ def exact_percentiles(
     )
 
 
+def checked_groups(df: DataFrame, keys: Sequence[str], limit: int = 10_000) -> int | None:
+    """The number of groups, or None when it is above `limit` and nothing that grows with
+    it should be broadcast. Runs a job over the key columns alone; give it the rows before
+    copies are removed, as that cannot hide a group."""
+    n = df.select(*keys).distinct().limit(limit + 1).count()
+    return n if n <= limit else None
+
+
 def approximate_percentiles(
     df: DataFrame,
     keys: Sequence[str],

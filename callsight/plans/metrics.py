@@ -74,8 +74,8 @@ def _totals_columns() -> list[Column]:
 def timeseries(
     logs: DataFrame, bucket_seconds: int, mode: str = "exact", max_groups: int | None = None
 ) -> DataFrame:
-    """Per bucket, oldest first. Buckets without calls are left out. Where the range of time
-    is closed at both ends, `max_groups` may tell how many buckets it can have."""
+    """Per bucket, oldest first. Buckets without calls are left out. `max_groups`, here and
+    below, is a bound on the groups as in `exact_percentiles`."""
     raw = percentiles(mode, max_groups)(
         logs.withColumn("t", bucket_start(F.col("created_at"), bucket_seconds)),
         ["t"],
@@ -86,9 +86,9 @@ def timeseries(
     return raw.select("t", "requests", "errors", zero_int(round_even(F.col("p95"))).alias("p95_ms")).orderBy("t")
 
 
-def by_provider(logs: DataFrame, mode: str = "exact") -> DataFrame:
+def by_provider(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
     """Busiest provider first, ties by name."""
-    raw = percentiles(mode)(
+    raw = percentiles(mode, max_groups)(
         logs,
         ["provider"],
         "latency_ms",
@@ -105,9 +105,9 @@ def by_provider(logs: DataFrame, mode: str = "exact") -> DataFrame:
     ).orderBy(F.desc("requests"), "provider")
 
 
-def by_model(logs: DataFrame, mode: str = "exact") -> DataFrame:
+def by_model(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
     """Busiest model first, ties by name."""
-    raw = percentiles(mode)(
+    raw = percentiles(mode, max_groups)(
         logs,
         ["model"],
         "latency_ms",
@@ -123,29 +123,24 @@ def by_model(logs: DataFrame, mode: str = "exact") -> DataFrame:
     ).orderBy(F.desc("requests"), "model")
 
 
-def summary(logs: DataFrame, window: str, as_of: Time, dedup: bool = True, mode: str = "exact") -> DataFrame:
+def summary(
+    logs: DataFrame,
+    window: str,
+    as_of: Time,
+    dedup: bool = True,
+    mode: str = "exact",
+    max_groups: int | None = None,
+) -> DataFrame:
     """All four parts in one pass, one row per part and group.
 
     Each call is counted under its part's group: `section` is totals, timeseries,
     by_provider or by_model; `t` and `name` hold the group. Only totals are there when
-    the window is empty, as zeros.
+    the window is empty, as zeros. `checked_groups(parts(...), PART)` gives `max_groups`.
     """
     rows = in_window(logs, window, as_of)
-    rows = dedup_latest(rows) if dedup else rows
-    bucket = bucket_start(F.col("created_at"), window_bucket(window))
-    none, text = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
-    parts = F.explode(
-        F.array(
-            _part("totals", none, text),
-            _part("timeseries", bucket, text),
-            _part("by_provider", none, F.col("provider")),
-            _part("by_model", none, F.col("model")),
-        )
-    )
-    measures = ["status", "latency_ms", "ttft_ms", "total_tokens", "cost_usd"]
-    raw = percentiles(mode)(
-        rows.select(*measures, parts.alias("_part")).select(*measures, "_part.*"),
-        ["section", "t", "name"],
+    raw = percentiles(mode, max_groups)(
+        parts(dedup_latest(rows) if dedup else rows, window),
+        PART,
         "latency_ms",
         LATENCIES,
         sums={
@@ -158,20 +153,39 @@ def summary(logs: DataFrame, window: str, as_of: Time, dedup: bool = True, mode:
         },
     )
     found = raw.select("section", "t", "name", *_totals_columns())
-    zeros = empty_totals(rows.sparkSession).select(
-        F.lit("totals").alias("section"), none.alias("t"), text.alias("name"), "*"
+    zeros = empty_totals(rows.sparkSession).selectExpr(
+        "'totals' as section", "cast(null as timestamp) as t", "cast(null as string) as name", "*"
     )
-    measured = [c for c in found.columns if c not in ("section", "t", "name")]
+    measured = [c for c in found.columns if c not in PART]
     # The zero row adds nothing to a totals row and stands for it where there is none.
     return (
         found.unionByName(zeros)
-        .groupBy("section", "t", "name")
+        .groupBy(*PART)
         .agg(*[F.max(c).alias(c) for c in measured])
     )
 
 
-def _part(section: str, t: Column, name: Column) -> Column:
-    return F.struct(F.lit(section).alias("section"), t.alias("t"), name.alias("name"))
+PART = ["section", "t", "name"]
+
+
+def parts(rows: DataFrame, window: str) -> DataFrame:
+    """Each row once per part of the summary, with the part's group as `section`, `t`, `name`."""
+    bucket = bucket_start(F.col("created_at"), window_bucket(window))
+    none, text = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+
+    def part(section: str, t: Column, name: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), t.alias("t"), name.alias("name"))
+
+    each = F.explode(
+        F.array(
+            part("totals", none, text),
+            part("timeseries", bucket, text),
+            part("by_provider", none, F.col("provider")),
+            part("by_model", none, F.col("model")),
+        )
+    )
+    measures = ["status", "latency_ms", "ttft_ms", "total_tokens", "cost_usd"]
+    return rows.select(*measures, each.alias("_part")).select(*measures, "_part.*")
 
 
 def empty_totals(spark: SparkSession) -> DataFrame:
@@ -182,7 +196,7 @@ def empty_totals(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(*[zero[c].alias(c) for c in [*order, "total_tokens", "total_cost_usd"]])
 
 
-def summary_struct(parts: DataFrame, window: str) -> DataFrame:
+def summary_struct(found: DataFrame, window: str) -> DataFrame:
     """The nested answer of the API as one row, from the rows of `summary`.
 
     It holds one entry per bucket, provider and model of the window, already counted.
@@ -195,7 +209,7 @@ def summary_struct(parts: DataFrame, window: str) -> DataFrame:
         return F.transform(F.array_sort(kept), lambda x: x["e"])
 
     busiest = [-F.col("requests"), F.col("name")]
-    return parts.agg(
+    return found.agg(
         F.lit(window).alias("window"),
         F.lit(None).cast("string").alias("error"),
         F.max(

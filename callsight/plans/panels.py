@@ -57,8 +57,8 @@ def ttft_p95(logs: DataFrame, interval_seconds: int, mode: str = "exact", max_gr
     return raw.select("time", whole(F.col("p95")).alias("ttft_p95")).orderBy("time")
 
 
-def by_provider(logs: DataFrame, mode: str = "exact") -> DataFrame:
-    raw = percentiles(mode)(
+def by_provider(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
+    raw = percentiles(mode, max_groups)(
         logs, ["provider"], "latency_ms", P95, sums={"requests": requests(), "tokens": tokens()}
     )
     return raw.select("provider", "requests", whole(F.col("p95")).alias("p95_ms"), "tokens").orderBy(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callsight.functions.times import bucket_start, iso_millis, iso_text
 from callsight.operators import logs as ops
+from callsight.operators.quantiles import checked_groups
 from callsight.plans import metrics, panels
 from checks import inputs
 from checks.inputs import AS_OF, RANGE
@@ -34,6 +35,17 @@ def settled(spark, sf_dir, window_name=None):
     return ops.dedup_latest(ops.in_window(rows, window_name, AS_OF) if window_name else rows)
 
 
+def groups(spark, sf_dir, key):
+    """A checked bound on the groups of the 7 days, from the rows as delivered."""
+    return checked_groups(ops.in_window(inputs.raw_logs(spark, sf_dir), "7d", AS_OF), [key])
+
+
+def whole_summary(spark, sf_dir):
+    rows = inputs.raw_logs(spark, sf_dir)
+    bound = checked_groups(metrics.parts(ops.in_window(rows, "7d", AS_OF), "7d"), metrics.PART)
+    return metrics.summary(rows, "7d", AS_OF, max_groups=bound)
+
+
 def in_range(spark, sf_dir):
     return ops.dedup_latest(ops.in_range(inputs.raw_logs(spark, sf_dir), *RANGE))
 
@@ -96,14 +108,14 @@ for name, (hours, bucket) in {"1h": (1, 60), "24h": (24, 1800), "7d": (168, 2160
     )
 register(
     "metrics_by_provider_7d",
-    lambda s, d: metrics.by_provider(settled(s, d, "7d")),
+    lambda s, d: metrics.by_provider(settled(s, d, "7d"), max_groups=groups(s, d, "provider")),
     f"""WITH {EVENTS} SELECT provider, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens,
     COALESCE({rounded('sum(cost_usd)', 4)}, 0.0) AS cost_usd FROM {window(168)} GROUP BY provider""",
 )
 register(
     "metrics_by_model_7d",
-    lambda s, d: metrics.by_model(settled(s, d, "7d")),
+    lambda s, d: metrics.by_model(settled(s, d, "7d"), max_groups=groups(s, d, "model")),
     f"""WITH {EVENTS} SELECT model, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens
     FROM {window(168)} GROUP BY model""",
@@ -121,7 +133,7 @@ _SUMMARY_SQL = f"""WITH {EVENTS}, rows AS {window(168)}, parts AS (
 SELECT section, t, name, {TOTALS} FROM parts GROUP BY section, t, name"""
 register(
     "metrics_grouping_sets",
-    lambda s, d: times_as_text(metrics.summary(inputs.raw_logs(s, d), "7d", AS_OF)),
+    lambda s, d: times_as_text(whole_summary(s, d)),
     _SUMMARY_SQL,
 )
 register(

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callsight.operators.quantiles import exact_percentiles, percentiles
+from callsight.operators.quantiles import checked_groups, exact_percentiles, percentiles
 
 PROBS = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -74,6 +74,12 @@ def test_modes_agree(spark, mode, error):
         assert abs(r.a - n * 0.5) <= n * max(error, 0.0005) and abs(r.b - n * 0.95) <= n * max(error, 0.0005)
 
 
+def test_checked_groups(spark):
+    df = spark.range(1000).selectExpr("id % 30 as k", "id as v")
+    assert checked_groups(df, ["k"]) == 30 and checked_groups(df, ["k"], limit=30) == 30
+    assert checked_groups(df, ["k"], limit=29) is None and checked_groups(df.where("v < 0"), ["k"]) == 0
+
+
 def test_unknown_mode():
     with pytest.raises(ValueError):
         percentiles("guess")
