@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callsight.functions import redaction, text
 from callsight.functions.times import millis_between, to_millis
+from callsight.operators.logs import spread
 from callsight.schemas import EVENT_COLUMNS
 
 # How a line of an event stream starts, and the line that ends it.
@@ -53,8 +54,9 @@ def parse_sse_chunks(lines: DataFrame) -> DataFrame:
     data = lines.where(F.startswith("line", F.lit(DATA_PREFIX))).withColumn(
         "_payload", text.strip(F.substring("line", len(DATA_PREFIX) + 1, 2**31 - 1))
     )
-    ends = data.where(F.col("_payload") == END_MARK).groupBy("request_id").agg(F.min("seq").alias("_end"))
-    before_end = data.join(ends, "request_id", "left").where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
+    marks = spread(data.where(F.col("_payload") == END_MARK), "request_id")
+    ends = marks.groupBy("request_id", "_slot").agg(F.min("seq").alias("_end"))
+    before_end = data.join(ends.drop("_slot"), "request_id", "left").where(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
     # Parsed as a generated column, so that the filters do not parse once more.
     parsed = before_end.select("request_id", "seq", "ts", F.explode(F.array(payloads(F.col("_payload")))).alias("_l"))
     parsed = parsed.select("request_id", "seq", "ts", only(F.col("_l")).alias("_p"))

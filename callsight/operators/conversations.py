@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight.functions import text
-from callsight.operators.logs import Time, as_time, dedup_latest
+from callsight.functions.times import as_time
+from callsight.operators.logs import Time, dedup_latest, spread
 from callsight.schemas import CONVERSATION_STATUSES
 
 # Messages sent along with a turn, page sizes, the model when none is asked for.
@@ -147,8 +148,8 @@ def last_user_in(context_messages: Column) -> Column:
 
 def one_per_request(logs: DataFrame) -> DataFrame:
     """The latest row of each request. A request id belongs to one call, so this also
-    removes redelivered copies, and it leaves the logs partitioned for a join by id."""
-    return dedup_latest(logs, ["request_id"], ties=["created_at"])
+    removes redelivered copies."""
+    return dedup_latest(spread(logs, "request_id"), ["request_id", "_slot"], ties=["created_at"]).drop("_slot")
 
 
 def _asked(messages: DataFrame) -> DataFrame:
@@ -178,7 +179,8 @@ def trace_messages(messages: DataFrame, logs: DataFrame) -> DataFrame:
 
 def messages_without_log(messages: DataFrame, logs: DataFrame) -> DataFrame:
     """Answers whose log row was lost on the way."""
-    return _asked(messages).join(logs.select("request_id").distinct(), "request_id", "left_anti")
+    logged = spread(logs.select("request_id"), "request_id").distinct()
+    return _asked(messages).join(logged.drop("_slot"), "request_id", "left_anti")
 
 
 def conversation_logs(conversations: DataFrame, logs: DataFrame) -> DataFrame:

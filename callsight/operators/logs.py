@@ -61,6 +61,14 @@ def dedup_latest(
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Adds `_slot`, a part of the key's hash. Rows grouped by (key, _slot) make the same
+    groups as by the key alone but lie elsewhere, so a join by the key shuffles them anew.
+    Adaptive execution splits a hot key of the other side only where both sides of the
+    join come straight from a shuffle."""
+    return df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(64)))
+
+
 def dedup_stream(df: DataFrame, delay: str, keys: Sequence[str] = LOG_KEYS) -> DataFrame:
     """The first copy of each key in a stream; copies may come `delay` apart."""
     return df.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(list(keys))
