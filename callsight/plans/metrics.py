@@ -263,7 +263,9 @@ def summary_or_empty(
         return empty_summary(spark, window, str(exc))
 
 
-def pipeline_lag(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> DataFrame:
+def pipeline_lag(
+    logs: DataFrame, bucket_seconds: int, mode: str = "exact", max_groups: int | None = None
+) -> DataFrame:
     """How long after the call its row was stored, per bucket of the call's time."""
     lagged = logs.withColumns(
         {
@@ -271,7 +273,7 @@ def pipeline_lag(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> D
             "lag_ms": millis_between(F.col("created_at"), F.col("ingested_at")),
         }
     )
-    raw = percentiles(mode)(
+    raw = percentiles(mode, max_groups)(
         lagged, ["t"], "lag_ms", {**P95, "worst": 1.0}, sums={"requests": requests(), "lag": F.sum("lag_ms")}
     )
     return raw.select(

@@ -35,9 +35,17 @@ def settled(spark, sf_dir, window_name=None):
     return ops.dedup_latest(ops.in_window(rows, window_name, AS_OF) if window_name else rows)
 
 
-def groups(spark, sf_dir, key):
-    """A checked bound on the groups of the 7 days, from the rows as delivered."""
-    return checked_groups(ops.in_window(inputs.raw_logs(spark, sf_dir), "7d", AS_OF), [key])
+def groups(rows, key):
+    """A checked bound on the groups, from the rows as delivered."""
+    return checked_groups(rows.select(key.alias("k")), ["k"])
+
+
+def recent(spark, sf_dir, window_name="7d"):
+    return ops.in_window(inputs.raw_logs(spark, sf_dir), window_name, AS_OF)
+
+
+def buckets(seconds):
+    return bucket_start(F.col("created_at"), seconds)
 
 
 def whole_summary(spark, sf_dir):
@@ -101,21 +109,23 @@ for name, (hours, bucket) in {"1h": (1, 60), "24h": (24, 1800), "7d": (168, 2160
     )
     register(
         f"metrics_timeseries_{name}",
-        lambda s, d, w=name, b=bucket: times_as_text(metrics.timeseries(settled(s, d, w), b)),
+        lambda s, d, w=name, b=bucket: times_as_text(
+            metrics.timeseries(settled(s, d, w), b, max_groups=groups(recent(s, d, w), buckets(b)))
+        ),
         f"""WITH {EVENTS} SELECT {iso(f"time_bucket(INTERVAL {bucket} SECOND, created_at, TIMESTAMP '1970-01-01')")} AS t,
         count(*) AS requests, count(*) FILTER (status = 'error') AS errors, {zero(quantile(0.95))} AS p95_ms
         FROM {window(hours)} GROUP BY 1""",
     )
 register(
     "metrics_by_provider_7d",
-    lambda s, d: metrics.by_provider(settled(s, d, "7d"), max_groups=groups(s, d, "provider")),
+    lambda s, d: metrics.by_provider(settled(s, d, "7d"), max_groups=groups(recent(s, d), F.col("provider"))),
     f"""WITH {EVENTS} SELECT provider, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens,
     COALESCE({rounded('sum(cost_usd)', 4)}, 0.0) AS cost_usd FROM {window(168)} GROUP BY provider""",
 )
 register(
     "metrics_by_model_7d",
-    lambda s, d: metrics.by_model(settled(s, d, "7d"), max_groups=groups(s, d, "model")),
+    lambda s, d: metrics.by_model(settled(s, d, "7d"), max_groups=groups(recent(s, d), F.col("model"))),
     f"""WITH {EVENTS} SELECT model, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens
     FROM {window(168)} GROUP BY model""",
@@ -205,7 +215,9 @@ register(
 )
 register(
     "panel_by_provider",
-    lambda s, d: panels.by_provider(in_range(s, d)),
+    lambda s, d: panels.by_provider(
+        in_range(s, d), max_groups=groups(ops.in_range(inputs.raw_logs(s, d), *RANGE), F.col("provider"))
+    ),
     f"""WITH {EVENTS} SELECT provider, count(*) AS requests, {whole(quantile(0.95))} AS p95_ms,
     CAST(sum(total_tokens) AS BIGINT) AS tokens FROM {IN_RANGE} GROUP BY provider""",
 )
@@ -262,7 +274,9 @@ register(
 )
 register(
     "pipeline_lag",
-    lambda s, d: times_as_text(metrics.pipeline_lag(settled(s, d), 21600)),
+    lambda s, d: times_as_text(
+        metrics.pipeline_lag(settled(s, d), 21600, max_groups=groups(inputs.raw_logs(s, d), buckets(21600)))
+    ),
     f"""WITH {EVENTS}, lag AS (SELECT time_bucket(INTERVAL 21600 SECOND, created_at, TIMESTAMP '1970-01-01') AS t,
       date_diff('microsecond', created_at, ingested_at) / 1000 AS ms FROM logs)
     SELECT {iso('t')} AS t, count(*) AS requests, {whole('avg(ms)')} AS avg_lag_ms,
