@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import html_text, quality_rules, token_count, url_filter, warc
+from callsight.llm import html_text, packing, quality_rules, token_count, toxicity, url_filter, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -66,6 +66,19 @@ from fits
 """
 
 
+TOXIC_CATEGORIES = ["low_quality", "toxic"]  # in the order of the chain
+
+
+def label_table(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, label_table(table(spark, sf_dir, "labels")), TOXIC_CATEGORIES)
+    return toxicity.score(docs, chain, TOXIC_CATEGORIES).drop("text")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = warc.write(pages, scratch_path(spark, "warc"))
@@ -90,6 +103,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "token_score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json")).drop("ids")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.rules(docs).drop("text", "lang")
@@ -101,8 +119,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
 }
