@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import html_text, packing, quality_rules, token_count, toxicity, url_filter, warc
+from callsight.llm import html_text, language_model, packing, quality_rules, token_count, toxicity, url_filter, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -108,6 +108,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.rules(docs).drop("text", "lang")
@@ -123,6 +127,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_language_model": op8_language_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
 }
