@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import html_text, language_model, packing, quality_rules, token_count, toxicity, url_filter, warc
+from callsight.llm import decontamination, html_text, language_model, packing, quality_rules, token_count, toxicity, url_filter, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -27,6 +27,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS)).select(
@@ -122,6 +129,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
     "op5_warc": op5_warc,
