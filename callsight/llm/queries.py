@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import decontamination, html_text, language_model, packing, quality_rules, token_count, toxicity, url_filter, warc
+from callsight.llm import decontamination, html_text, language_model, packing, quality_rules, shingle_join, token_count, toxicity, url_filter, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -73,6 +73,10 @@ from fits
 """
 
 
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(table(spark, sf_dir, "documents"))
+
+
 TOXIC_CATEGORIES = ["low_quality", "toxic"]  # in the order of the chain
 
 
@@ -132,6 +136,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
+    "op4_shingle_join": op4_shingle_join,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
