@@ -117,12 +117,19 @@ class WordTokens:
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents, numbered by `uid` (a kept table)."""
+def pieces(
+    docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True
+) -> DataFrame:
+    """The pieces of all documents, numbered by `uid` (a kept table).
+
+    `ids` holds the tokens as little-endian numbers, of two bytes each where the vocabulary
+    has no larger ones, else of four; `ids_crc32` is that of the four-byte form.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         tokens = WordTokens(tokenizer_file)
+        short = len(tokens.ends) <= 1 << 16 and end_id < 1 << 16
         schema = pa.schema(
             [
                 ("doc_id", pa.int64()),
@@ -140,7 +147,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, part, zlib.crc32(part)))
+                    held = (np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part) if with_ids else None
+                    rows.append((doc_id, n, at // 4, len(part) // 4, held, zlib.crc32(part)))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), schema.types)), schema=schema)
                         rows = []
@@ -353,8 +361,13 @@ def place(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return done
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece."""
-    cut_up = pieces(docs, tokenizer_file, capacity, end_id)
+def pack(
+    docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True
+) -> DataFrame:
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece.
+
+    Without `with_ids` the tokens themselves are not kept (`ids` is null).
+    """
+    cut_up = pieces(docs, tokenizer_file, capacity, end_id, with_ids)
     placed = place(cut_up.select("uid", "length"), capacity)
     return cut_up.join(placed, "uid").drop("uid")

@@ -116,7 +116,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json")).drop("ids")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
