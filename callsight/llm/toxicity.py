@@ -6,14 +6,18 @@ predictions, so a later model learns from probabilities as good as those it will
 
 Features of a text are its distinct words (small letters, ASCII marks dropped) and their
 beginnings of PREFIXES bytes, hashed to DIMENSIONS numbers, so that inflected and joined
-forms share what their beginning tells. The model is fitted on a bounded sample: of the
-labelled documents, those MAX_LABELLED with the smallest hash of their id. Scoring covers
-all documents and keeps nothing but the weights and a bounded word cache.
+forms share what their beginning tells. A feature is weighted by its smoothed log odds
+between the classes before the logistic fit, so that the many that tell nothing weigh
+nothing. The threshold of a category is the one with the fewest errors on the out-of-fold
+predictions. The models are fitted on a bounded sample: of the labelled documents, those
+MAX_LABELLED with the smallest hash of their id. Scoring covers all documents and keeps
+nothing but the weights and a bounded word cache.
 
 Defined cases: null and empty texts have no features and get the intercept's probability;
 repeated labels of a document count by their maximum; a null label leaves the document out
 of that category's training; a category without both classes always predicts its share;
-without any labelled row it is 0. Columns of the input named like an added one are replaced.
+without any labelled row it is 0. A threshold is never below
+MIN_THRESHOLD. Columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -29,14 +33,15 @@ from pyspark.sql import functions as F
 
 from callsight.llm.common import WordCache, text_bytes
 
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 DIMENSIONS = 1 << 18
 PREFIXES = (4, 5, 6)
 FOLDS = 3
 STEPS = 60
-RATE = 0.5
-DECAY = 1e-4
-THRESHOLD = 0.5
+RATE = 0.1
+DECAY = 1e-3
+SMOOTHING = 4.0  # documents that a feature is taken to have been in, split as all documents
+MIN_THRESHOLD = 0.05
 
 LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -75,11 +80,13 @@ class Rows:
 
 @dataclass
 class Linear:
-    """A logistic model: weights of hashed features, of earlier probabilities, intercept."""
+    """A logistic model: weights of hashed features, of earlier probabilities, intercept;
+    from `threshold` on it says yes."""
 
     weights: np.ndarray
     earlier: np.ndarray
     intercept: float
+    threshold: float = 0.5
 
     def predict(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
         text = np.bincount(rows.row, rows.value * self.weights[rows.at], len(rows.start) - 1)
@@ -90,13 +97,35 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def log_odds(rows: Rows, y: np.ndarray) -> np.ndarray:
+    """Of each feature: how much likelier it is in texts of the class, as a logarithm."""
+    held = np.bincount(rows.at, minlength=DIMENSIONS)
+    yes = np.bincount(rows.at, y[rows.row], DIMENSIONS)
+    share = y.mean()
+    odds = np.log((yes + SMOOTHING * share) / share) - np.log((held - yes + SMOOTHING * (1 - share)) / (1 - share))
+    return np.where(held > 0, odds, 0.0)
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Between the predictions where yes from there on gives the fewest errors; the middle one of equals."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(2 * y - 1)])
+    best = np.flatnonzero(errors == errors.min())
+    at = int(best[len(best) // 2])
+    between = np.concatenate([[0.0], p, [1.0]])
+    return max(MIN_THRESHOLD, float((between[at] + between[at + 1]) / 2))
+
+
 def fit_one(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
-    """Logistic regression by full gradients with a rate per weight."""
+    """Logistic regression over log-odds features by full gradients with a rate per weight."""
     model = Linear(np.zeros(DIMENSIONS), np.zeros(earlier.shape[1]), 0.0)
     share = float(y.mean()) if len(y) else 0.0
     model.intercept = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
     if share in (0.0, 1.0):
         return model
+    odds = log_odds(rows, y)
+    rows = Rows(rows.at, rows.value * odds[rows.at], rows.start)
     row = rows.row
     seen, seen_earlier, seen_one = np.full(DIMENSIONS, 1e-8), np.full(earlier.shape[1], 1e-8), 1e-8
     for _ in range(STEPS):
@@ -109,6 +138,7 @@ def fit_one(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
         model.weights -= RATE * slope / np.sqrt(seen)
         model.earlier -= RATE * slope_earlier / np.sqrt(seen_earlier)
         model.intercept -= RATE * slope_one / math.sqrt(seen_one)
+    model.weights *= odds
     return model
 
 
@@ -126,6 +156,8 @@ def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]
             out_of_fold[own] = model.predict(rows.take(own), earlier[own])
         all_known = np.flatnonzero(known)
         models.append(fit_one(rows.take(all_known), earlier[all_known], labels[all_known, k]))
+        if len(all_known):
+            models[-1].threshold = best_threshold(out_of_fold[all_known], labels[all_known, k])
         earlier = np.column_stack([earlier, out_of_fold])
     return models
 
@@ -184,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> list[Lin
     return fit_chain(sparse, known, folds)
 
 
-def score(docs: DataFrame, chain: list[Linear], categories: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with `p_<category>` of every category, and `<category>` where it passes the threshold."""
+def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFrame:
+    """`docs` with `p_<category>` of every category, and whether it reaches the category's threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     state: list = []
 
@@ -212,5 +244,5 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str], threshold
     return scored.select(
         *[c for c in docs.columns if c not in added],
         *[F.col(f"__scores.p_{c}").alias(f"p_{c}") for c in categories],
-        *[(F.col(f"__scores.p_{c}") >= threshold).alias(c) for c in categories],
+        *[(F.col(f"__scores.p_{c}") >= m.threshold).alias(c) for c, m in zip(categories, chain, strict=True)],
     )
