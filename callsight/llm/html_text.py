@@ -137,13 +137,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """A row per block: own, previous and next word count and link density, then the flags."""
+    """A row per block: the flags, then own, previous and next word count and link density."""
     words = np.array([0, *(b.words for b in page), 0], float)
     density = np.array([0, *(b.linked / b.words for b in page), 0], float)
     flags = np.array([(b.boiler, b.main, b.heading, b.item) for b in page], float).reshape(-1, 4)
     some_main = np.full((len(page), 1), float(any(b.main for b in page)))
     return np.column_stack(
-        [words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags, some_main]
+        [flags, some_main, words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]]
     )
 
 
@@ -208,6 +208,10 @@ LABELLED = [
     f"<body><p>{MARK}{LONG}</p></body>",
     f"<div class=sidebar><h3>top stories</h3><p>{LONG}</p></div><article><p>{MARK}yes.</p></article><footer><p>{LONG}</p><a href=x>contact</a></footer>",
     f"<article><h2>{MARK}part one</h2><p>{MARK}it is so.</p><blockquote>{MARK}{LONG}</blockquote><div class='share'>tell your friends</div></article><p>all material is ours and may not be used</p><div>seen by many people here today</div>",
+    f"<nav><a href=x>all</a></nav><article><h1>{MARK}title</h1><p>{MARK}a few words and more.</p></article><div class=ad>not for sale</div>",
+    f"<article><h1>{MARK}{LONG}</h1><p>{MARK}to be brief</p><div class=promo><p>{LONG}</p></div><p>{MARK}{LONG}</p><h2>{MARK}and on</h2><p>{MARK}<a href=x>see there</a></p></article><p>{LONG}</p><footer>the end</footer>",
+    f"<div class=menu><p>{LONG}</p></div><main><h1>{MARK}notes</h1><ul><li>{MARK}<a href=x>first</a></li><li>{MARK}<a href=x>second</a></li></ul></main><div><a href=x>back to the top of this page</a></div>",
+    f"<div><h1>{MARK}no article here</h1><p>{MARK}{LONG}</p><h2>{MARK}part two of it</h2><p>{MARK}{LONG}</p></div><div class=login><p>{LONG}</p></div>",
     f"<main><ul><li>{MARK}eggs and flour</li><li>{MARK}two cups of milk</li></ul><p>{MARK}mix well.</p></main><div><p>{LONG}</p></div>",
 ]
 
