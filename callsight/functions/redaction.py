@@ -7,9 +7,7 @@ outside engine can be plugged in as an Arrow-batched function.
 
 from __future__ import annotations
 
-import importlib.util
-import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from itertools import groupby
 from typing import Protocol
 
@@ -17,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
 # What counts as personal data and the token put in its place. The
 # order of the rules is part of the result, as a loose rule would swallow a strict one.
 EMAIL = (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL]")
@@ -47,9 +43,10 @@ def scrub(text: Column, rules: tuple[tuple[str, str], ...] = WORKER_RULES) -> Co
 
 
 class Engine(Protocol):
-    """An outside engine: returns the scrubbed text and whether anything was found."""
+    """An outside engine: scrubs a batch of texts, none of them null. A text counts as
+    changed if it comes back different."""
 
-    def redact(self, text: str) -> tuple[str, bool]: ...
+    def redact(self, texts: pd.Series) -> pd.Series: ...
 
 
 def by_rules(rules: tuple[tuple[str, str], ...] = WORKER_RULES) -> Callable[[Column], Column]:
@@ -74,42 +71,27 @@ def by_engine(factory: Callable[[], Engine]) -> Callable[[Column], Column]:
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         engine = factory()
         for texts in batches:
-            found = [engine.redact(t) if t else (t, False) for t in texts]
-            yield pd.DataFrame(found, columns=["text", "changed"])
+            clean = texts.copy()
+            filled = texts.notna() & (texts != "")
+            clean[filled] = engine.redact(texts[filled])
+            yield pd.DataFrame({"text": clean, "changed": filled & (clean != texts)})
 
     return apply
 
 
-class DeepEngine:
-    """Named-entity scrubbing by an optional package."""
-
-    def __init__(self) -> None:
-        from presidio_analyzer import AnalyzerEngine
-        from presidio_anonymizer import AnonymizerEngine
-
-        self.analyzer, self.anonymizer = AnalyzerEngine(), AnonymizerEngine()
-
-    def redact(self, text: str) -> tuple[str, bool]:
-        found = self.analyzer.analyze(text=text, language="en")
-        return (self.anonymizer.anonymize(text=text, analyzer_results=found).text, True) if found else (text, False)
-
+# What a configured name stands for, besides the engines that a caller brings along.
+REDACTORS: Mapping[str, Callable[[], Callable[[Column], Column]]] = {"none": by_nothing, "regex": by_rules}
 
-def choose(name: str = "regex", factory: Callable[[], Engine] | None = None) -> Callable[[Column], Column]:
-    """The redactor for a configured name in any letter case.
 
-    "none" leaves texts alone, "presidio" asks the deep engine (or `factory`), and
-    everything else, also a missing package, means the built-in rules.
-    """
-    kind = name.lower()
-    if kind == "none":
-        return by_nothing()
-    if kind == "presidio":
-        if factory is not None:
-            return by_engine(factory)
-        if all(importlib.util.find_spec(p) for p in ("presidio_analyzer", "presidio_anonymizer")):
-            return by_engine(DeepEngine)
-        log.warning("no deep engine installed, redacting by rules")
-    return by_rules()
+def choose(
+    name: str = "regex", engines: Mapping[str, Callable[[], Engine]] | None = None
+) -> Callable[[Column], Column]:
+    """The redactor for a configured name in any letter case: one of `engines` (name ->
+    factory), nothing, or the rules, which also stand in for names that nobody knows."""
+    brought = {key.lower(): factory for key, factory in (engines or {}).items()}
+    if name.lower() in brought:
+        return by_engine(brought[name.lower()])
+    return REDACTORS.get(name.lower(), by_rules)()
 
 
 def redact_events(df: DataFrame, redactor: Callable[[Column], Column] | None = None) -> DataFrame:

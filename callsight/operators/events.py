@@ -74,6 +74,7 @@ _PARSER = "map('allowSingleQuotes', 'false')"
 
 _DECIMAL = r"'^\\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*$'"
 _INTEGER = r"'^\\s*[+-]?[0-9]+([.]0+)?\\s*$'"
+_ZONE = r"'[Tt _].*([Zz]|[+-][0-9]{2}:?[0-9]{2})$'"
 _ISO = (
     r"'^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"([Tt _][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?$'"
@@ -112,8 +113,13 @@ def _typed(kind: str, s: str, k: str) -> str:
             when {is_text} and lower({s}) in ({_words(YES)}) then true
             when {is_text} and lower({s}) in ({_words(NO)}) then false end"""
     if kind == "time":
+        # The cast wants seconds.
+        iso = f"regexp_replace(translate(upper({s}), '_,', ' .'), '^(.{{16}})(Z|[+-]|$)', '$1:00$2')"
+        # Without a zone it is UTC, whatever the session's zone.
+        zoned = f"""case when {s} rlike {_ZONE} then regexp_replace({iso}, '([0-9]{{2}})([0-9]{{2}})$', '$1:$2') when length({s}) = 10 then concat({iso}, 'T00:00:00Z')
+            else concat({iso}, 'Z') end"""
         return f"""case when ({is_number} or {is_text}) and {s} rlike {_DECIMAL} then {_epoch(double)}
-            when {is_text} and {s} rlike {_ISO} then try_cast(translate(upper({s}), '_,', ' .') as timestamp) end"""
+            when {is_text} and {s} rlike {_ISO} then try_cast({zoned} as timestamp) end"""
     if kind == "object":
         return f"if(startswith({k}, 'OBJECT'), {s}, null)"
     raise ValueError(kind)
@@ -176,8 +182,11 @@ def _once(df: DataFrame, name: str, expr: str) -> DataFrame:
 
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
     """Adds `event` (typed fields, nulls where missing) and `reasons` (names of the bad
-    fields, or `json` when the text is no JSON object). No reasons means valid."""
-    out = _once(_once(df, "_doc", _parse(col)), "_f", _fields("_doc"))
+    fields, or `json` when the bytes are no UTF-8 or the text is no JSON object). No reasons
+    means valid. A record that has no time of its own is bad if its event has none either."""
+    text = f"cast({col} as string)"
+    out = _once(df, "_text", f"if(is_valid_utf8({text}), {text}, null)")
+    out = _once(_once(out, "_doc", _parse("_text")), "_f", _fields("_doc"))
     # A few fields at a time: the code generated for all at once is too long for the JIT.
     names, parts = list(FIELDS), {}
     for i in range(0, len(names), 4):
@@ -185,9 +194,12 @@ def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
         out = _once(out, f"_part{i}", _values("_f", part))
         parts |= {n: f"_part{i}.{n}" for n in part}
     event = f"struct({', '.join(f'{at} as {n}' for n, at in parts.items())}) as event"
-    return out.selectExpr(*df.columns, event, "_f").selectExpr(
-        *df.columns, "event", f"{_reasons('event', '_f')} as reasons"
-    )
+    reasons = _reasons("event", "_f")
+    if "timestamp" in df.columns:
+        timeless = "size(_reasons) = 0 and event.created_at is null and timestamp is null"
+        found = out.selectExpr(*df.columns, event, "_f").selectExpr(*df.columns, "event", f"{reasons} as _reasons")
+        return found.selectExpr(*df.columns, "event", f"if({timeless}, array('created_at'), _reasons) as reasons")
+    return out.selectExpr(*df.columns, event, "_f").selectExpr(*df.columns, "event", f"{reasons} as reasons")
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +218,7 @@ def apply_defaults(valid: DataFrame) -> DataFrame:
     event = F.col("event")
     place = F.concat_ws("/", "topic", "partition", "offset")
     origin = F.when(F.col("offset").isNotNull(), place).otherwise(
-        F.concat_ws("/", "key", "value", F.col("timestamp").cast("string"))
+        F.concat_ws("/", "key", F.col("value").cast("string"), F.col("timestamp").cast("string"))
     )
     made_up = {
         "request_id": F.concat(F.lit("req_"), F.substring(F.sha2(origin, 256), 1, 32)),

@@ -47,7 +47,7 @@ LOG_KEYS = ["created_at", "provider", "model", "request_id"]
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("key", T.StringType()),
-        T.StructField("value", T.StringType()),
+        T.StructField("value", T.BinaryType()),
         T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
         T.StructField("offset", T.LongType()),

@@ -22,6 +22,13 @@ def build_session(app: str = "callsight", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Days and buckets are those of UTC; a session in another zone would shift them."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "Z", "GMT", "ETC/UTC", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}, not UTC")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder the cluster shares (`spark.checkpoint.dir`).
 

@@ -8,6 +8,7 @@ the time: day directories and row-group statistics both cut time ranges.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Iterable
 
@@ -18,17 +19,23 @@ from pyspark.sql import types as T
 from callsight.functions.times import RETENTION_DAYS, as_time, to_millis
 from callsight.operators.logs import Time, dedup_latest, in_range
 from callsight.schemas import EVENT_COLUMNS, LOG_KEYS, LOG_SCHEMA
+from callsight.session import require_utc
 
 TABLE_SCHEMA = T.StructType(
     [*LOG_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.StringType())]
 )
 FAR_PAST, FAR_FUTURE = "0001-01-01", "9999-12-31"
 COMPACTED = "compact-"
+RECORDS = "_compactions"  # what compactions have replaced; table scans pass it by
+FILE_BYTES = 256 << 20
+GRACE = dt.timedelta(hours=24)
+_PLACE = re.compile(r"/day=(\d{4}-\d{2}-\d{2})/batch=([^/]+)/")
 
 
 def write_logs(rows: DataFrame, path: str, batch_id: str, ingested_at: Time | None = None) -> None:
     """Store log rows (the 19 event columns). No shuffle: each task writes its own rows,
     and `compact_days` makes large files of a day later."""
+    require_utc(rows.sparkSession)
     arrived = F.current_timestamp() if ingested_at is None else as_time(ingested_at)
     stamped = rows.select(*EVENT_COLUMNS).withColumn("ingested_at", to_millis(arrived))
     _save(stamped.withColumn("day", F.to_date("created_at")), path, str(batch_id))
@@ -55,19 +62,25 @@ def read_latest(spark: SparkSession, path: str, since: Time | None = None, until
     """One row per call of a time range.
 
     A day that is one compacted batch holds no copies and is read as it lies; only days
-    with newer batches pay for the removal of copies, as a rule the current one.
+    with newer batches pay for the removal of copies, as a rule the current one. Which days
+    these are is taken from the files that the scan itself has listed, so a batch that
+    arrives meanwhile is either seen by both or by none.
     """
-    settled = [d for d in stored_days(spark, path) if _is_settled(_folders(spark, f"{path}/day={d}"))]
-    rows = read_logs(spark, path, since, until).drop("batch")
-    is_settled = F.col("day").isin(settled)
+    table = spark.read.schema(TABLE_SCHEMA).parquet(path)
+    held: dict[str, set[str]] = {}
+    for file in table.inputFiles():
+        if place := _PLACE.search(file):
+            held.setdefault(place[1], set()).add(place[2])
+    settled = [day for day, batches in held.items() if len(batches) == 1 and min(batches).startswith(COMPACTED)]
+    if since or until:
+        first, last = (str(as_day) for as_day in (since or FAR_PAST, until or FAR_FUTURE))
+        settled = [day for day in settled if first[:10] <= day <= last[:10]]
+        table = in_range(table, since or FAR_PAST, until or FAR_FUTURE)
+    rows = table.drop("batch")
+    is_settled = F.coalesce(F.col("day").cast("string").isin(settled), F.lit(False))
     return rows.where(is_settled).unionByName(dedup_latest(rows.where(~is_settled)))
 
 
-def _is_settled(folders: list[str]) -> bool:
-    batches = [f for f in folders if f.startswith("batch=")]
-    return len(batches) == 1 and batches[0].startswith(f"batch={COMPACTED}")
-
-
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder of the table's file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,14 +98,19 @@ def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
     return sorted(dt.date.fromisoformat(n) for n in names if n != "__HIVE_DEFAULT_PARTITION__")
 
 
-def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> None:
+def _bytes(spark: SparkSession, path: str) -> int:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
+def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date], file_bytes: int = FILE_BYTES) -> None:
     """Collapse copies within whole days and write each day anew as one batch.
 
-    The old batches go only after the new one is complete: a crash in between leaves
-    copies, which the next compaction or a read with dedup removes, and never a gap. A
+    The old batches stay until `remove_replaced`: a query that has planned to read them can
+    end, and reads remove the copies meanwhile. A crash leaves copies and never a gap. A
     batch that arrives meanwhile stays. Copies agree on created_at, so they never lie in
-    two days. The rows are cut into ranges of time: a large day becomes several files
-    that do not overlap, and an hour's query opens few of them.
+    two days. The rows are cut into ranges of time of about `file_bytes`: a large day becomes
+    several files that do not overlap, and an hour's query opens few of them.
     """
     days = list(days)
     old = [
@@ -104,9 +122,28 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date]) -> Non
     if not old:
         return
     rows = spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*old)
-    _save(dedup_latest(rows).drop("batch").repartitionByRange("day", *LOG_KEYS), path, f"{COMPACTED}{uuid.uuid4().hex}")
-    for folder in old:
-        _remove(spark, folder)
+    ranges = max(1, -(-sum(_bytes(spark, folder) for folder in old) // file_bytes))
+    name = f"{COMPACTED}{uuid.uuid4().hex}"
+    _save(dedup_latest(rows).drop("batch").repartitionByRange(ranges, "day", *LOG_KEYS), path, name)
+    replaced = spark.createDataFrame([(folder[len(path) + 1 :],) for folder in old], "folder string")
+    replaced.withColumn("at", F.current_timestamp()).coalesce(1).write.json(f"{path}/{RECORDS}/{name}")
+
+
+def remove_replaced(spark: SparkSession, path: str, grace: dt.timedelta = GRACE) -> int:
+    """Remove the batches that compactions older than `grace` have replaced; returns how many.
+    `grace` must be longer than any query over the table takes."""
+    records = [f"{path}/{RECORDS}/{name}" for name in _folders(spark, f"{path}/{RECORDS}")]
+    gone = 0
+    for record in records:
+        rows = spark.read.schema("folder string, at timestamp").json(record)
+        seconds = int(grace.total_seconds())
+        folders = [r.folder for r in rows.where(F.col("at") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))).collect()]
+        for folder in folders:
+            _remove(spark, f"{path}/{folder}")
+        if folders:
+            _remove(spark, record)
+        gone += len(folders)
+    return gone
 
 
 def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, keep_days: int = RETENTION_DAYS) -> list[dt.date]:

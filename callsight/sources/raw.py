@@ -1,6 +1,6 @@
 """The raw topic and its stand-in on files, and dead letters.
 
-A record has the columns of `RAW_SCHEMA`. With the Kafka package on the class path the
+A record has the columns of `RAW_SCHEMA`; its value is bytes, in files as base64. With the Kafka package on the class path the
 topic itself is read and written; otherwise, JSON-lines files of the same records.
 """
 
@@ -12,36 +12,34 @@ from pyspark.sql import functions as F
 from callsight.functions.text import session_key
 from callsight.schemas import RAW_SCHEMA
 
-# Topics, partitions of the raw topic, records per poll.
+# Topics, partitions of the raw topic.
 RAW_TOPIC = "inference.logs.raw"
 DEAD_TOPIC = "inference.logs.dlq"
 RAW_PARTITIONS = 3
-POLL_RECORDS = 500
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).json(path)
 
 
-def read_raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Records from files, oldest files first."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+def read_raw_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Records from files, oldest files first; all that there are, or so many at a time."""
+    reader = spark.readStream.schema(RAW_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(path)
 
 
 def read_raw_topic(
-    spark: SparkSession, servers: str, topic: str = RAW_TOPIC, max_per_trigger: int = POLL_RECORDS
+    spark: SparkSession, servers: str, topic: str = RAW_TOPIC, max_per_trigger: int | None = None
 ) -> DataFrame:
-    """Records from the topic's start, at most `max_per_trigger` at a time. The place
-    read up to is kept in the query's checkpoint, not in a consumer group."""
-    records = (
+    """Records from the topic's start, all that there are or at most `max_per_trigger` at a
+    time. The place read up to is kept in the query's checkpoint, not in a consumer group."""
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", max_per_trigger)
-        .load()
     )
+    records = (reader.option("maxOffsetsPerTrigger", max_per_trigger) if max_per_trigger else reader).load()
     return records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
 
 
@@ -51,17 +49,21 @@ def keyed(events: DataFrame) -> DataFrame:
     return events.select(key.alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
 
 
-def write_raw(events: DataFrame, path: str, topic: str = RAW_TOPIC, partitions: int = RAW_PARTITIONS) -> None:
-    """Append events as record files. The key decides the partition a record names, as
-    in the topic; no shuffle is needed for that."""
+def write_raw(
+    events: DataFrame, path: str, batch_id: str, topic: str = RAW_TOPIC, partitions: int = RAW_PARTITIONS
+) -> None:
+    """Store events as record files. Writing a batch again replaces it. The key decides the
+    partition a record names, as in the topic; no shuffle is needed for that."""
     records = keyed(events).withColumns(
         {
             "topic": F.lit(topic),
             "partition": F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"),
             "timestamp": F.current_timestamp(),
+            "value": F.col("value").cast("binary"),
+            "batch": F.lit(str(batch_id)),
         }
     )
-    records.write.mode("append").json(path)
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
 
 
 def write_raw_topic(events: DataFrame, servers: str, topic: str = RAW_TOPIC) -> None:

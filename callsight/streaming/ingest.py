@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,25 +52,34 @@ def run_ingest(
     redactor: Callable[[Column], Column] | None = None,
     counts_path: str | None = None,
     every: str | None = None,
+    dead_sink: Callable[[DataFrame, str], None] | None = None,
 ) -> StreamingQuery:
     """Start the ingest stream; without `every` it takes what is there and ends.
 
     The stream's position moves on only after both writes of a batch are done. Until
     then the batch is read and written again under the same name, which replaces the
-    first try, so a crash loses and doubles nothing. To replay after a change of rules,
-    start with a new checkpoint into a new table.
+    first try, so a crash loses and doubles nothing. The name starts with the id that the
+    checkpoint was given, so any number of streams can write into one table; a replay with
+    a new checkpoint adds copies, which reads remove.
+
+    Dead letters go to files below `dead_path`, or to `dead_sink`, which gets them with the
+    batch's name (`raw.write_dead_topic` with its servers bound, say).
     """
 
+    def bury(dead: DataFrame, name: str) -> None:
+        write_dead_letters(dead, dead_path, name)
+
     def store(batch: DataFrame, batch_id: int) -> None:
+        name = f"{stream_id(batch.sparkSession, checkpoint)}-{batch_id:012d}"
         # Both sinks take their share of one parse.
         parsed = parse_events(batch).persist()
         try:
             valid, dead = split_valid(parsed)
             rows = to_log_row(redaction.redact_events(apply_defaults(valid), redactor))
-            write_with_retry(lambda: write_logs(rows, logs_path, f"{batch_id:012d}"))
-            write_with_retry(lambda: write_dead_letters(dead, dead_path, f"{batch_id:012d}"))
+            write_with_retry(lambda: write_logs(rows, logs_path, name))
+            write_with_retry(lambda: (dead_sink or bury)(dead, name))
             if counts_path:
-                write_with_retry(lambda: write_counts(ingest_counts(parsed), batch_id, counts_path))
+                write_with_retry(lambda: write_counts(ingest_counts(parsed), batch_id, name, counts_path))
         finally:
             parsed.unpersist()
 
@@ -79,9 +88,15 @@ def run_ingest(
     return writer.start()
 
 
-def write_counts(counts: DataFrame, batch_id: int, path: str) -> None:
-    """Stored and dead records of one batch, one row; a replay replaces it."""
-    named = counts.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "batch": F.lit(batch_id)})
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream's checkpoint was given when it was made; restarts keep it, and a
+    checkpoint that was removed and made again has another one."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first().id
+
+
+def write_counts(counts: DataFrame, batch_id: int, name: str, path: str) -> None:
+    """Stored and dead records of one batch, one row; another try replaces it."""
+    named = counts.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "batch": F.lit(name)})
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 

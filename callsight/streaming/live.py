@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,11 +33,44 @@ def live_metrics(
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query's watermark left out, over its known progress."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"]
+def _save_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch").parquet(path)
+
+
+def keep_live_metrics(metrics: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps the stream of `live_metrics` as a table that also shows the open buckets: every
+    batch adds the buckets that it has changed, `read_live_metrics` takes the newest state."""
+    writer = metrics.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda rows, batch_id: _save_batch(rows, path, batch_id))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def read_live_metrics(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest state of every bucket."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in ("t", "batch", *by)]
+    newest = rows.groupBy("t", *by).agg(F.max_by(F.struct(*values), "batch").alias("_now"))
+    return newest.select("t", *by, "_now.*")
+
+
+def keep_input_counts(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Counts a stream's rows by batch, for `late_rows`."""
+    writer = logs.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(
+        lambda rows, batch_id: _save_batch(rows.agg(F.count(F.lit(1)).alias("n")), path, batch_id)
     )
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def late_rows(spark: SparkSession, counts_path: str, metrics_path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """How many rows the kept live metrics have left out: those that came in, less those that
+    some bucket counts. Exact when both queries have got equally far."""
+    came = spark.read.schema("n bigint, batch bigint").parquet(counts_path).agg(F.sum("n").alias("came"))
+    counted = read_live_metrics(spark, metrics_path, by).agg(F.sum("requests").alias("counted"))
+    both = came.withColumn("sign", F.lit(1)).union(counted.withColumn("sign", F.lit(-1)))
+    return both.agg(F.coalesce(F.sum(F.col("came") * F.col("sign")), F.lit(0)).alias("late"))
 
 
 def assemble_stream_live(chunks: DataFrame, gap: str, delay: str) -> DataFrame:

@@ -31,7 +31,7 @@ def flat(assembled):
 
 # The first piece with text in it marks the first token.
 _LEAD = "list_position(list_transform(string_split(content, ' '), lambda w, i: CASE WHEN w <> '' OR i > 1 THEN 1 ELSE 0 END), 1)"
-ASSEMBLED = f"""SELECT id AS request_id, content AS text, 'openai/gpt-4o-mini' AS model, 7 AS prompt_tokens,
+ASSEMBLED = f"""SELECT id AS request_id, content AS text, 'north/aurora-small' AS model, 7 AS prompt_tokens,
   len(string_split(content, ' ')) AS completion_tokens, len(string_split(content, ' ')) + 7 AS total_tokens,
   {iso(f'created_at + to_milliseconds(20 * {_LEAD})')} AS first_token_at,
   {iso("created_at + to_milliseconds(20 * (len(string_split(content, ' ')) + 1))")} AS last_chunk_at
@@ -72,7 +72,7 @@ register(
       SELECT id, created_at, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS n
       FROM messages WHERE role = 'assistant')
     SELECT id AS request_id, n * 4 AS seq, {iso('created_at + to_milliseconds(20 * (n + 1))')} AS ts,
-      CASE WHEN n = 0 THEN word ELSE ' ' || word END AS delta, CASE WHEN n = 0 THEN 'openai/gpt-4o-mini' END AS model,
+      CASE WHEN n = 0 THEN word ELSE ' ' || word END AS delta, CASE WHEN n = 0 THEN 'north/aurora-small' END AS model,
       NULL AS prompt_tokens, NULL AS completion_tokens, NULL AS total_tokens
     FROM w WHERE n > 0 OR word <> ''
     UNION ALL
@@ -159,7 +159,7 @@ raw AS (
 made AS (
   SELECT request_id, session_id, conversation_id,
     CASE WHEN lost THEN adapter WHEN NOT streamed THEN 'answered' WHEN adapter = 'ollama' THEN 'ollama'
-         WHEN adapter <> 'openrouter' AND answered = 'qwen3:14b' THEN 'ollama'
+         WHEN adapter <> 'openrouter' AND answered = 'slate:14b' THEN 'ollama'
          WHEN contains(answered, '/') THEN split_part(answered, '/', 1) ELSE 'openrouter' END AS provider,
     CASE WHEN lost THEN model ELSE answered END AS model, status,
     CASE WHEN status = 'error' THEN 'RuntimeError' END AS error_type,
@@ -176,7 +176,7 @@ made AS (
 )"""
 register(
     "build_log_event",
-    lambda s, d: times_as_text(ops.build_log_event(finished_calls(s, d), fallback_model="qwen3:14b").select(*_EVENT)),
+    lambda s, d: times_as_text(ops.build_log_event(finished_calls(s, d), fallback_model="slate:14b").select(*_EVENT)),
     f"WITH {EVENTS}, {_CALLS} SELECT *, false AS redacted FROM made",
 )
 register(

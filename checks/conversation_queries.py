@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from callsight.operators import conversations as ops
 from callsight.operators.logs import dedup_latest
+from callsight.session import scratch_path
+from callsight.sources import chat
 from checks import inputs
 from checks.metrics_queries import times_as_text
 from checks.sql import EVENTS, MESSAGES, iso, model_of
@@ -212,3 +214,13 @@ register(
     f"""WITH {MESSAGES} SELECT id, conversation_id FROM messages
     WHERE conversation_id IN (SELECT id FROM convs WHERE status <> 'archived')""",
 )
+
+
+def snapshot(spark, sf_dir):
+    """The chat tables written as a snapshot and read back."""
+    path = scratch_path(spark, "chat")
+    chat.write_chat(*both(spark, sf_dir), path)
+    return times_as_text(ops.with_message_count(*chat.read_chat(spark, path)))
+
+
+register("chat_snapshot", snapshot, SQL["message_counts"])

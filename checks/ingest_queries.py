@@ -133,6 +133,7 @@ STORED_SQL = ", ".join(c for c in STORED[:-2]) + f", {iso('created_at')} AS crea
 def compacted(spark, sf_dir):
     path = stored(spark, sf_dir)
     table.compact_days(spark, path, table.stored_days(spark, path))
+    table.remove_replaced(spark, path, dt.timedelta(0))
     return times_as_text(table.read_logs(spark, path).select(*STORED))
 
 
@@ -158,10 +159,12 @@ register(
 
 
 def latest(spark, sf_dir):
-    """Some days compacted, the others with their copies."""
+    """Some days compacted, a third of them not cleaned up, the others with their copies."""
     path = stored(spark, sf_dir)
     days = table.stored_days(spark, path)
-    table.compact_days(spark, path, days[: len(days) // 2])
+    table.compact_days(spark, path, days[: len(days) // 3])
+    table.remove_replaced(spark, path, dt.timedelta(0))
+    table.compact_days(spark, path, days[len(days) // 3 : len(days) // 2])
     return times_as_text(table.read_latest(spark, path).select(*STORED[:-1]))
 
 
@@ -184,6 +187,7 @@ register(
 # --- streams ----------------------------------------------------------------------------
 
 FILES = 4
+FILES_PER_PART = 2
 
 
 def record_files(spark, sf_dir):
@@ -195,21 +199,69 @@ def record_files(spark, sf_dir):
 
 def ingested(spark, sf_dir):
     logs, dead, counts = (scratch_path(spark, n) for n in ("logs", "dead", "counts"))
-    records = raw.read_raw_stream(spark, record_files(spark, sf_dir))
+    records = raw.read_raw_stream(spark, record_files(spark, sf_dir), 1)
     ingest.run_ingest(records, logs, dead, scratch_path(spark, "checkpoint"), counts_path=counts).awaitTermination()
     return logs, dead, counts
 
 
+def two_topics(spark, sf_dir):
+    """Two streams with checkpoints of their own into the same tables."""
+    logs, dead = scratch_path(spark, "logs"), scratch_path(spark, "dead")
+    for part in ("partition = 0", "partition > 0"):
+        path = scratch_path(spark, "raw")
+        inputs.raw_records(spark, sf_dir).where(part).repartition(FILES).write.json(path)
+        records = raw.read_raw_stream(spark, path, 2)
+        ingest.run_ingest(records, logs, dead, scratch_path(spark, "checkpoint")).awaitTermination()
+    return logs, dead
+
+
+def replayed(spark, sf_dir):
+    """The same records twice, each time from the start, into the same table."""
+    path = record_files(spark, sf_dir)
+    logs, dead = scratch_path(spark, "logs"), scratch_path(spark, "dead")
+    for _ in range(2):
+        records = raw.read_raw_stream(spark, path, 2)
+        ingest.run_ingest(records, logs, dead, scratch_path(spark, "checkpoint")).awaitTermination()
+    return logs
+
+
+def intact(letters, spark, sf_dir):
+    """Dead letters, and whether each still has the bytes of its record."""
+    sent = inputs.raw_records(spark, sf_dir).select("key", F.col("value").alias("sent"))
+    same = F.coalesce(F.col("value") == F.col("sent"), F.lit(False))
+    return letters.join(sent, "key").select("key", F.array_join("reasons", ",").alias("reasons"), same.alias("intact"))
+
+
 register(
     "stream_ingest_logs",
     lambda s, d: times_as_text(table.read_logs(s, ingested(s, d)[0]).select(*ROW)),
     SQL["parse_events_valid"],
 )
+DEAD_INTACT = f"SELECT *, true AS intact FROM ({SQL['parse_events_dead']})"
+register("stream_dead_letters", lambda s, d: intact(raw.read_dead_letters(s, ingested(s, d)[1]), s, d), DEAD_INTACT)
 register(
-    "stream_dead_letters",
-    lambda s, d: raw.read_dead_letters(s, ingested(s, d)[1]).select("key", "value", F.array_join("reasons", ",").alias("reasons")).drop("value"),
-    SQL["parse_events_dead"],
+    "stream_two_topics",
+    lambda s, d: times_as_text(table.read_logs(s, two_topics(s, d)[0]).select(*ROW)),
+    SQL["parse_events_valid"],
 )
+register("stream_two_topics_dead", lambda s, d: intact(raw.read_dead_letters(s, two_topics(s, d)[1]), s, d), DEAD_INTACT)
+register(
+    "stream_replay_same_table",
+    lambda s, d: times_as_text(table.read_latest(s, replayed(s, d)).select(*ROW)),
+    SQL["parse_events_valid"],
+)
+
+
+def round_trip(spark, sf_dir):
+    """Events written as raw records and ingested again; the second write replaces the first."""
+    path = scratch_path(spark, "raw")
+    events = ops.to_log_row(ops.apply_defaults(ops.split_valid(parsed(spark, sf_dir))[0]))
+    for _ in range(2):
+        raw.write_raw(events.withColumn("metadata", F.from_json("metadata", "map<string,string>")), path, "1")
+    return times_as_text(ingest.ingest_rows(raw.read_raw(spark, path))[0].select(*ROW))
+
+
+register("raw_round_trip", round_trip, SQL["parse_events_valid"])
 register(
     "stream_ingest_counts",
     lambda s, d: s.read.schema("batch_id bigint, stored bigint, dead bigint").parquet(ingested(s, d)[2]).agg(
@@ -220,14 +272,22 @@ register(
 
 
 def stream_by_time(spark, rows, time):
-    """The rows as a stream of parts in the order of time, one part per batch. A file
-    stream takes the oldest files first, so the parts are written one after the other."""
-    path = scratch_path(spark, "rows")
+    """The rows as a stream of parts in the order of time, one part per batch."""
+    source = scratch_path(spark, "source")
+    rows.write.parquet(source)
+    rows = spark.read.schema(rows.schema).parquet(source)
     cuts = rows.agg(F.percentile_approx(F.unix_micros(time), [i / FILES for i in range(1, FILES)]).alias("c"))
     part = F.size(F.filter(F.lit(cuts.first()["c"]), lambda c: c < F.unix_micros(time)))
-    for i in range(FILES):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream_of_parts(spark, [rows.where(part == i) for i in range(FILES)])
+
+
+def stream_of_parts(spark, parts):
+    """A batch per part. A file stream takes the oldest files first, so the parts are
+    written one after the other."""
+    path, rows = scratch_path(spark, "rows"), parts[0]
+    for part in parts:
+        part.repartition(FILES_PER_PART).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(path)
 
 
 def log_stream(spark, sf_dir):
@@ -246,16 +306,24 @@ def run_to_table(df, spark, mode="append"):
 register(
     "stream_dedup",
     lambda s, d: times_as_text(
-        run_to_table(dedup_stream(log_stream(s, d), "30 days"), s).select("request_id", "provider", "latency_ms", "created_at")
+        run_to_table(dedup_stream(log_stream(s, d), "1 hour"), s).select("request_id", "provider", "latency_ms", "created_at")
     ),
     f"WITH {EVENTS} SELECT request_id, provider, latency_ms, {iso('created_at')} AS created_at FROM calls",
 )
-# The stream holds back the buckets its watermark has not passed: the SQL counts the
-# buckets that end at least the delay before the last row.
+
+
+def live_table(spark, sf_dir):
+    """All buckets, the open ones as far as they go."""
+    path = scratch_path(spark, "live")
+    found = live.live_metrics(log_stream(spark, sf_dir), 21600, "1 hour", ("provider",))
+    live.keep_live_metrics(found, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return live.read_live_metrics(spark, path, ("provider",))
+
+
 register(
     "stream_live_metrics",
     lambda s, d: times_as_text(
-        run_to_table(live.live_metrics(log_stream(s, d), 21600, "1 hour", ("provider",)), s).select(
+        live_table(s, d).select(
             "t", "provider", "requests", "errors", "tokens", F.bround("cost_usd", 6).alias("cost_usd"), "p95_ms"
         )
     ),
@@ -263,5 +331,24 @@ register(
     SELECT {iso('bucket')} AS t, provider, count(*) AS requests, count(*) FILTER (status = 'error') AS errors,
       CAST(sum(total_tokens) AS BIGINT) AS tokens, round_even(sum(cost_usd), 6) AS cost_usd,
       quantile_disc(latency_ms, 0.95) AS p95_ms
-    FROM b WHERE bucket + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM calls) - INTERVAL 1 HOUR GROUP BY bucket, provider""",
+    FROM b GROUP BY bucket, provider""",
+)
+
+
+def late(spark, sf_dir):
+    """The newest rows come first, in two batches, so that the others are late."""
+    counts, table_, rows = scratch_path(spark, "late"), scratch_path(spark, "live"), inputs.raw_logs(spark, sf_dir)
+    kinds = ("created_at >= '2024-01-25'", "created_at >= '2024-01-23' and created_at < '2024-01-25'", "created_at < '2024-01-23'")
+    stream = stream_of_parts(spark, [rows.where(kind) for kind in kinds])
+    live.keep_input_counts(stream, counts, scratch_path(spark, "checkpoint")).awaitTermination()
+    metrics_ = live.live_metrics(stream, 21600, "1 hour")
+    live.keep_live_metrics(metrics_, table_, scratch_path(spark, "checkpoint")).awaitTermination()
+    return live.late_rows(spark, counts, table_)
+
+
+# A batch leaves out the rows behind the newest row of the batches before the last one.
+register(
+    "stream_late_rows",
+    late,
+    f"WITH {EVENTS} SELECT count(*) AS late FROM raw_logs WHERE created_at < TIMESTAMP '2024-01-23 00:00:00'",
 )

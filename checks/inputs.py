@@ -8,18 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.functions.text import blank, preview
+from callsight.functions.text import blank, preview, title
 from callsight.functions.times import to_millis
 
 AS_OF = "2024-01-31 00:00:00"
 RANGE = ("2024-01-24 00:00:00", "2024-01-31 00:00:00")
 MODELS = [
-    "openai/gpt-4o-mini",
-    "anthropic/claude-3.5-sonnet",
-    "google/gemini-flash-1.5",
-    "deepseek/deepseek-chat",
-    "qwen3:14b",
-    "qwen3:8b",
+    "north/aurora-small",
+    "east/comet-2.1",
+    "south/delta-quick",
+    "west/ember-chat",
+    "slate:14b",
+    "slate:8b",
 ]
 
 
@@ -114,9 +114,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(
             "id",
-            F.substring("_first", 1, 40).alias("title"),
+            title(F.col("_first")).alias("title"),
             F.when(number % 5 == 3, "cancelled").when(number % 5 == 4, "archived").otherwise("active").alias("status"),
-            F.lit("openai/gpt-4o-mini").alias("model"),
+            F.lit(MODELS[0]).alias("model"),
             "created_at",
             "updated_at",
         )
@@ -184,7 +184,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("request_id"),
         F.col("conversation_id").alias("session_id"),
         "conversation_id",
-        F.lit("qwen3:8b").alias("model"),
+        F.lit("slate:8b").alias("model"),
         F.col("created_at").alias("started_at"),
         "content",
         "status",
@@ -200,7 +200,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
             i.cast("bigint").alias("seq"),
             F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)).alias("delta"),
             F.lit(None).cast("struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>").alias("usage"),
-            F.when(i == 0, F.lit("openai/gpt-4o-mini")).alias("model"),
+            F.when(i == 0, F.lit(MODELS[0])).alias("model"),
         ),
     )
     count = F.size(pieces).cast("bigint")
@@ -300,7 +300,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return wire_events(spark, sf_dir).select(
         F.concat(F.lit("k"), e).alias("key"),
-        "value",
+        F.col("value").cast("binary").alias("value"),
         F.lit("raw").alias("topic"),
         (e % 3).cast("int").alias("partition"),
         F.floor(e / 3).cast("bigint").alias("offset"),

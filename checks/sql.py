@@ -50,7 +50,7 @@ logs AS (
     FROM raw_logs) WHERE rank = 1
 )"""
 
-MESSAGES = """
+MESSAGES = fr"""
 messages AS (
   SELECT 'm' || conv_id || '_' || turn AS id, 'c' || conv_id AS conversation_id, role, text AS content,
     CASE WHEN role = 'assistant' AND (conv_id + turn) % 17 = 0 THEN 'error'
@@ -65,9 +65,11 @@ messages AS (
   FROM conversations
 ),
 convs AS (
-  SELECT conversation_id AS id, substr(arg_min(content, created_at) FILTER (role = 'user'), 1, 40) AS title,
+  SELECT conversation_id AS id,
+    regexp_replace(replace(regexp_replace(arg_min(content, created_at) FILTER (role = 'user'), '^\s+|\s+$', '', 'g'), chr(10), ' '),
+      '^(.{{60}}).+$', '\1…') AS title,
     CASE conv_id % 5 WHEN 3 THEN 'cancelled' WHEN 4 THEN 'archived' ELSE 'active' END AS status,
-    'openai/gpt-4o-mini' AS model, min(created_at) AS created_at, max(created_at) AS updated_at
+    '{MODELS[0]}' AS model, min(created_at) AS created_at, max(created_at) AS updated_at
   FROM messages GROUP BY conversation_id, conv_id
   UNION ALL
   SELECT 'empty' || n, NULL, 'active', NULL, TIMESTAMP '2023-12-31 00:00:00', TIMESTAMP '2023-12-31 00:00:00'

@@ -1,5 +1,6 @@
 """Validation of events, defaults, log rows and client batches."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -89,7 +90,7 @@ def test_repeated_key_last_wins(spark):
 
 def test_split_keeps_every_record(spark):
     values = [json.dumps(BASE), "{bad", raw_field("latency_ms", "null"), json.dumps(BASE)]
-    rows = spark.createDataFrame([("k", v, "t", 0, i, None) for i, v in enumerate(values)], RAW)
+    rows = spark.createDataFrame([("k", v, "t", 0, i, dt.datetime(2024, 1, 1)) for i, v in enumerate(values)], RAW)
     valid, dead = ops.split_valid(ops.parse_events(rows))
     assert valid.count() == 2
     assert [(r.key, r.value, r.offset) for r in dead.orderBy("offset").collect()] == [("k", values[1], 1), ("k", values[2], 2)]

@@ -56,13 +56,13 @@ def test_redacted_event_keeps_its_key(spark):
 
 def test_engine_choice(spark):
     class Shout:
-        def redact(self, value):
-            return value.upper(), value != value.upper()
+        def redact(self, texts):
+            return texts.str.upper()
 
     assert one(spark, redaction.choose("none"), "a@b.com").text == "a@b.com"
     assert one(spark, redaction.choose("REGEX"), "a@b.com").text == "[EMAIL]"
-    assert one(spark, redaction.choose("presidio"), "a@b.com").text == "[EMAIL]"  # not installed: rules
-    deep = redaction.choose("Presidio", Shout)
+    assert one(spark, redaction.choose("unknown"), "a@b.com").text == "[EMAIL]"  # nobody knows it: rules
+    deep = redaction.choose("Shout", {"shout": Shout})
     rows = spark.createDataFrame([("ab",), ("",), (None,)], "x string").select(deep(F.col("x")).alias("y")).collect()
     assert [(r.y.text, r.y.changed) for r in rows] == [("AB", True), ("", False), (None, False)]
 
@@ -91,7 +91,7 @@ def test_title(spark, value, title):
 
 @pytest.mark.parametrize(
     "model,provider",
-    [("a/b/c", "a"), ("qwen3:8b", "openrouter"), ("", "openrouter"), (None, "openrouter"), ("/x", "")],
+    [("a/b/c", "a"), ("slate:8b", "openrouter"), ("", "openrouter"), (None, "openrouter"), ("/x", "")],
 )
 def test_provider(spark, model, provider):
     assert one(spark, text.provider_from_model, model) == provider

@@ -136,7 +136,11 @@ def test_compaction(spark, raw, tmp_path):
     table.write_logs(raw, path, "2", "2024-02-02")
     days = table.stored_days(spark, path)
     before = rows(ops.dedup_latest(table.read_logs(spark, path)).drop("batch"))
+    running = table.read_latest(spark, path)  # has planned to read the old batches
     table.compact_days(spark, path, days[:3])
+    assert rows(running) == rows(table.read_latest(spark, path)) == before
+    assert table.remove_replaced(spark, path) == 0  # too young
+    assert table.remove_replaced(spark, path, dt.timedelta(0)) == 6
     assert all(len([b for b in os.listdir(f"{path}/day={d}") if b.startswith("batch=")]) == 1 for d in days[:3])
     assert rows(ops.dedup_latest(table.read_logs(spark, path)).drop("batch")) == before
     assert rows(table.read_latest(spark, path)) == before
@@ -148,7 +152,8 @@ def test_compaction(spark, raw, tmp_path):
 def test_late_row_reaches_its_own_day(spark, raw, tmp_path):
     path = str(tmp_path / "logs")
     table.write_logs(raw, path, "1")
-    table.compact_days(spark, path, table.stored_days(spark, path))
+    table.compact_days(spark, path, table.stored_days(spark, path), file_bytes=5_000)
+    table.remove_replaced(spark, path, dt.timedelta(0))
     late = raw.limit(1).withColumn("request_id", F.lit("late"))
     table.write_logs(late, path, "2")
     assert table.read_latest(spark, path).count() == ops.dedup_latest(raw).count() + 1

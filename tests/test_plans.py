@@ -2,23 +2,23 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from callsight.operators import calls, conversations
+from checks import registry
 
 # Queries that write and read files or run a stream while they are built.
-RUNNING = ("stream_", "compacted_", "pruned_", "latest_", "expired_")
+RUNNING = ("stream_", "compacted_", "pruned_", "latest_", "expired_", "chat_", "raw_round", "summary_unreachable")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(RUNNING)])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if not n.startswith(RUNNING)])
 def test_no_all_pairs_and_no_row_functions(spark, sf, name):
-    text = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    text = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
     assert ("ArrowEvalPython" in text) == (name == "redact_custom_engine")
 
 
-def test_all_queries_have_sql_but_the_sketch():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"metrics_percentiles_sketch"}
+def test_all_queries_have_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 @pytest.fixture

@@ -3,9 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare
+from checks import compare, registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,7 @@
 """The ingest stream: sums, restarts, retries; live metrics and assembly."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from callsight.operators import calls as call_ops
 from callsight.operators.events import parse_events
 from callsight.sources import chat, raw
-from callsight.sources.logs import read_logs
+from callsight.sources.logs import read_logs, write_logs
 from callsight.streaming import ingest, live
 from checks import inputs
 
@@ -27,7 +28,7 @@ def stored(spark, path):
 
 def test_stream_equals_batch(spark, record_files, tmp_path):
     paths = [str(tmp_path / n) for n in ("logs", "dead", "checkpoint", "counts")]
-    query = ingest.run_ingest(raw.read_raw_stream(spark, record_files), *paths[:3], counts_path=paths[3])
+    query = ingest.run_ingest(raw.read_raw_stream(spark, record_files, 1), *paths[:3], counts_path=paths[3])
     query.awaitTermination()
     rows, dead = ingest.ingest_rows(raw.read_raw(spark, record_files))
     assert stored(spark, paths[0]) == sorted(map(tuple, rows.collect()), key=repr)
@@ -52,9 +53,9 @@ def test_restart_after_a_crash_between_the_two_writes(spark, record_files, tmp_p
     monkeypatch.setattr(ingest, "write_dead_letters", failing)
     monkeypatch.setattr(ingest, "write_with_retry", lambda w: w())
     with pytest.raises(Exception):
-        ingest.run_ingest(raw.read_raw_stream(spark, record_files), *paths).awaitTermination()
+        ingest.run_ingest(raw.read_raw_stream(spark, record_files, 1), *paths).awaitTermination()
     assert len(calls) == 2
-    ingest.run_ingest(raw.read_raw_stream(spark, record_files), *paths).awaitTermination()
+    ingest.run_ingest(raw.read_raw_stream(spark, record_files, 1), *paths).awaitTermination()
     rows, dead = ingest.ingest_rows(raw.read_raw(spark, record_files))
     assert stored(spark, paths[0]) == sorted(map(tuple, rows.collect()), key=repr)
     assert raw.read_dead_letters(spark, paths[1]).count() == dead.count()
@@ -88,7 +89,8 @@ def test_written_records_can_be_read_again(spark, tmp_path):
         "request_id string, session_id string, provider string, model string, status string",
     )
     path = str(tmp_path / "raw")
-    raw.write_raw(events, path)
+    for _ in range(2):
+        raw.write_raw(events, path, "7")  # the second write replaces the first
     back = raw.read_raw(spark, path).collect()
     assert {(r.key, json.loads(r.value)["request_id"]) for r in back} == {("s", "r1"), ("r2", "r2")}
     assert all(0 <= r.partition < 3 and r.topic == raw.RAW_TOPIC for r in back)
@@ -103,10 +105,58 @@ def test_late_rows_are_counted(spark, sf, tmp_path):
     for i, part in enumerate([f"not ({late})", late, f"not ({late})"]):
         logs.where(part).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = live.live_metrics(stream, 21600, "1 hour").writeStream.format("memory").queryName("late").outputMode("append")
-    query = out.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    counted, metrics = str(tmp_path / "late"), str(tmp_path / "metrics")
+    live.keep_input_counts(stream, counted, str(tmp_path / "c1")).awaitTermination()
+    live.keep_live_metrics(live.live_metrics(stream, 21600, "1 hour"), metrics, str(tmp_path / "c2")).awaitTermination()
+    # The third part repeats the first; only its last buckets are still open.
+    ended = logs.where(f"not ({late})").where("created_at < '2024-01-30 18:00:00'").count()
+    assert live.late_rows(spark, counted, metrics).first().late == ended
+
+
+def test_two_streams_share_a_table(spark, record_files, tmp_path):
+    """Also when one of them crashed between its two writes and when a checkpoint is made anew."""
+    logs, dead = str(tmp_path / "logs"), str(tmp_path / "dead")
+    one = raw.read_raw(spark, record_files).count()
+    for n in range(3):
+        checkpoint = str(tmp_path / ("again" if n else "first"))
+        if n == 2:
+            os.rename(checkpoint, f"{checkpoint}-old")  # the same path, another stream
+        ingest.run_ingest(raw.read_raw_stream(spark, record_files, 2), logs, dead, checkpoint).awaitTermination()
+        assert read_logs(spark, logs).count() + raw.read_dead_letters(spark, dead).count() == (n + 1) * one
+
+
+def test_dead_letters_into_another_sink(spark, record_files, tmp_path):
+    got = []
+    query = ingest.run_ingest(
+        raw.read_raw_stream(spark, record_files), str(tmp_path / "logs"), "", str(tmp_path / "c"),
+        dead_sink=lambda dead, name: got.append((name, dead.count())),
+    )
     query.awaitTermination()
-    assert live.late_rows(query) > 0
+    _, dead = ingest.ingest_rows(raw.read_raw(spark, record_files))
+    assert sum(n for _, n in got) == dead.count() and all(name.endswith("-000000000000") for name, _ in got)
+
+
+def test_bytes_that_are_no_text_and_records_without_any_time(spark):
+    event = b'{"provider":"p\xff","model":"m","status":"success"}'
+    rows = [("a", event, None), ("b", event.replace(b"\xff", b""), None), ("c", event.replace(b"\xff", b"\xc3\xa9"), 5.0)]
+    df = spark.createDataFrame(rows, "key string, value binary, at double").withColumn("timestamp", F.expr("timestamp_seconds(at)"))
+    found = {r.key: (r.reasons, r.event.provider) for r in parse_events(df).collect()}
+    assert found["a"][0] == ["json"] and found["b"][0] == ["created_at"] and found["c"] == ([], "pé")
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    value = '{"provider":"p","model":"m","status":"success","created_at":"%s"}'
+    times = ["2024-01-01T00:00:00", "2024-01-01", "2024-01-01 02:00:00.000+0200", "2023-12-31T19:00:00-05:00", "2024-01-01_00:00Z"]
+    df = spark.createDataFrame([(value % t,) for t in times], "value string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        seconds = parse_events(df).select(F.unix_seconds("event.created_at")).collect()
+        with pytest.raises(ValueError):
+            write_logs(df, "/nowhere", "1")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert {r[0] for r in seconds} == {1704067200}
 
 
 def test_assembly_counts_a_chunk_once_and_keeps_order(spark):
