@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callsight.functions import text
 from callsight.functions.times import as_time
-from callsight.operators.logs import Time, dedup_latest, spread
+from callsight.operators.logs import Time, dedup_latest, in_range, spread
 from callsight.schemas import CONVERSATION_STATUSES
 
 # Messages sent along with a turn, page sizes, the model when none is asked for.
@@ -15,6 +15,8 @@ CONTEXT_MESSAGES = 20
 PAGE, MAX_PAGE = 50, 200
 DEFAULT_MODEL = "openai/gpt-4o-mini"
 
+FAR_PAST, FAR_FUTURE = "0001-01-01", "9999-12-31"
+
 
 # --- reading --------------------------------------------------------------------------
 
@@ -73,12 +75,13 @@ def list_conversations(
     return list_projection(listed).orderBy(F.desc("updated_at"), "id")
 
 
-def conversation_detail(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+def conversation_detail(conversations: DataFrame, messages: DataFrame, ordered: bool = True) -> DataFrame:
     """Conversations with their messages: a row per message, oldest first within the
     conversation, and one row with null message columns where there are none.
 
-    Messages are the driving side of the join, so a conversation with very many of
-    them can be split, and the final sort is by ranges that can cut through one.
+    Messages are the driving side of the join, so a conversation with very many of them can
+    be split. With `ordered` the whole answer is sorted by ranges, which can cut through one;
+    without, the rows of a conversation come in any order and nothing is sorted.
     """
     conv = conversations.select(
         F.col("id").alias("conversation_id"),
@@ -91,7 +94,8 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame) -> DataFr
     seen = messages.select("conversation_id").distinct()
     empty = conv.join(seen, "conversation_id", "left_anti")
     full = messages.withColumnRenamed("id", "message_id").join(conv, "conversation_id")
-    return full.unionByName(empty, allowMissingColumns=True).orderBy("conversation_id", "created_at", "message_id")
+    rows = full.unionByName(empty, allowMissingColumns=True)
+    return rows.orderBy("conversation_id", "created_at", "message_id") if ordered else rows
 
 
 def detail_projection(detail: DataFrame) -> DataFrame:
@@ -146,23 +150,34 @@ def last_user_in(context_messages: Column) -> Column:
 # --- with the log table ---------------------------------------------------------------
 
 
-def one_per_request(logs: DataFrame) -> DataFrame:
+def one_per_request(logs: DataFrame, messages: DataFrame | None = None) -> DataFrame:
     """The latest row of each request. A request id belongs to one call, so this also
-    removes redelivered copies."""
+    removes redelivered copies. With `messages`, only their requests are looked at: the
+    others leave before copies are removed."""
+    if messages is not None:
+        wanted = spread(_asked(messages).select("request_id"), "request_id").distinct().drop("_slot")
+        logs = logs.join(wanted, "request_id", "left_semi")
     return dedup_latest(spread(logs, "request_id"), ["request_id", "_slot"], ties=["created_at"]).drop("_slot")
 
 
+def _between(logs: DataFrame, since: Time | None, until: Time | None) -> DataFrame:
+    return in_range(logs, since or FAR_PAST, until or FAR_FUTURE) if since or until else logs
+
+
 def _asked(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("request_id").isNotNull())
 
 
-def trace_messages(messages: DataFrame, logs: DataFrame) -> DataFrame:
-    """Each message with the provider, state and timing of the call that made it.
+def trace_messages(
+    messages: DataFrame, logs: DataFrame, since: Time | None = None, until: Time | None = None
+) -> DataFrame:
+    """Each message with the provider, state and timing of the call that made it, looked up
+    among the logs of a time range.
 
     Messages without a request id skip the join: as equal nulls they would all meet in
     one task.
     """
-    calls = one_per_request(logs).select(
+    calls = one_per_request(_between(logs, since, until), messages).select(
         "request_id",
         F.lit(True).alias("has_log"),
         "provider",
@@ -201,9 +216,16 @@ def conversation_logs(conversations: DataFrame, logs: DataFrame) -> DataFrame:
     )
 
 
-def conversation_model(conversations: DataFrame, messages: DataFrame, logs: DataFrame) -> DataFrame:
-    """Conversations with `model` set to the model that answered last."""
-    models = one_per_request(logs).select("request_id", F.col("model").alias("_answered"))
+def conversation_model(
+    conversations: DataFrame,
+    messages: DataFrame,
+    logs: DataFrame,
+    since: Time | None = None,
+    until: Time | None = None,
+) -> DataFrame:
+    """Conversations with `model` set to the model that answered last, looked up among the
+    logs of a time range."""
+    models = one_per_request(_between(logs, since, until), messages).select("request_id", F.col("model").alias("_answered"))
     last = (
         _asked(messages)
         .join(models, "request_id")

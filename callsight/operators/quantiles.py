@@ -4,8 +4,8 @@ The built-in exact percentile keeps every distinct value of a group in one task,
 which fails once a provider, a model or the whole table is a group. The exact form
 here narrows down each wanted rank and never holds a group:
 
-1. Count values per (group, coarse bin). Coarse bins are about 1.6 % wide, so a group
-   has some hundreds of them whatever its size, and each task sends only its counts. A
+1. Count values per (group, coarse bin). Coarse bins are about 1.1 % wide at any size of
+   the values, so a group has some hundreds of them, and each task sends only its counts. A
    running sum over the bins tells which bins hold the wanted ranks.
 2. Within those bins only, do the same with fine bins, 4,096 to a coarse one.
 3. Keep only the values of the fine bins found, count equal ones, and walk their
@@ -21,11 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fine bin of a value: a whole number that never falls as the value rises. Null has
-# its own. 4,096 neighbours make a coarse bin.
-FINE_BIN = """coalesce(
-    cast(if(_v < 0, -1, 1) * floor(least(log1p(abs(_v)), 800D) * 262144) as bigint),
-    -4611686018427387904)"""
+# The fine bin of a value: a whole number that never falls as the value rises, by the
+# logarithm of its size, 2^18 bins to each doubling; -1076 lies below that of any double
+# but 0. Null and not-a-number have bins of their own. 4,096 neighbours make a coarse bin.
+FINE_BIN = """case when _v is null then -4611686018427387904 when isnan(_v) then 4611686018427387904
+    when _v = 0 then 0L
+    else cast(sign(_v) * floor((least(log2(abs(_v)), 1025D) + 1076) * 262144) as bigint) end"""
 COARSE_BIN = "_fine >> 12"
 # Whether a run of _c values, with _before values below it, holds a rank.
 HOLDS = "(_before <= {rank} and {rank} < _before + _c)"

@@ -50,7 +50,7 @@ _DETAIL_SQL = f"""SELECT c.id AS conversation_id, title, c.status AS conversatio
   FROM convs c LEFT JOIN messages m ON m.conversation_id = c.id"""
 register(
     "conversation_detail",
-    lambda s, d: times_as_text(ops.detail_projection(ops.conversation_detail(*both(s, d)))),
+    lambda s, d: times_as_text(ops.detail_projection(ops.conversation_detail(*both(s, d), ordered=False))),
     f"WITH {MESSAGES} {_DETAIL_SQL}",
 )
 register(

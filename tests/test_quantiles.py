@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callsight.operators.quantiles import checked_groups, exact_percentiles, percentiles
+from callsight.operators.quantiles import FINE_BIN, checked_groups, exact_percentiles, percentiles
 
 PROBS = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -83,3 +83,11 @@ def test_checked_groups(spark):
 def test_unknown_mode():
     with pytest.raises(ValueError):
         percentiles("guess")
+
+
+def test_tiny_values_do_not_share_a_bin(spark):
+    values = spark.range(100_000).selectExpr("(id + 1) * 3e-11 as _v").selectExpr("*", f"{FINE_BIN} as b")
+    assert values.groupBy("b").count().agg(F.max("count")).first()[0] <= 2
+    df = values.selectExpr("'g' as k", "_v as v").union(spark.sql("select 'g', -0.0D")).union(spark.sql("select 'g', -1e-300D"))
+    got = exact_percentiles(df, ["k"], "v", {"p": 0.5, "low": 0.0}).first()
+    assert got.p == pytest.approx(49_999.5 * 3e-11) and got.low == -1e-300
