@@ -110,6 +110,21 @@ def assemble_stream(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def finished_streams(calls: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Streamed calls with what their chunks say, as `build_log_event` takes them.
+
+    `calls` has a row per request with its start; `chunks` may come from `parse_sse_chunks`.
+    A call without chunks ended when it started.
+    """
+    replies = assemble_stream(chunks).select(
+        "request_id", "model", "usage", "first_token_at", "last_chunk_at", F.col("text").alias("output_text")
+    )
+    found = spread(calls.drop("model"), "request_id").join(replies, "request_id", "left").drop("_slot")
+    return found.withColumns(
+        {"streamed": F.lit(True), "ended_at": F.coalesce("last_chunk_at", "started_at")}
+    ).drop("last_chunk_at")
+
+
 def call_timing(calls: DataFrame) -> DataFrame:
     """Adds `latency_ms` and `ttft_ms` from started_at, first_token_at and ended_at.
     Without a first token there is no ttft."""

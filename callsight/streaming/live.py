@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callsight.functions import text
+from callsight.operators.calls import assemble_stream
 from callsight.plans.metrics import cost, errors, requests, tokens
 
 
@@ -77,7 +78,8 @@ def assemble_stream_live(chunks: DataFrame, gap: str, delay: str) -> DataFrame:
     """Replies of a chunk stream: a request is complete once no chunk came for `gap`.
 
     The state of a request is its own reply, held until then. In batches use
-    `assemble_stream`, which gives the same text, model, usage and times.
+    `assemble_stream`, which gives the same text, model, usage and times; `whole_replies`
+    adds those that a stream that has ended did not get to close.
     """
     said_model = F.when(text.missing_if_blank(F.col("model")).isNotNull(), F.col("seq"))
     said_usage = F.when(F.col("usage").isNotNull(), F.col("seq"))
@@ -94,3 +96,9 @@ def assemble_stream_live(chunks: DataFrame, gap: str, delay: str) -> DataFrame:
         )
         .drop("session_window")
     )
+
+
+def whole_replies(closed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The replies that a live assembly has written, and those still open, from the chunks."""
+    still_open = chunks.join(closed.select("request_id").distinct(), "request_id", "left_anti")
+    return closed.unionByName(assemble_stream(still_open))

@@ -50,19 +50,14 @@ register(
 
 
 def live_assembly(spark, sf_dir):
-    stream = stream_by_time(spark, inputs.chunks(spark, sf_dir), "ts")
-    return flat(run_to_table(live.assemble_stream_live(stream, "10 minutes", "1 hour"), spark))
+    """The replies that the stream closes, and the last ones."""
+    chunks = inputs.chunks(spark, sf_dir)
+    stream = stream_by_time(spark, chunks, "ts")
+    closed = run_to_table(live.assemble_stream_live(stream, "10 minutes", "1 hour"), spark)
+    return flat(live.whole_replies(closed, chunks))
 
 
-# Replies whose gap the watermark has not passed at the end stay open.
-register(
-    "stream_assembly",
-    live_assembly,
-    f"""WITH {MESSAGES}, a AS (SELECT *, created_at + to_milliseconds(20 * (len(string_split(content, ' ')) + 1)) AS last_at
-      FROM messages WHERE role = 'assistant'),
-    closed AS (SELECT id FROM a WHERE last_at + INTERVAL 70 MINUTE < (SELECT max(last_at) FROM a))
-    SELECT * FROM ({ASSEMBLED}) WHERE request_id IN (SELECT id FROM closed)""",
-)
+register("stream_assembly", live_assembly, f"WITH {MESSAGES} {ASSEMBLED}")
 register(
     "parse_sse_chunks",
     lambda s, d: times_as_text(
@@ -189,3 +184,34 @@ register(
       {scrubbed("substr(output_preview, 1, 30)", CLIENT_RULES)} AS output_preview FROM made)
     SELECT request_id, input_preview, output_preview, i <> input_preview OR o <> output_preview AS redacted FROM r""",
 )
+
+
+def streamed_calls(spark, sf_dir):
+    """The starts of the streamed calls."""
+    return inputs.calls(spark, sf_dir).select(
+        "request_id", "session_id", "conversation_id", "started_at",
+        F.lit("openrouter").alias("adapter"),
+        F.col("model").alias("requested_model"),
+        F.lit(None).cast("string").alias("provider"),
+        F.when(F.col("status") == "complete", "success").otherwise(F.col("status")).alias("status"),
+        *[F.lit(None).cast("string").alias(c) for c in ("error_type", "error_message", "metadata", "input_text")],
+        F.lit(None).cast("double").alias("cost_usd"),
+    )
+
+
+def lines_to_events(spark, sf_dir):
+    """From the lines of event streams and the calls' starts to log events."""
+    chunks = ops.parse_sse_chunks(inputs.sse_lines(spark, sf_dir))
+    return times_as_text(ops.build_log_event(ops.finished_streams(streamed_calls(spark, sf_dir), chunks)).select(*_EVENT))
+
+
+register(
+    "sse_lines_to_log_events",
+    lines_to_events,
+    f"""WITH {MESSAGES}, m AS (SELECT *, len(string_split(content, ' ')) AS n FROM messages WHERE role = 'assistant')
+    SELECT id AS request_id, conversation_id AS session_id, conversation_id, 'north' AS provider, 'north/aurora-small' AS model,
+      CASE status WHEN 'complete' THEN 'success' ELSE status END AS status, NULL AS error_type, NULL AS error_message,
+      20.0::DOUBLE * (n + 1) AS latency_ms, 20.0::DOUBLE * {_LEAD} AS ttft_ms, 7 AS prompt_tokens, n AS completion_tokens,
+      n + 7 AS total_tokens, NULL AS cost_usd, '' AS input_preview, substr(content, 1, 500) AS output_preview, false AS redacted,
+      {iso('created_at + to_milliseconds(20 * (n + 1))')} AS created_at, '{{}}' AS metadata FROM m""",
+)
