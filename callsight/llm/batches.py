@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from callsight.llm.common import WordCache, kept, text_bytes
 
 BATCH_WORDS = 500_000
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 2_000_000
 
 U64 = np.uint64
 BATCH = pa.schema(
@@ -57,13 +57,16 @@ class _Open:
 
     def row(self) -> dict:
         sizes = [len(h) for h in self.hashes]
-        words, at = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        words, at, times = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words))
         return {
             "held": self.held,
             "doc_ids": self.ids,
             "sizes": sizes,
-            "words": words.astype("<u8").tobytes(),
-            "at": at.astype("<u4").tobytes(),
+            "words": words[order].astype("<u8").tobytes(),
+            "at": _planes(number[at]),
             "n_tokens": sum(sizes),
         }
 
@@ -97,7 +100,7 @@ def word_batches(docs: DataFrame, held_out: Callable[[int | None], bool] | None
 
 def hashes_of(row: dict) -> np.ndarray:
     """Word hashes of all documents of a batch, one after the other."""
-    return np.frombuffer(row["words"], "<u8")[np.frombuffer(row["at"], "<u4")]
+    return np.frombuffer(row["words"], "<u8")[_unplanes(row["at"])]
 
 
 def rows_of(batch: pa.RecordBatch):
@@ -111,16 +114,20 @@ def rows_of(batch: pa.RecordBatch):
 
 
 def total_counts(
-    batches: DataFrame, ask: Callable[[dict], tuple[np.ndarray, np.ndarray]], n_keys: int, classes: int = 1
+    batches: DataFrame,
+    ask: Callable[[dict], tuple[np.ndarray, np.ndarray]],
+    n_keys: int,
+    classes: int = 1,
+    bits: int = 64,
 ) -> DataFrame:
     """batch, answers (bucket, totals as little-endian 32-bit numbers) of every batch (a kept table).
 
-    `ask` gives a batch's distinct keys in rising order and their counts. `n_keys` is about
+    `ask` gives a batch's distinct keys below 2^`bits` in rising order and their counts. `n_keys` is about
     how many keys all batches ask for. Totals above 2^32 - 1 stay there. The row with batch
     -1 holds, per bucket, how many keys have a total over 0, by key modulo `classes`.
     """
     buckets = max(1, -(-n_keys // BUCKET_KEYS))
-    edges = [(k << 64) // buckets for k in range(1, buckets)]
+    edges = [(k << bits) // buckets for k in range(1, buckets)]
 
     def send(rows):
         for batch in rows:
@@ -203,20 +210,33 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: all lowest bytes, then all second ones, and so on, as far
+    as they are not all 0. Small numbers leave long runs that compress well."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width]).tobytes()
+
+
+def _unplanes(data) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8)
+    planes = data[1:].reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 4), np.uint8)
+    numbers[:, : data[0]] = planes.T
+    return numbers.view("<u4").ravel()
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Rising 64-bit keys: the first one, then the steps, the six-byte ones as six bytes."""
-    steps = np.diff(keys)
-    if len(steps) and int(steps.max()) >= 1 << 48:
-        return b"\0" + keys.astype("<u8").tobytes()
-    six = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    return b"\1" + keys[:1].astype("<u8").tobytes() + six.tobytes()
+    """Rising keys: the first one in eight bytes, then the steps in as many as the largest needs."""
+    steps = np.diff(keys).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    narrow = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + narrow.tobytes()
 
 
 def _unpacked(data) -> np.ndarray:
     data = memoryview(data)
-    if data[0] == 0:
-        return np.frombuffer(data[1:], "<u8")
-    steps = np.zeros(((len(data) - 9) // 6, 8), np.uint8)
-    steps[:, :6] = np.frombuffer(data[9:], np.uint8).reshape(-1, 6)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data[9:], np.uint8).reshape(-1, width)
     first = np.frombuffer(data[1:9], "<u8")
     return np.concatenate([first, first + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)])

@@ -3,8 +3,10 @@
 A document's set holds its distinct 4-word shingles. Documents link when their sets have a
 Jaccard similarity of LEAST percent or more; a group is what links connect.
 
-1. How many sets hold a shingle is counted over the whole corpus (`batches.py`). A set is
-   ordered from its rarest shingle on; two sets that link share one among their first
+1. How many sets hold a shingle is counted over the whole corpus (`batches.py`), by the
+   shingle's highest bits, KEY_BITS more than it takes to number all: two that share them
+   share a count, which changes the order of shingles but nothing else. A set is ordered
+   from its rarest shingle on; two sets that link share one among their first
    n - ceil(t n) + 1. Sets whose first shingles are all their own drop out here.
 2. Sets that share such a shingle are connected, which gives clusters that hold every link.
 3. A cluster's sets are stored in a trie, commonest shingle first, so that alike sets share
@@ -38,6 +40,7 @@ SHINGLE = 4
 LEAST = 85  # percent
 BLOCK = 2048
 CELL_SHINGLES = 4_000_000
+KEY_BITS = 12
 
 U64 = np.uint64
 
@@ -72,13 +75,11 @@ def _distinct(sets: list[np.ndarray]) -> tuple[list[bytes], list[int]]:
     return prints, [k for p, k in first.items() if len(sets[k])]
 
 
-def _ask(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        sets = shingle_sets(row)
-    _, chosen = _distinct(sets)
+def _asked(sets: list[np.ndarray], chosen: list[int], shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counted keys of a batch's distinct sets, and how many of these sets have each."""
     if not chosen:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate([sets[k] for k in chosen]), return_counts=True)
+    return np.unique(np.concatenate([sets[k] for k in chosen]) >> U64(shift), return_counts=True)
 
 
 SET = pa.schema(
@@ -105,7 +106,15 @@ def sets_of(docs: DataFrame, least: int) -> DataFrame:
     """A row per document; sets that may have links come with their shingles (a kept table)."""
     rows = B.word_batches(docs)
     n_words = rows.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    totals = B.total_counts(rows, _ask, n_words)
+    bits = min(62, int(n_words).bit_length() + KEY_BITS)
+    shift = 64 - bits
+
+    def ask(row):
+        with np.errstate(over="ignore"):
+            sets = shingle_sets(row)
+        return _asked(sets, _distinct(sets)[1], shift)
+
+    totals = B.total_counts(rows, ask, n_words, bits=bits)
 
     def emit(batches):
         for batch in batches:
@@ -113,12 +122,12 @@ def sets_of(docs: DataFrame, least: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sets = shingle_sets(row)
                 prints, chosen = _distinct(sets)
-                asked = np.unique(np.concatenate([sets[k] for k in chosen])) if chosen else np.zeros(0, np.uint64)
+                asked, _ = _asked(sets, chosen, shift)
                 times = B.totals_of(row)
                 held: list = [None] * len(sets)
                 rare: list = [None] * len(sets)
                 for k in chosen:
-                    shared = first_shared(sets[k], times[np.searchsorted(asked, sets[k])], least)
+                    shared = first_shared(sets[k], times[np.searchsorted(asked, sets[k] >> U64(shift))], least)
                     if len(shared):
                         held[k], rare[k] = sets[k].tobytes(), shared.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
