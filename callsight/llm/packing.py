@@ -21,6 +21,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ class WordTokens:
     told apart by the vocabulary's end-of-word pieces.
     """
 
+    loaded: ClassVar[dict[str, WordTokens]] = {}
+
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
@@ -67,11 +70,18 @@ class WordTokens:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @classmethod
+    def of(cls, file: str) -> WordTokens:
+        """The one of this Python worker, which keeps what it has learned from task to task."""
+        if file not in cls.loaded:
+            cls.loaded[file] = cls(file)
+        return cls.loaded[file]
+
     def learn(self, words: set[bytes]) -> None:
         """Fills the caches with the given words; an earlier content goes when it is large."""
-        if len(self.words) + len(self.letters) > 2 * CACHE_WORDS:
-            self.words.clear()
-            self.letters.clear()
+        for cache in (self.words, self.letters):
+            if len(cache) > 2 * CACHE_WORDS:
+                cache.clear()
         new = {w: w.decode() for w in words if w not in self.words}
         plain = {w: m.groups() for w, s in new.items() if (m := PLAIN.fullmatch(s))}
         unknown = sorted({letters.lower() for letters, _ in plain.values()} - self.letters.keys())
@@ -128,7 +138,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        tokens = WordTokens(tokenizer_file)
+        tokens = WordTokens.of(tokenizer_file)
         short = len(tokens.ends) <= 1 << 16 and end_id < 1 << 16
         schema = pa.schema(
             [
