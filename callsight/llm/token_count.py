@@ -5,10 +5,10 @@ dynamic programming carries the best score and the number of pieces. Ties go as
 tokenizer: a later start must be strictly better, so the longest piece wins; a character
 that is no piece costs the smallest score less 10, and neighbours of that kind count as one.
 
-Blanks become U+2581 and one is put in front. No piece of the vocabulary holds U+2581 after
+Blanks become U+2581 and one is put in front. That is a piece itself, and none holds it after
 another character, so a text falls apart before each run of them, and each distinct part is
-solved once per task. The scores are whole numbers, hence their sums are exact and a part's
-best pieces do not depend on what stands before it; other vocabularies are solved as one part.
+solved once per worker. The scores are whole numbers, hence their sums are exact and a part's
+best pieces do not depend on what stands before it; with other vocabularies a text is one part.
 
 Defined cases: a null or empty text has 0 tokens and score 0; columns of the input with the
 name of an added column are replaced.
@@ -17,6 +17,7 @@ name of an added column are replaced.
 from __future__ import annotations
 
 import re
+from typing import ClassVar
 
 import ahocorasick
 import pyarrow as pa
@@ -27,7 +28,6 @@ from callsight.llm.common import WordCache
 
 BLANK = "▁"
 UNKNOWN_COST = 10.0
-RESERVED_SCORE = -1e9  # of pieces that the file holds a place for and no text uses
 PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -40,13 +40,14 @@ def vocabulary(model_file: str) -> list[tuple[str, float]]:
         (model.id_to_piece(i), model.get_score(i))
         for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-        and model.get_score(i) > RESERVED_SCORE
     ]
 
 
 class Counter:
     """Pieces and score of the best segmentation."""
 
+    loaded: ClassVar[dict[str, Counter]] = {}
+
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
@@ -56,9 +57,16 @@ class Counter:
             self.automaton.make_automaton()
         self.empty = not pieces
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
-        self.apart = all(BLANK not in p.lstrip(BLANK) and s == int(s) for p, s in pieces)
+        self.apart = BLANK in self.automaton and all(BLANK not in p.lstrip(BLANK) and s == int(s) for p, s in pieces)
         self.parts = WordCache(self.solve)
 
+    @classmethod
+    def of(cls, model_file: str) -> Counter:
+        """The one of this Python worker, which keeps its solved parts from task to task."""
+        if model_file not in cls.loaded:
+            cls.loaded[model_file] = cls(vocabulary(model_file))
+        return cls.loaded[model_file]
+
     def solve(self, text: str) -> tuple[int, float]:
         """Tokens and score of one part.
 
@@ -66,19 +74,25 @@ class Counter:
         """
         size = len(text)
         score, tokens, open_unknown = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        ending: dict[int, list[tuple[int, float]]] = {}
+        ending: list[list[tuple[int, float]] | None] = [None] * size
         if not self.empty:
             for end, found in self.automaton.iter(text):
-                ending.setdefault(end, []).append(found)
-        for end in range(1, size + 1):
-            found = ending.get(end - 1, ())
-            best, start = None, -1
-            for length, piece in sorted(found, reverse=True):  # earliest start first
-                total = score[end - length] + piece
-                if best is None or total > best:
-                    best, start = total, end - length
+                if ending[end] is None:
+                    ending[end] = [found]
+                else:
+                    ending[end].append(found)
+        for end, found in enumerate(ending, 1):
+            best, start, single = None, -1, False
+            if found:
+                if len(found) > 1:
+                    found.sort(reverse=True)  # earliest start first
+                single = found[-1][0] == 1
+                for length, piece in found:
+                    total = score[end - length] + piece
+                    if best is None or total > best:
+                        best, start = total, end - length
             known = True
-            if not any(length == 1 for length, _ in found):
+            if not single:
                 total = score[end - 1] + self.unknown
                 if best is None or total > best:
                     best, start, known = total, end - 1, False
@@ -106,13 +120,11 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
 
     `model_file` is a path that every executor has; each Python worker loads it once.
     """
-    held: list[Counter] = []
 
     @F.arrow_udf("struct<n_tokens:bigint,token_score:double>")
     def counts(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Counter(vocabulary(model_file)))
-        rows = [held[0].count(t or "") for t in texts.to_pylist()]
+        counter = Counter.of(model_file)
+        rows = [counter.count(t or "") for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())],
             ["n_tokens", "token_score"],
