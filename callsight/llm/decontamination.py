@@ -52,7 +52,7 @@ def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[: n - k] |= symbols[k:]
+        key[: max(0, n - k)] |= symbols[k:]
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -323,7 +323,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         @F.arrow_udf("array<struct<start:long,end:long>>")
         def merge(spans: pa.Array) -> pa.Array:
-            rows = [merged_spans([(s["start"], s["end"]) for s in row]) for row in spans.to_pylist()]
+            rows = [merged_spans([(s["start"], s["end"]) for s in row or ()]) for row in spans.to_pylist()]
             return pa.array([[{"start": a, "end": b} for a, b in row] for row in rows], SPANS)
 
         gathered = hits.groupBy("__row").agg(
