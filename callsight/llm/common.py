@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from callsight.session import scratch_path
 
-CACHE_WORDS = 400_000  # entries of a task's word cache before it starts anew; speed only
+CACHE_WORDS = 250_000  # entries of a task's word cache before it starts anew; speed only
 
 
 class WordCache(dict):
     """word -> value, computed once per word; `fresh()` keeps its memory bounded."""
 
-    def __init__(self, value: Callable):
+    def __init__(self, value: Callable, most: int = CACHE_WORDS):
         super().__init__()
-        self.value = value
+        self.value, self.most = value, most
 
     def __missing__(self, word):
         got = self[word] = self.value(word)
         return got
 
     def fresh(self) -> WordCache:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.clear()
         return self
 

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from callsight.llm.common import kept, text_bytes
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE = 16
 BLOCK_BYTES = 16 << 20
 CONTAMINATED_SHARE = 20  # one word in so many

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import CACHE_WORDS, kept, text_bytes
+from callsight.llm.common import kept, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,6 +38,7 @@ EPOCHS = 3
 GENERATIONS = 8
 POPULATION = 6
 WELL_FILLED = 0.98
+KEPT_WORDS, KEPT_LETTERS = 150_000, 400_000  # what a worker remembers; speed only
 OPENED = 0.9  # bins filled less than this are opened for the next level
 
 # ---- tokens ---------------------------------------------------------------------------
@@ -79,8 +80,8 @@ class WordTokens:
 
     def learn(self, words: set[bytes]) -> None:
         """Fills the caches with the given words; an earlier content goes when it is large."""
-        for cache in (self.words, self.letters):
-            if len(cache) > 2 * CACHE_WORDS:
+        for cache, most in ((self.words, KEPT_WORDS), (self.letters, KEPT_LETTERS)):
+            if len(cache) > most:
                 cache.clear()
         new = {w: w.decode() for w in words if w not in self.words}
         plain = {w: m.groups() for w, s in new.items() if (m := PLAIN.fullmatch(s))}
@@ -112,7 +113,7 @@ class WordTokens:
         for text in texts:
             run.append(text.split())
             size += len(text)
-            if size > 4 << 20:
+            if size > 2 << 20:
                 yield from self._run(run)
                 run, size = [], 0
         yield from self._run(run)
@@ -159,7 +160,7 @@ def pieces(
                     part = ids[at : at + 4 * capacity]
                     held = (np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part) if with_ids else None
                     rows.append((doc_id, n, at // 4, len(part) // 4, held, zlib.crc32(part)))
-                    if len(rows) == 4096:
+                    if len(rows) == 1024:
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), schema.types)), schema=schema)
                         rows = []
             if rows:

@@ -28,6 +28,7 @@ from callsight.llm.common import WordCache
 
 BLANK = "▁"
 UNKNOWN_COST = 10.0
+KEPT_PARTS = 600_000  # solved parts that a worker remembers; speed only
 PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -58,7 +59,7 @@ class Counter:
         self.empty = not pieces
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
         self.apart = BLANK in self.automaton and all(BLANK not in p.lstrip(BLANK) and s == int(s) for p, s in pieces)
-        self.parts = WordCache(self.solve)
+        self.parts = WordCache(self.solve, KEPT_PARTS)
 
     @classmethod
     def of(cls, model_file: str) -> Counter:
