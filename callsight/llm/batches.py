@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache, kept, text_bytes
+from callsight.llm.common import WordCache, kept, text_bytes, worker_state
 
 BATCH_WORDS = 500_000
 BUCKET_KEYS = 2_000_000
@@ -79,7 +79,7 @@ def word_batches(docs: DataFrame, held_out: Callable[[int | None], bool] | None
     """
 
     def fill(batches):
-        cache = WordCache(word_hash)
+        cache = worker_state("word hashes", lambda: WordCache(word_hash))
         filling = {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

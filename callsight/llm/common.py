@@ -29,6 +29,18 @@ class WordCache(dict):
         return self
 
 
+_worker: dict = {}
+
+
+def worker_state(key: str, make: Callable):
+    """What an operator keeps in a Python worker from task to task. Workers serve one operator
+    after the other, so only the last one's state is kept."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from callsight.llm.common import kept, text_bytes
+from callsight.llm.common import kept, text_bytes, worker_state
 
 WINDOW = 13
 SHARD_WORDS = 1 << 19
@@ -259,26 +258,28 @@ ADDED = ("n_words", "spans", "items")
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    """`docs` (with the text's bytes as __text) and `ADDED` for one block of items."""
+    """`docs` (with the text's bytes as __text) and `ADDED` for one block of items. Only the
+    texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = [c for c in docs.columns if c != "__text"]
-
-    def search(batches):
-        phrases = Phrases(shared.value)
-        for batch in batches:
-            found = search_texts(batch.column("__text").to_pylist(), phrases)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(n) for n in names),
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], SPANS),
-                    pa.array([i for _, _, i in found], pa.list_(pa.string())),
-                ],
-                names=[*names, *ADDED],
-            )
-
-    added = StructType.fromDDL("n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    return docs.mapInArrow(search, StructType([*docs.select(*names).schema.fields, *added.fields]))
+    held: list[Phrases] = []
+
+    @F.arrow_udf("struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>")
+    def search(texts: pa.Array) -> pa.Array:
+        if not held:
+            worker_state("decontamination", dict)  # lets go of another operator's
+            held.append(Phrases(shared.value))
+        found = search_texts(texts.to_pylist(), held[0])
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([n for n, _, _ in found], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], SPANS),
+                pa.array([i for _, _, i in found], pa.list_(pa.string())),
+            ],
+            list(ADDED),
+        )
+
+    found = docs.withColumn("__found", search(F.col("__text")))
+    return found.select(*[c for c in docs.columns if c != "__text"], *[F.col(f"__found.{c}").alias(c) for c in ADDED])
 
 
 def item_blocks(benchmark: DataFrame):
@@ -305,12 +306,12 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, spans (removal spans, in words), items (ids as text, sorted),
     n_hit, n_items and contaminated."""
     dropped = {*ADDED, "n_hit", "n_items", "contaminated", "__text", "__row"}
     own = [c for c in docs.columns if c not in dropped]
-    source = docs.select(*own, text_bytes().alias("__text"))
+    source = docs.select(*own, text_bytes(text).alias("__text"))
     blocks = list(item_blocks(benchmark))
     if len(blocks) == 1:
         found = _pass(source, blocks[0])

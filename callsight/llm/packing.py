@@ -21,14 +21,13 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import kept, text_bytes
+from callsight.llm.common import kept, text_bytes, worker_state
 
 CAPACITY = 4096
 END_ID = 1
@@ -55,8 +54,6 @@ class WordTokens:
     told apart by the vocabulary's end-of-word pieces.
     """
 
-    loaded: ClassVar[dict[str, WordTokens]] = {}
-
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
@@ -71,13 +68,6 @@ class WordTokens:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @classmethod
-    def of(cls, file: str) -> WordTokens:
-        """The one of this Python worker, which keeps what it has learned from task to task."""
-        if file not in cls.loaded:
-            cls.loaded[file] = cls(file)
-        return cls.loaded[file]
-
     def learn(self, words: set[bytes]) -> None:
         """Fills the caches with the given words; an earlier content goes when it is large."""
         for cache, most in ((self.words, KEPT_WORDS), (self.letters, KEPT_LETTERS)):
@@ -139,7 +129,7 @@ def pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        tokens = WordTokens.of(tokenizer_file)
+        tokens = worker_state(f"tokens {tokenizer_file}", lambda: WordTokens(tokenizer_file))
         short = len(tokens.ends) <= 1 << 16 and end_id < 1 << 16
         schema = pa.schema(
             [

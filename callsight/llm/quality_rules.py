@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache, text_bytes
+from callsight.llm.common import WordCache, text_bytes, worker_state
 
 BUCKETS = 4096
 COMMON = 64
@@ -92,7 +92,7 @@ def references(docs: DataFrame) -> dict[str, Reference]:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        cache = WordCache(bucket)
+        cache = worker_state("buckets", lambda: WordCache(bucket))
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = sums.setdefault(lang, np.zeros(CLASSES + BUCKETS, np.int64))
@@ -200,14 +200,12 @@ def judge(docs: DataFrame, refs: dict[str, Reference]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(refs)
     names = [part.split()[0] for part in ADDED.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-    caches: list[WordCache] = []
 
     @F.arrow_udf(f"struct<{', '.join(p.replace(' ', ':') for p in ADDED.split(', '))}>")
     def verdicts(text: pa.Array, lang: pa.Array) -> pa.Array:
-        if not caches:
-            caches.append(WordCache(bucket))
+        cache = worker_state("buckets", lambda: WordCache(bucket))
         rows = [
-            _judge(t, x, shared.value, caches[0].fresh())
+            _judge(t, x, shared.value, cache.fresh())
             for t, x in zip(text.to_pylist(), lang.to_pylist(), strict=True)
         ]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)

@@ -17,14 +17,13 @@ name of an added column are replaced.
 from __future__ import annotations
 
 import re
-from typing import ClassVar
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache
+from callsight.llm.common import WordCache, worker_state
 
 BLANK = "▁"
 UNKNOWN_COST = 10.0
@@ -47,8 +46,6 @@ def vocabulary(model_file: str) -> list[tuple[str, float]]:
 class Counter:
     """Pieces and score of the best segmentation."""
 
-    loaded: ClassVar[dict[str, Counter]] = {}
-
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
@@ -61,13 +58,6 @@ class Counter:
         self.apart = BLANK in self.automaton and all(BLANK not in p.lstrip(BLANK) and s == int(s) for p, s in pieces)
         self.parts = WordCache(self.solve, KEPT_PARTS)
 
-    @classmethod
-    def of(cls, model_file: str) -> Counter:
-        """The one of this Python worker, which keeps its solved parts from task to task."""
-        if model_file not in cls.loaded:
-            cls.loaded[model_file] = cls(vocabulary(model_file))
-        return cls.loaded[model_file]
-
     def solve(self, text: str) -> tuple[int, float]:
         """Tokens and score of one part.
 
@@ -124,7 +114,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
 
     @F.arrow_udf("struct<n_tokens:bigint,token_score:double>")
     def counts(texts: pa.Array) -> pa.Array:
-        counter = Counter.of(model_file)
+        counter = worker_state(f"counter {model_file}", lambda: Counter(vocabulary(model_file)))
         rows = [counter.count(t or "") for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())],

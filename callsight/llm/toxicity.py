@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache, text_bytes
+from callsight.llm.common import WordCache, text_bytes, worker_state
 
 MAX_LABELLED = 4000
 DIMENSIONS = 1 << 18
@@ -225,6 +225,7 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFr
     def probabilities(texts: pa.Array) -> pa.Array:
         models = shared.value
         if not state:
+            worker_state("toxicity", dict)  # lets go of another operator's
             state.extend(
                 WordCache(lambda w, m=m: math.fsum(m.weights[f] for f in word_features(w))) for m in models
             )

@@ -47,7 +47,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    found = decontamination.find(_wrapped(docs, "text"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.find(_wrapped(docs), table(spark, sf_dir, "benchmark"), "__doc.text")
     return found.where("not contaminated").select("__doc.*")
 
 
