@@ -154,10 +154,11 @@ def one_per_request(logs: DataFrame, messages: DataFrame | None = None) -> DataF
     """The latest row of each request. A request id belongs to one call, so this also
     removes redelivered copies. With `messages`, only their requests are looked at: the
     others leave before copies are removed."""
+    logs = spread(logs, "request_id")
     if messages is not None:
-        wanted = spread(_asked(messages).select("request_id"), "request_id").distinct().drop("_slot")
-        logs = logs.join(wanted, "request_id", "left_semi")
-    return dedup_latest(spread(logs, "request_id"), ["request_id", "_slot"], ties=["created_at"]).drop("_slot")
+        wanted = spread(_asked(messages).select("request_id"), "request_id").distinct()
+        logs = logs.join(wanted, ["request_id", "_slot"], "left_semi")
+    return dedup_latest(logs, ["request_id", "_slot"], ties=["created_at"]).drop("_slot")
 
 
 def _between(logs: DataFrame, since: Time | None, until: Time | None) -> DataFrame:
