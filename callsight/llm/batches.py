@@ -27,7 +27,7 @@ BUCKET_KEYS = 2_000_000
 U64 = np.uint64
 BATCH = pa.schema(
     [
-        ("held", pa.bool_()),
+        ("part", pa.int32()),
         ("doc_ids", pa.list_(pa.int64())),
         ("sizes", pa.list_(pa.int32())),
         ("words", pa.binary()),
@@ -35,7 +35,7 @@ BATCH = pa.schema(
         ("n_tokens", pa.int64()),
     ]
 )
-BATCH_DDL = "held boolean, doc_ids array<long>, sizes array<int>, words binary, at binary, n_tokens long"
+BATCH_DDL = "part int, doc_ids array<long>, sizes array<int>, words binary, at binary, n_tokens long"
 
 
 def word_hash(word: bytes) -> int:
@@ -52,8 +52,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class _Open:
     """A batch that is being filled."""
 
-    def __init__(self, held: bool):
-        self.held, self.ids, self.hashes, self.size = held, [], [], 0
+    def __init__(self, part: int):
+        self.part, self.ids, self.hashes, self.size = part, [], [], 0
 
     def row(self) -> dict:
         sizes = [len(h) for h in self.hashes]
@@ -62,7 +62,7 @@ class _Open:
         number = np.empty(len(words), np.uint32)
         number[order] = np.arange(len(words))
         return {
-            "held": self.held,
+            "part": self.part,
             "doc_ids": self.ids,
             "sizes": sizes,
             "words": words[order].astype("<u8").tobytes(),
@@ -71,11 +71,11 @@ class _Open:
         }
 
 
-def word_batches(docs: DataFrame, held_out: Callable[[int | None], bool] | None = None) -> DataFrame:
+def word_batches(docs: DataFrame, part_of: Callable[[int | None], int] | None = None) -> DataFrame:
     """The batches of `docs` (doc_id, text), numbered by `batch` (a kept table).
 
     Words are runs of characters other than ASCII white space, A-Z made small. With
-    `held_out`, documents for which it is true come in batches of their own.
+    `part_of`, the documents of each part come in batches of their own.
     """
 
     def fill(batches):
@@ -84,13 +84,13 @@ def word_batches(docs: DataFrame, held_out: Callable[[int | None], bool] | None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
-                held = bool(held_out and held_out(doc_id))
-                now = filling.setdefault(held, _Open(held))
+                part = part_of(doc_id) if part_of else 0
+                now = filling.setdefault(part, _Open(part))
                 now.ids.append(doc_id)
                 now.hashes.append(np.fromiter(map(cache.fresh().__getitem__, words), np.uint64, len(words)))
                 now.size += len(words) + 1
                 if now.size >= BATCH_WORDS:
-                    yield pa.RecordBatch.from_pylist([filling.pop(held).row()], schema=BATCH)
+                    yield pa.RecordBatch.from_pylist([filling.pop(part).row()], schema=BATCH)
         for rest in filling.values():
             yield pa.RecordBatch.from_pylist([rest.row()], schema=BATCH)
 
