@@ -120,11 +120,11 @@ def total_counts(
     classes: int = 1,
     bits: int = 64,
 ) -> DataFrame:
-    """batch, answers (bucket, totals as little-endian 32-bit numbers) of every batch (a kept table).
+    """batch, answers (bucket, totals, see `_narrow`) of every batch (a kept table).
 
     `ask` gives a batch's distinct keys below 2^`bits` in rising order and their counts. `n_keys` is about
-    how many keys all batches ask for. Totals above 2^32 - 1 stay there. The row with batch
-    -1 holds, per bucket, how many keys have a total over 0, by key modulo `classes`.
+    how many keys all batches ask for. Totals are exact up to 2^53. The row with batch -1
+    holds, per bucket, how many keys have a total over 0, by key modulo `classes`.
     """
     buckets = max(1, -(-n_keys // BUCKET_KEYS))
     edges = [(k << bits) // buckets for k in range(1, buckets)]
@@ -154,7 +154,7 @@ def total_counts(
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         totals = np.bincount(place, counts, len(distinct)).astype(np.int64)
-        answer = np.minimum(totals, 2**32 - 1).astype("<u4")[place]
+        answer = totals[place]
         filled = np.bincount((distinct[totals > 0] % U64(classes)).astype(np.int64), minlength=classes)
         cuts = np.cumsum([0, *sizes])
         bucket = part["bucket"][0].as_py()
