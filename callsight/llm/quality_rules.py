@@ -33,7 +33,7 @@ CLASSES = 8
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 JUDGED_WORDS = 100  # fewer words are not compared with a reference
-MAX_CLASS_DISTANCE = 0.35
+MAX_CLASS_DISTANCE = 0.27  # between good (at most 0.215) and symbol junk (0.327 on) of 100 words or more
 MAX_WORD_DISTANCE = 0.5
 
 SYMBOLS = b"#*$%&|<>"
