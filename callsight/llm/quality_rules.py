@@ -2,8 +2,9 @@
 
 Every document gives two histograms: its characters by class, and its words by common-word
 bucket. Both are compared with the histograms of all documents of the same language by the
-Jensen-Shannon distance (base 2, so 0 ... 1). Short documents are not judged that way, as a
-histogram of few words is far from any reference by chance alone.
+Jensen-Shannon distance (base 2, so 0 ... 1). A histogram of few words is far from any
+reference by chance alone, so the limits fall with the length; texts of a few dozen
+characters, or of fewer words than the base rule wants, are not compared.
 
 References cover the whole corpus. Words are counted in a fixed number of buckets by their
 CRC-32, so what a task sends is bounded by the number of buckets and languages, not by the
@@ -32,7 +33,7 @@ COMMON = 64
 CLASSES = 8
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-JUDGED_WORDS = 100  # fewer words are not compared with a reference
+JUDGED_CHARS = 40  # fewer characters are not compared with a reference
 MAX_CLASS_DISTANCE = 0.27  # between good (at most 0.215) and symbol junk (0.327 on) of 100 words or more
 MAX_WORD_DISTANCE = 0.5
 
@@ -184,14 +185,21 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 ADDED = f"{MEASURES}, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
 
+def limits(n_words: int, n_chars: int) -> tuple[float, float]:
+    """The largest class and word distances of a text that looks like its language."""
+    return max(MAX_CLASS_DISTANCE, 0.2 + 36 / n_chars), max(MAX_WORD_DISTANCE, 0.38 + 1.2 / n_words**0.5)
+
+
 def _judge(text, lang, refs, cache) -> tuple:
     words = text.split()
     counts = measure(text, words)
     failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-    far = (None, None)
-    if counts[0] >= JUDGED_WORDS and lang in refs:
+    far, strange = (None, None), False
+    n_chars = len(text.translate(None, FOLLOWING))
+    if counts[0] >= MIN_WORDS and n_chars >= JUDGED_CHARS and lang in refs:
         far = distances(text, text.lower().split(), refs[lang], cache)
-    strange = far[0] is not None and (far[0] > MAX_CLASS_DISTANCE or far[1] > MAX_WORD_DISTANCE)
+        most = limits(counts[0], n_chars)
+        strange = far[0] > most[0] or far[1] > most[1]
     return (*counts, failed, *far, not failed and not strange)
 
 
