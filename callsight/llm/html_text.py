@@ -3,7 +3,8 @@
 A page is cut at block-level tags into a flat list of text blocks. Each has its word count,
 its link density, those of the blocks before and after it, its tag's kind and whether it
 stands in a part of the page that names itself (`nav`, `footer`, `aside`, a class like
-`sidebar`). A decision tree, grown on the small labelled table below, says which blocks are
+`sidebar`). A class only names a part if the whole token does (`site-footer`, not
+`has-sidebar`), and never the container of the page's text (`_void`). A decision tree, grown on the small labelled table below, says which blocks are
 main text; these are joined in page order.
 
 Defined cases: a null or empty html has no text; an unclosed tag or script ends with the
@@ -39,12 +40,18 @@ MAIN_TAGS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAF_TAGS = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|"
-    r"newsletter|subscri\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|"
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|"
+    r"newsletter|subscri\w*|sidebar|side|widgets?|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|"
     r"comments?|replies|reply|disqus|social|share|sharing|related|recommend\w*|login|signup|search|"
-    r"pagination|pager|tags?|copyright|legal|skip|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+    r"pagination|pager|tags?|copyright|legal|skip|hidden"
 )
+# Words that a token may have beside a hint.
+PLAIN = set(
+    "site page main top bottom left right primary secondary global list box block wrapper wrap container area "
+    "section item items link links bar inner outer col column row slot unit icons icon buttons button form "
+    "text label title group panel cloud news post posts article articles entry story stories".split()
+)
+TEXT_WORDS = {"post", "article", "entry", "story"}  # their header is the text's
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
@@ -61,21 +68,60 @@ class Block:
     item: bool  # list item or table cell
 
 
+def _is_hint(token: str) -> bool:
+    parts = [part for part in re.split(r"[\d_-]+", token) if part]
+    hints = {part for part in parts if HINT.fullmatch(part)}
+    if not hints or (hints <= {"header", "tag", "tags"} and TEXT_WORDS.intersection(parts)):
+        return False
+    return all(part in hints or part in PLAIN for part in parts)
+
+
 def _is_boiler(name: str, attrs: str, in_main: bool) -> bool:
+    """Whether the tag or its being hidden says so."""
     if name in BOILER_TAGS and not (name == "header" and in_main):
         return True
+    return bool(attrs) and name not in MAIN_TAGS and name not in ("body", "html") and bool(HIDDEN.search(attrs))
+
+
+def _is_named_boiler(name: str, attrs: str) -> bool:
+    """Whether a class, id, role or label says so."""
     if not attrs or name in MAIN_TAGS or name in ("body", "html"):
         return False
-    if HIDDEN.search(attrs):
-        return True
-    named = [a or b or c for a, b, c in NAMED.findall(attrs)]
-    return any(HINT.search(n) or n.lower() in ROLES for n in named)
+    named = [(a or b or c).lower() for a, b, c in NAMED.findall(attrs)]
+    return any(n.strip() in ROLES or any(map(_is_hint, n.split())) for n in named)
+
+
+def _void(found: list[Block], within: list[tuple], holders: dict[int, tuple], mains: set[int]) -> set[int]:
+    """The named containers whose name does not count, as they hold the page's text: the main
+    element, or the longest article if it is longer than all text outside of named parts and
+    little of that is in articles (else it may be a long comment). On a page without either:
+    those with most of its words and little beside them."""
+    named, articles, free, free_main, total = {}, {}, 0, 0, 0
+    for block, (hints, inside) in zip(found, within, strict=True):
+        total += block.words
+        if not (block.boiler or hints):
+            free += block.words
+            free_main += block.words if block.main else 0
+        for h in hints:
+            named[h] = named.get(h, 0) + block.words
+        for a in inside:
+            articles[a] = articles.get(a, 0) + block.words
+    if holders:
+        longest = max(articles, key=lambda a: (articles[a], -a), default=-1)
+        held = {longest} if articles.get(longest, 0) > max(free, 4 * free_main) else set()
+        return {h for a, hints in holders.items() if a in mains or a in held for h in hints}
+    return {h for h, words in named.items() if 2 * words > total and 4 * free < words}
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, markup, scripts and styles left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boiler, main
+    # name, boiler, main, named containers, articles
+    stack: list[tuple[str, bool, bool, tuple, tuple]] = []
+    within: list[tuple] = []  # of each block, the last two
+    holders: dict[int, tuple] = {}  # article or main element -> named containers around it
+    mains: set[int] = set()
+    n_named = 0
     parts: list[str] = []
     linked_parts: list[str] = []
     links = 0
@@ -84,7 +130,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(references.unescape("".join(parts)).split())
         if text:
             linked = len(references.unescape("".join(linked_parts)).split())
-            names = [n for n, _, _ in stack[-3:]]
+            names = [part[0] for part in stack[-3:]]
+            within.append(stack[-1][3:] if stack else ((), ()))
             found.append(
                 Block(
                     text,
@@ -128,11 +175,22 @@ def blocks(page: str) -> list[Block]:
         elif name != "a" and (name not in INLINE or attrs):
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            outer = stack[-1] if stack else ("", False, False)
-            stack.append((name, outer[1] or _is_boiler(name, attrs, outer[2]), outer[2] or name in MAIN_TAGS))
+            _, boiler, main, hints, inside = stack[-1] if stack else ("", False, False, (), ())
+            if name in MAIN_TAGS:
+                here = len(holders)
+                holders[here], inside = hints, (*inside, here)
+                if name == "main":
+                    mains.add(here)
+            elif _is_named_boiler(name, attrs):
+                hints, n_named = (*hints, n_named), n_named + 1
+            stack.append((name, boiler or _is_boiler(name, attrs, main), main or name in MAIN_TAGS, hints, inside))
     if at < len(page):
         add(page[at:])
     flush()
+    if n_named:
+        void = _void(found, within, holders, mains)
+        for block, (hints, _) in zip(found, within, strict=True):
+            block.boiler = block.boiler or not void.issuperset(hints)
     return found
 
 
@@ -141,7 +199,7 @@ def features(page: list[Block]) -> np.ndarray:
     words = np.array([0, *(b.words for b in page), 0], float)
     density = np.array([0, *(b.linked / b.words for b in page), 0], float)
     flags = np.array([(b.boiler, b.main, b.heading, b.item) for b in page], float).reshape(-1, 4)
-    some_main = np.full((len(page), 1), float(any(b.main for b in page)))
+    some_main = np.full((len(page), 1), float(any(b.main and not b.boiler for b in page)))
     return np.column_stack(
         [flags, some_main, words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]]
     )
@@ -212,6 +270,19 @@ LABELLED = [
     f"<article><h1>{MARK}{LONG}</h1><p>{MARK}to be brief</p><div class=promo><p>{LONG}</p></div><p>{MARK}{LONG}</p><h2>{MARK}and on</h2><p>{MARK}<a href=x>see there</a></p></article><p>{LONG}</p><footer>the end</footer>",
     f"<div class=menu><p>{LONG}</p></div><main><h1>{MARK}notes</h1><ul><li>{MARK}<a href=x>first</a></li><li>{MARK}<a href=x>second</a></li></ul></main><div><a href=x>back to the top of this page</a></div>",
     f"<div><h1>{MARK}no article here</h1><p>{MARK}{LONG}</p><h2>{MARK}part two of it</h2><p>{MARK}{LONG}</p></div><div class=login><p>{LONG}</p></div>",
+    f"<article><h1>{MARK}<a href=x>the old bridge near the mill is closed</a></h1><p>{MARK}{LONG} <a href=x>source</a></p><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li><li><a href=x>all that we know about the mill</a></li></ul><p>{MARK}{LONG}</p></article>",
+    f"<article><p>{MARK}{LONG}</p><div>now cheaper than ever <a href=x>buy it here today and save half of it</a></div><p>{MARK}so it <a href=x>went</a> on for days.</p><p>{MARK}{LONG}</p></article>",
+    f"<article><h1>{MARK}flood in town</h1><p>{MARK}in short.</p></article><div><p>{MARK}{LONG} {LONG}</p><p>{MARK}{LONG} {LONG}</p><p>{MARK}{LONG} {LONG} <a href=x>source</a></p></div><div><a href=x>{LONG} {LONG}</a></div>",
+    f"<article><h1>{MARK}a title</h1><p>{MARK}a few words and more.</p></article>",
+    f"<main><p>{MARK}all is well.</p><p>{MARK}{LONG}</p></main><p>{LONG}</p>",
+    f"<div><p>{LONG}</p></div><article><p>{MARK}yes, so it is</p><p>{MARK}no</p></article><p>{LONG}</p>",
+    f"<article><p>{MARK}{LONG}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<article><h1>{MARK}flood</h1><p>{MARK}in short, all went well in the end</p></article><p>{MARK}{LONG} {LONG}</p>",
+    f"<article><p>{MARK}all went well in the end</p><ul><li>{MARK}one</li><li>{MARK}and two of them</li></ul></article><p>seen by us</p>",
+    f"<article><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li></ul><h1>{MARK}flood</h1><p>{MARK}in short</p><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li></ul></article>",
+    f"<main><h1>{MARK}flood</h1><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li></ul><p>{MARK}{LONG}</p><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li></ul></main><ul><li><a href=x>more about the storm of last year</a></li><li><a href=x>who pays for the new bridge now</a></li></ul>",
+    f"<main><p>{MARK}{LONG}</p><p>{MARK}<a href=x>so they say</a></p><ul><li>{MARK}<a href=x>third</a></li></ul></main>",
+    f"<div class='content has-sidebar'><article><p>{MARK}{LONG}</p></article><div class=sidebar><p>{LONG} {LONG}</p></div></div>",
     f"<main><ul><li>{MARK}eggs and flour</li><li>{MARK}two cups of milk</li></ul><p>{MARK}mix well.</p></main><div><p>{LONG}</p></div>",
 ]
 
