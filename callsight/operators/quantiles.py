@@ -2,16 +2,18 @@
 
 The built-in exact percentile keeps every distinct value of a group in one task,
 which fails once a provider, a model or the whole table is a group. The exact form
-here narrows down each wanted rank and never holds a group:
+here reads its rows once, into a table of counts per (group, value), and narrows down each
+wanted rank over that table, never holding a group:
 
-1. Count values per (group, coarse bin). Coarse bins are about 1.1 % wide at any size of
-   the values, so a group has some hundreds of them, and each task sends only its counts. A
-   running sum over the bins tells which bins hold the wanted ranks.
+1. Count per (group, coarse bin). Coarse bins are about 1.1 % wide at any size of the
+   values, so a group has some hundreds of them. A running sum over the bins tells which
+   bins hold the wanted ranks.
 2. Within those bins only, do the same with fine bins, 4,096 to a coarse one.
-3. Keep only the values of the fine bins found, count equal ones, and walk their
-   running sum.
+3. Keep only the values of the fine bins found and walk their running sum.
 
-Sums and counts wanted beside the percentiles ride along from the first step.
+All steps read the exchange that the counting left. Sums and counts wanted beside the
+percentiles ride along from the first step. Several groupings of the same rows, as in
+GROUPING SETS, are made from the counts of their finest keys, not from the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 FINE_BIN = """case when _v is null then -4611686018427387904 when isnan(_v) then 4611686018427387904
     when _v = 0 then 0L
     else cast(sign(_v) * floor((least(log2(abs(_v)), 1025D) + 1076) * 262144) as bigint) end"""
-COARSE_BIN = "_fine >> 12"
+COARSE_BIN = f"shiftright({FINE_BIN}, 12)"
 # Whether a run of _c values, with _before values below it, holds a rank.
 HOLDS = "(_before <= {rank} and {rank} < _before + _c)"
 RUNNING = "rows between unbounded preceding and current row"
@@ -39,7 +41,7 @@ def exact_percentiles(
     value: str,
     probs: dict[str, float],
     sums: dict[str, Column] | None = None,
-    max_groups: int | None = None,
+    sets: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """Per group: linearly interpolated percentiles of `value`, and sums.
 
@@ -47,79 +49,92 @@ def exact_percentiles(
     parts of a group (a count or a sum). Null values are left out of the ranks, not of
     the sums. Without keys the answer has one row, also for no input.
 
-    `max_groups` is a bound on the number of groups, proven or checked (`checked_groups`).
-    With it the wanted bins (two per percentile and group) are broadcast and the later
-    scans are filtered in place; without it equal values are counted first and the joins
-    are left to adaptive execution.
+    `sets` names several groupings by some of the keys each. The answer then holds the
+    groups of all of them, with the grouping's number as `set` and null for other keys.
     """
     keys, sums = list(keys), sums or {}
-    group = [f"_k{i}" for i in range(len(keys))]
-    src = df.select("*", *[F.col(k).alias(g) for g, k in zip(group, keys)], F.col(value).cast("double").alias("_v"))
-    src = src.withColumn("_fine", F.expr(FINE_BIN)).withColumn("_coarse", F.expr(COARSE_BIN))
+    base = [f"_k{i}" for i in range(len(keys))]
+    carried = [f"_s{i}" for i in range(len(sums))]
+    # Counts are asked for three times. A common table that is not deterministic is planned
+    # once, and the condition, which always holds, makes it so.
+    counts = (
+        df.where(F.spark_partition_id() >= 0)
+        .select("*", *[F.col(k).alias(g) for g, k in zip(base, keys)], F.col(value).cast("double").alias("_v"))
+        .groupBy(*base, "_v")
+        .agg(F.count("_v").alias("_c"), *[c.alias(s) for s, c in zip(carried, sums.values())])
+    )
+    group = base if sets is None else ["_set", *base]
+
+    def grouped(rows: str, columns: str) -> str:
+        """`rows` under the keys of each grouping."""
+        if sets is None:
+            return f"(select {', '.join([*base, columns])} from {rows})"
+        masked = [
+            f"if(_set in ({', '.join([str(n) for n, s in enumerate(sets) if k in s] or ['-1'])}), {g}, null) as {g}"
+            for g, k in zip(base, keys)
+        ]
+        numbers = ", ".join(map(str, range(len(sets))))
+        return f"(select {', '.join(['_set', *masked, columns])} from {rows} lateral view explode(array({numbers})) _sets as _set)"
+
+    def listed(*columns: str) -> str:
+        return ", ".join(columns)
 
     ranks = {name: f"({p!r}D * (_total - 1))" for name, p in probs.items()}
     ends = [f"{end}({rank})" for rank in ranks.values() for end in ("floor", "ceil")]
     wanted = " or ".join(["_total = 0", *[HOLDS.format(rank=r) for r in ends]])
-    carried = [f"_s{i}" for i in range(len(sums))]
     facts = ["_before", "_total", *carried]
+    sum_each = [f"sum({s}) as {s}" for s in carried]
+    by = f"partition by {listed(*group) or '1'}"
+    by_group = f"group by {listed(*group)}" if group else ""
 
-    # Step 1: _before is the number of the group's values below a bin.
-    by = f"partition by {', '.join(group) or '1'}"
-    bins = (
-        src.groupBy(*group, "_coarse")
-        .agg(F.count("_v").alias("_c"), *[c.alias(s) for s, c in zip(carried, sums.values())])
-        .selectExpr(
-            *group,
-            "_coarse",
-            "_c",
-            f"sum(_c) over ({by} order by _coarse {RUNNING}) - _c as _before",
-            f"sum(_c) over ({by}) as _total",
-            *[f"sum({s}) over ({by}) as {s}" for s in carried],
-        )
-        .where(wanted)
-    )
-
-    rows = src.select(*group, "_coarse", "_fine", "_v", F.when(F.col("_v").isNotNull(), 1).otherwise(0).alias("_c"))
-    if max_groups is None:
-        rows = rows.groupBy(*group, "_coarse", "_fine", "_v").agg(F.sum("_c").alias("_c"))
-
-    def within(bins: DataFrame, bin_column: str, part: str) -> DataFrame:
+    def within(bins: str, bin_column: str, part: str) -> str:
         """The parts of the wanted bins, counted, with _before brought up to each."""
-        to = bins.select(*[F.col(c).alias(f"{c}_") for c in [*group, bin_column]], *facts)
-        same = F.expr(" and ".join(f"{c} <=> {c}_" for c in [*group, bin_column]))
-        found = rows.join(to if max_groups is None else F.broadcast(to), same)
-        counted = found.groupBy(*group, bin_column, *facts, part).agg(F.sum("_c").alias("_c"))
-        over = f"partition by {', '.join([*group, bin_column])} order by {part} {RUNNING}"
-        return counted.selectExpr(
-            *group, part, "_c", "_total", *carried, f"_before + sum(_c) over ({over}) - _c as _before"
-        )
-
-    # Steps 2 and 3.
-    fine = within(bins, "_coarse", "_fine").where(wanted)
-    found = within(fine, "_fine", "_v")
-
-    at = [F.expr(f"max(case when {HOLDS.format(rank=r)} then _v end)").alias(f"_e{i}") for i, r in enumerate(ends)]
+        same = " and ".join(f"r.{c} <=> b.{c}" for c in [*group, bin_column])
+        columns = f"_v, _c, {COARSE_BIN} as _coarse, {FINE_BIN} as _fine"
+        own = [f"r.{c}" for c in [*group, bin_column, part]]
+        over = f"partition by {listed(*group, bin_column)} order by {part} {RUNNING}"
+        return f"""select {listed(*group, part, "_c", "_total", *carried)}, _before + sum(_c) over ({over}) - _c as _before
+            from (select {listed(*own, *facts)}, sum(r._c) as _c from {grouped("counts", columns)} r join {bins} b on {same}
+                group by {listed(*own, *facts)})"""
+
+    bins = "select * from few"
+    if sets is not None:
+        bins = f"""select {listed(*group, "_coarse", "sum(_c) as _c", *sum_each)}
+            from {grouped("few", listed("_coarse", "_c", *carried))} group by {listed(*group, "_coarse")}"""
+    at = [f"max(case when {HOLDS.format(rank=r)} then _v end) as _e{i}" for i, r in enumerate(ends)]
+    found = counts.sparkSession.sql(
+        f"""with counts as (select /*+ repartition({listed(*base, "_v")}) */ * from {{counts}}),
+        few as (select {listed(*base, f"{COARSE_BIN} as _coarse", "sum(_c) as _c", *sum_each)} from counts
+            group by {listed(*base, f"{COARSE_BIN}")}),
+        bins as ({bins}),
+        placed as (select {listed(*group, "_coarse", "_c")}, sum(_c) over ({by} order by _coarse {RUNNING}) - _c as _before,
+            {listed(f"sum(_c) over ({by}) as _total", *[f"sum({s}) over ({by}) as {s}" for s in carried])} from bins),
+        coarse as (select {listed(*group, "_coarse", *facts)} from placed where {wanted}),
+        finer as ({within("coarse", "_coarse", "_fine")}),
+        fine as (select {listed(*group, "_fine", *facts)} from finer where {wanted}),
+        last as ({within("fine", "_fine", "_v")})
+        select {listed(*group, *[f"max({c}) as {c}" for c in ["_total", *carried]], *at)} from last {by_group}""",
+        counts=counts,
+    )
     between = [
         f"if(_e{2 * i} = _e{2 * i + 1}, _e{2 * i}, _e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({r} - floor({r}))) as `{name}`"
         for i, (name, r) in enumerate(ranks.items())
     ]
-    return (
-        found.groupBy(*group)
-        .agg(*[F.max(c).alias(c) for c in ["_total", *carried]], *at)
-        .selectExpr(
-            *[f"{g} as `{k}`" for g, k in zip(group, keys)],
-            *[f"{s} as `{name}`" for s, name in zip(carried, sums)],
-            *between,
-        )
+    return found.selectExpr(
+        *(["_set as `set`"] if sets is not None else []),
+        *[f"{g} as `{k}`" for g, k in zip(base, keys)],
+        *[f"{s} as `{name}`" for s, name in zip(carried, sums)],
+        *between,
     )
 
 
-def checked_groups(df: DataFrame, keys: Sequence[str], limit: int = 10_000) -> int | None:
-    """The number of groups, or None when it is above `limit` and nothing that grows with
-    it should be broadcast. Runs a job over the key columns alone; give it the rows before
-    copies are removed, as that cannot hide a group."""
-    n = df.select(*keys).distinct().limit(limit + 1).count()
-    return n if n <= limit else None
+def in_sets(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]] | None) -> tuple[DataFrame, list[str]]:
+    """Each row once per grouping, and the columns to group by."""
+    if sets is None:
+        return df, list(keys)
+    rows = df.withColumn("set", F.explode(F.array(*[F.lit(n) for n in range(len(sets))])))
+    masked = {k: F.when(F.col("set").isin([n for n, s in enumerate(sets) if k in s]), F.col(k)) for k in keys}
+    return rows.withColumns(masked), ["set", *keys]
 
 
 def approximate_percentiles(
@@ -128,10 +143,12 @@ def approximate_percentiles(
     value: str,
     probs: dict[str, float],
     sums: dict[str, Column] | None = None,
+    sets: Sequence[Sequence[str]] | None = None,
     accuracy: int = 10000,
 ) -> DataFrame:
     """The same answer in one pass with summaries of fixed size: each percentile is a
     value that occurs, its rank off by at most 1/accuracy of the group."""
+    df, keys = in_sets(df, keys, sets)
     points = F.percentile_approx(value, list(probs.values()), accuracy).alias("_p")
     return _named(df.groupBy(*keys).agg(points, *_sums(sums)), keys, probs, sums)
 
@@ -142,9 +159,11 @@ def sketch_percentiles(
     value: str,
     probs: dict[str, float],
     sums: dict[str, Column] | None = None,
+    sets: Sequence[Sequence[str]] | None = None,
     k: int = 4000,
 ) -> DataFrame:
-    """The same answer from KLL sketches. A sketch can be stored and merged later."""
+    """The same answer from KLL sketches. `plans.rollups` stores and merges them."""
+    df, keys = in_sets(df, keys, sets)
     sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k))
     points = F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(list(probs.values()))))
     return _named(df.groupBy(*keys).agg(points.alias("_p"), *_sums(sums)), keys, probs, sums)
@@ -163,10 +182,8 @@ def _named(df: DataFrame, keys: Sequence[str], probs: dict[str, float], sums: di
 MODES = {"exact": exact_percentiles, "approx": approximate_percentiles, "sketch": sketch_percentiles}
 
 
-def percentiles(mode: str = "exact", max_groups: int | None = None):
-    """The percentile form for a mode; a proven group bound only matters to the exact one."""
+def percentiles(mode: str = "exact"):
+    """The percentile form for a mode."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
-    if mode != "exact":
-        return MODES[mode]
-    return lambda *args, **kw: exact_percentiles(*args, max_groups=max_groups, **kw)
+    return MODES[mode]

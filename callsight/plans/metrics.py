@@ -41,7 +41,7 @@ def cost() -> Column:
 
 def totals(logs: DataFrame, mode: str = "exact") -> DataFrame:
     """One row, also when there are no logs."""
-    raw = percentiles(mode, max_groups=1)(
+    raw = percentiles(mode)(
         logs,
         [],
         "latency_ms",
@@ -72,12 +72,9 @@ def _totals_columns() -> list[Column]:
     ]
 
 
-def timeseries(
-    logs: DataFrame, bucket_seconds: int, mode: str = "exact", max_groups: int | None = None
-) -> DataFrame:
-    """Per bucket, oldest first. Buckets without calls are left out. `max_groups`, here and
-    below, is a bound on the groups as in `exact_percentiles`."""
-    raw = percentiles(mode, max_groups)(
+def timeseries(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> DataFrame:
+    """Per bucket, oldest first. Buckets without calls are left out."""
+    raw = percentiles(mode)(
         logs.withColumn("t", bucket_start(F.col("created_at"), bucket_seconds)),
         ["t"],
         "latency_ms",
@@ -87,9 +84,9 @@ def timeseries(
     return raw.select("t", "requests", "errors", zero_int(round_even(F.col("p95"))).alias("p95_ms")).orderBy("t")
 
 
-def by_provider(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
+def by_provider(logs: DataFrame, mode: str = "exact") -> DataFrame:
     """Busiest provider first, ties by name."""
-    raw = percentiles(mode, max_groups)(
+    raw = percentiles(mode)(
         logs,
         ["provider"],
         "latency_ms",
@@ -106,9 +103,9 @@ def by_provider(logs: DataFrame, mode: str = "exact", max_groups: int | None = N
     ).orderBy(F.desc("requests"), "provider")
 
 
-def by_model(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
+def by_model(logs: DataFrame, mode: str = "exact") -> DataFrame:
     """Busiest model first, ties by name."""
-    raw = percentiles(mode, max_groups)(
+    raw = percentiles(mode)(
         logs,
         ["model"],
         "latency_ms",
@@ -124,24 +121,24 @@ def by_model(logs: DataFrame, mode: str = "exact", max_groups: int | None = None
     ).orderBy(F.desc("requests"), "model")
 
 
-def summary(
-    logs: DataFrame,
-    window: str,
-    as_of: Time,
-    dedup: bool = True,
-    mode: str = "exact",
-    max_groups: int | None = None,
-) -> DataFrame:
+PART = ["section", "t", "name"]
+SECTIONS = ["totals", "timeseries", "by_provider", "by_model"]  # in the order of SETS
+SETS = [[], ["t"], ["provider"], ["model"]]
+
+
+def summary(logs: DataFrame, window: str, as_of: Time, dedup: bool = True, mode: str = "exact") -> DataFrame:
     """All four parts in one pass, one row per part and group.
 
-    Each call is counted under its part's group: `section` is totals, timeseries,
-    by_provider or by_model; `t` and `name` hold the group. Only totals are there when
-    the window is empty, as zeros. `checked_groups(parts(...), PART)` gives `max_groups`.
+    `section` is totals, timeseries, by_provider or by_model; `t` and `name` hold the
+    group. Only totals are there when the window is empty, as zeros.
     """
     rows = in_window(logs, window, as_of)
-    raw = percentiles(mode, max_groups)(
-        parts(dedup_latest(rows) if dedup else rows, window),
-        PART,
+    buckets = (dedup_latest(rows) if dedup else rows).withColumn(
+        "t", bucket_start(F.col("created_at"), window_bucket(window))
+    )
+    raw = percentiles(mode)(
+        buckets,
+        ["t", "provider", "model"],
         "latency_ms",
         LATENCIES,
         sums={
@@ -152,9 +149,18 @@ def summary(
             "ttft": F.sum("ttft_ms"),
             "ttft_calls": F.count("ttft_ms"),
         },
+        sets=SETS,
     )
-    found = raw.select("section", "t", "name", *_totals_columns())
-    zeros = empty_totals(rows.sparkSession).selectExpr(
+    return in_sections(raw)
+
+
+def in_sections(raw: DataFrame) -> DataFrame:
+    """The rows of the summary from counts by `SETS`."""
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("set") + 1)
+    found = raw.select(
+        section.alias("section"), "t", F.coalesce("provider", "model").alias("name"), *_totals_columns()
+    )
+    zeros = empty_totals(raw.sparkSession).selectExpr(
         "'totals' as section", "cast(null as timestamp) as t", "cast(null as string) as name", "*"
     )
     measured = [c for c in found.columns if c not in PART]
@@ -166,29 +172,6 @@ def summary(
     )
 
 
-PART = ["section", "t", "name"]
-
-
-def parts(rows: DataFrame, window: str) -> DataFrame:
-    """Each row once per part of the summary, with the part's group as `section`, `t`, `name`."""
-    bucket = bucket_start(F.col("created_at"), window_bucket(window))
-    none, text = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
-
-    def part(section: str, t: Column, name: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), t.alias("t"), name.alias("name"))
-
-    each = F.explode(
-        F.array(
-            part("totals", none, text),
-            part("timeseries", bucket, text),
-            part("by_provider", none, F.col("provider")),
-            part("by_model", none, F.col("model")),
-        )
-    )
-    measures = ["status", "latency_ms", "ttft_ms", "total_tokens", "cost_usd"]
-    return rows.select(*measures, each.alias("_part")).select(*measures, "_part.*")
-
-
 def empty_totals(spark: SparkSession) -> DataFrame:
     whole_numbers = ["requests", "errors", "p50_ms", "p95_ms", "p99_ms", "avg_ttft_ms", "total_tokens"]
     zero = {c: F.lit(0).cast("bigint") for c in whole_numbers}
@@ -266,9 +249,7 @@ def summary_or_empty(
         return empty_summary(spark, window, str(exc))
 
 
-def pipeline_lag(
-    logs: DataFrame, bucket_seconds: int, mode: str = "exact", max_groups: int | None = None
-) -> DataFrame:
+def pipeline_lag(logs: DataFrame, bucket_seconds: int, mode: str = "exact") -> DataFrame:
     """How long after the call its row was stored, per bucket of the call's time."""
     lagged = logs.withColumns(
         {
@@ -276,7 +257,7 @@ def pipeline_lag(
             "lag_ms": millis_between(F.col("created_at"), F.col("ingested_at")),
         }
     )
-    raw = percentiles(mode, max_groups)(
+    raw = percentiles(mode)(
         lagged, ["t"], "lag_ms", {**P95, "worst": 1.0}, sums={"requests": requests(), "lag": F.sum("lag_ms")}
     )
     return raw.select(

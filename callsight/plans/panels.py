@@ -27,7 +27,7 @@ def stat_error_rate(logs: DataFrame) -> DataFrame:
 
 
 def stat_p95(logs: DataFrame, mode: str = "exact") -> DataFrame:
-    raw = percentiles(mode, max_groups=1)(logs, [], "latency_ms", P95)
+    raw = percentiles(mode)(logs, [], "latency_ms", P95)
     return raw.select(whole(F.col("p95")).alias("p95_ms"))
 
 
@@ -35,9 +35,9 @@ def stat_tokens(logs: DataFrame) -> DataFrame:
     return logs.agg(tokens().alias("tokens"))
 
 
-def latency_percentiles(logs: DataFrame, interval_seconds: int, mode: str = "exact", max_groups: int | None = None):
-    """Unrounded p50, p95 and p99 per interval. `max_groups` as in `exact_percentiles`."""
-    raw = percentiles(mode, max_groups)(_by_time(logs, interval_seconds), ["time"], "latency_ms", LATENCIES)
+def latency_percentiles(logs: DataFrame, interval_seconds: int, mode: str = "exact") -> DataFrame:
+    """Unrounded p50, p95 and p99 per interval."""
+    raw = percentiles(mode)(_by_time(logs, interval_seconds), ["time"], "latency_ms", LATENCIES)
     return raw.orderBy("time")
 
 
@@ -50,15 +50,15 @@ def error_rate_over_time(logs: DataFrame, interval_seconds: int) -> DataFrame:
     return _by_time(logs, interval_seconds).groupBy("time").agg(rate).orderBy("time")
 
 
-def ttft_p95(logs: DataFrame, interval_seconds: int, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
+def ttft_p95(logs: DataFrame, interval_seconds: int, mode: str = "exact") -> DataFrame:
     """Time to the first token, over the calls that streamed one."""
     streamed = _by_time(logs.where(F.col("ttft_ms").isNotNull()), interval_seconds)
-    raw = percentiles(mode, max_groups)(streamed, ["time"], "ttft_ms", P95)
+    raw = percentiles(mode)(streamed, ["time"], "ttft_ms", P95)
     return raw.select("time", whole(F.col("p95")).alias("ttft_p95")).orderBy("time")
 
 
-def by_provider(logs: DataFrame, mode: str = "exact", max_groups: int | None = None) -> DataFrame:
-    raw = percentiles(mode, max_groups)(
+def by_provider(logs: DataFrame, mode: str = "exact") -> DataFrame:
+    raw = percentiles(mode)(
         logs, ["provider"], "latency_ms", P95, sums={"requests": requests(), "tokens": tokens()}
     )
     return raw.select("provider", "requests", whole(F.col("p95")).alias("p95_ms"), "tokens").orderBy(

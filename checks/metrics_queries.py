@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from callsight.functions.times import bucket_start, iso_millis, iso_text
 from callsight.operators import logs as ops
-from callsight.operators.quantiles import checked_groups
-from callsight.plans import metrics, panels
+from callsight.operators.quantiles import in_sets
+from callsight.plans import metrics, panels, rollups
+from callsight.session import scratch_path
+from callsight.sources import logs as log_table
 from checks import inputs
 from checks.inputs import AS_OF, RANGE
 from checks.sql import EVENTS, iso, quantile, rounded, whole, window, zero
@@ -35,25 +37,6 @@ def settled(spark, sf_dir, window_name=None):
     return ops.dedup_latest(ops.in_window(rows, window_name, AS_OF) if window_name else rows)
 
 
-def groups(rows, key):
-    """A checked bound on the groups, from the rows as delivered."""
-    return checked_groups(rows.select(key.alias("k")), ["k"])
-
-
-def recent(spark, sf_dir, window_name="7d"):
-    return ops.in_window(inputs.raw_logs(spark, sf_dir), window_name, AS_OF)
-
-
-def buckets(seconds):
-    return bucket_start(F.col("created_at"), seconds)
-
-
-def whole_summary(spark, sf_dir):
-    rows = inputs.raw_logs(spark, sf_dir)
-    bound = checked_groups(metrics.parts(ops.in_window(rows, "7d", AS_OF), "7d"), metrics.PART)
-    return metrics.summary(rows, "7d", AS_OF, max_groups=bound)
-
-
 def in_range(spark, sf_dir):
     return ops.dedup_latest(ops.in_range(inputs.raw_logs(spark, sf_dir), *RANGE))
 
@@ -109,23 +92,21 @@ for name, (hours, bucket) in {"1h": (1, 60), "24h": (24, 1800), "7d": (168, 2160
     )
     register(
         f"metrics_timeseries_{name}",
-        lambda s, d, w=name, b=bucket: times_as_text(
-            metrics.timeseries(settled(s, d, w), b, max_groups=groups(recent(s, d, w), buckets(b)))
-        ),
+        lambda s, d, w=name, b=bucket: times_as_text(metrics.timeseries(settled(s, d, w), b)),
         f"""WITH {EVENTS} SELECT {iso(f"time_bucket(INTERVAL {bucket} SECOND, created_at, TIMESTAMP '1970-01-01')")} AS t,
         count(*) AS requests, count(*) FILTER (status = 'error') AS errors, {zero(quantile(0.95))} AS p95_ms
         FROM {window(hours)} GROUP BY 1""",
     )
 register(
     "metrics_by_provider_7d",
-    lambda s, d: metrics.by_provider(settled(s, d, "7d"), max_groups=groups(recent(s, d), F.col("provider"))),
+    lambda s, d: metrics.by_provider(settled(s, d, "7d")),
     f"""WITH {EVENTS} SELECT provider, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens,
     COALESCE({rounded('sum(cost_usd)', 4)}, 0.0) AS cost_usd FROM {window(168)} GROUP BY provider""",
 )
 register(
     "metrics_by_model_7d",
-    lambda s, d: metrics.by_model(settled(s, d, "7d"), max_groups=groups(recent(s, d), F.col("model"))),
+    lambda s, d: metrics.by_model(settled(s, d, "7d")),
     f"""WITH {EVENTS} SELECT model, count(*) AS requests, {zero(quantile(0.95))} AS p95_ms,
     count(*) FILTER (status = 'error') AS errors, CAST(sum(total_tokens) AS BIGINT) AS tokens
     FROM {window(168)} GROUP BY model""",
@@ -143,7 +124,7 @@ _SUMMARY_SQL = f"""WITH {EVENTS}, rows AS {window(168)}, parts AS (
 SELECT section, t, name, {TOTALS} FROM parts GROUP BY section, t, name"""
 register(
     "metrics_grouping_sets",
-    lambda s, d: times_as_text(whole_summary(s, d)),
+    lambda s, d: times_as_text(metrics.summary(inputs.raw_logs(s, d), "7d", AS_OF)),
     _SUMMARY_SQL,
 )
 register(
@@ -227,7 +208,6 @@ register(
 # --- the panels ----------------------------------------------------------------------
 
 BY_HOUR = iso("time_bucket(INTERVAL 3600 SECOND, created_at, TIMESTAMP '1970-01-01')")
-RANGE_HOURS = 7 * 24 + 1
 PANEL_RATE = rounded("100.0 * count(*) FILTER (status = 'error') / greatest(count(*), 1)", 2)
 
 register("panel_requests", lambda s, d: panels.stat_requests(in_range(s, d)),
@@ -243,7 +223,7 @@ register("panel_tokens", lambda s, d: panels.stat_tokens(in_range(s, d)),
 register(
     "panel_latency_percentiles",
     lambda s, d: times_as_text(
-        panels.latency_percentiles(in_range(s, d), HOUR, max_groups=RANGE_HOURS).select(
+        panels.latency_percentiles(in_range(s, d), HOUR).select(
             "time", *[F.bround(p, 6).alias(p) for p in ("p50", "p95", "p99")]
         )
     ),
@@ -257,15 +237,13 @@ register("panel_error_rate_ts", lambda s, d: times_as_text(panels.error_rate_ove
          f"WITH {EVENTS} SELECT {BY_HOUR} AS time, CAST({PANEL_RATE} AS DOUBLE) AS error_rate_pct FROM {IN_RANGE} GROUP BY 1")
 register(
     "panel_ttft_p95",
-    lambda s, d: times_as_text(panels.ttft_p95(in_range(s, d), HOUR, max_groups=RANGE_HOURS)),
+    lambda s, d: times_as_text(panels.ttft_p95(in_range(s, d), HOUR)),
     f"""WITH {EVENTS} SELECT {BY_HOUR} AS time, {whole(quantile(0.95, 'ttft_ms'))} AS ttft_p95
     FROM {IN_RANGE} WHERE ttft_ms IS NOT NULL GROUP BY 1""",
 )
 register(
     "panel_by_provider",
-    lambda s, d: panels.by_provider(
-        in_range(s, d), max_groups=groups(ops.in_range(inputs.raw_logs(s, d), *RANGE), F.col("provider"))
-    ),
+    lambda s, d: panels.by_provider(in_range(s, d)),
     f"""WITH {EVENTS} SELECT provider, count(*) AS requests, {whole(quantile(0.95))} AS p95_ms,
     CAST(sum(total_tokens) AS BIGINT) AS tokens FROM {IN_RANGE} GROUP BY provider""",
 )
@@ -323,10 +301,70 @@ register(
 register(
     "pipeline_lag",
     lambda s, d: times_as_text(
-        metrics.pipeline_lag(settled(s, d), 21600, max_groups=groups(inputs.raw_logs(s, d), buckets(21600)))
+        metrics.pipeline_lag(settled(s, d), 21600)
     ),
     f"""WITH {EVENTS}, lag AS (SELECT time_bucket(INTERVAL 21600 SECOND, created_at, TIMESTAMP '1970-01-01') AS t,
       date_diff('microsecond', created_at, ingested_at) / 1000 AS ms FROM logs)
     SELECT {iso('t')} AS t, count(*) AS requests, {whole('avg(ms)')} AS avg_lag_ms,
       {whole(quantile(0.95, 'ms'))} AS p95_lag_ms, {whole('max(ms)')} AS max_lag_ms FROM lag GROUP BY 1""",
 )
+
+# --- stored percentiles ------------------------------------------------------------------
+
+
+def stored_rollups(spark, sf_dir):
+    """Rollups of the log table, half of whose days are compacted; the last day is made twice."""
+    path, out = scratch_path(spark, "logs"), scratch_path(spark, "rollups")
+    log_table.write_logs(inputs.raw_logs(spark, sf_dir), path, "one")
+    days = log_table.stored_days(spark, path)
+    log_table.compact_days(spark, path, days[: len(days) // 2])
+    rollups.write_rollups(spark, path, out, days)
+    rollups.write_rollups(spark, path, out, days[-1:])
+    return rollups.read_rollups(spark, out)
+
+
+def near_ranks(spark, sf_dir, found, window_name):
+    """Whether the rank of each percentile is within the stated error of the wanted one."""
+    rows = settled(spark, sf_dir, window_name)
+    bucket = bucket_start(F.col("created_at"), max(metrics.window_bucket(window_name), rollups.ROLLUP_SECONDS))
+    keys = ["t", "provider", "model"]
+    each, _ = in_sets(rows.withColumn("t", bucket).select(*keys, "latency_ms"), keys, metrics.SETS)
+    by = ["set", *keys]
+    points = found.select(*[F.col(c).alias(f"{c}_") for c in by], *metrics.LATENCIES)
+    same = F.expr(" and ".join(f"{c} <=> {c}_" for c in by))
+    n, error = F.count(F.lit(1)), rollups.RANK_ERROR
+    within = [
+        (F.count_if(F.col("latency_ms") < F.col(p)) <= n * (q + error)) & (F.count_if(F.col("latency_ms") <= F.col(p)) >= n * (q - error))
+        for p, q in metrics.LATENCIES.items()
+    ]
+    return each.join(points, same).groupBy(*by).agg((within[0] & within[1] & within[2]).alias("within"))
+
+
+def from_rollups(spark, sf_dir):
+    table, parts = stored_rollups(spark, sf_dir), []
+    for name in ("1h", "24h", "7d"):
+        near = near_ranks(spark, sf_dir, rollups.window_groups(table, name, AS_OF), name)
+        section = F.element_at(F.array(*map(F.lit, metrics.SECTIONS)), F.col("set") + 1)
+        near = near.select(section.alias("s"), F.col("t").alias("at"), F.coalesce("provider", "model").alias("of"), "within")
+        found = rollups.summary_from_rollups(table, name, AS_OF).drop("p50_ms", "p95_ms", "p99_ms")
+        joined = found.join(near, F.expr("section <=> s and t <=> at and name <=> of"), "left")
+        parts.append(joined.select(F.lit(name).alias("window"), *found.columns, F.coalesce("within", F.lit(True)).alias("within")))
+    return times_as_text(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _rollup_sql(name, hours, bucket):
+    start = f"(SELECT * FROM logs WHERE created_at >= date_trunc('hour', TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR))"
+    t = iso(f"time_bucket(INTERVAL {bucket} SECOND, created_at, TIMESTAMP '1970-01-01')")
+    return f"""SELECT '{name}' AS "window", section, t, name, {TOTALS}, true AS within FROM (
+      SELECT 'totals' AS section, NULL AS t, NULL AS name, * FROM {start}
+      UNION ALL SELECT 'timeseries', {t}, NULL, * FROM {start}
+      UNION ALL SELECT 'by_provider', NULL, provider, * FROM {start}
+      UNION ALL SELECT 'by_model', NULL, model, * FROM {start}) GROUP BY section, t, name"""
+
+
+register(
+    "summary_from_rollups",
+    from_rollups,
+    f"""WITH {EVENTS} SELECT * EXCLUDE (p50_ms, p95_ms, p99_ms) FROM (
+    {" UNION ALL ".join(_rollup_sql(*w) for w in (("1h", 1, 3600), ("24h", 24, 3600), ("7d", 168, 21600)))})""",
+)

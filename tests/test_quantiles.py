@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callsight.operators.quantiles import FINE_BIN, checked_groups, exact_percentiles, percentiles
+from callsight.operators.quantiles import FINE_BIN, exact_percentiles, percentiles
 
 PROBS = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -36,15 +36,12 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("max_groups", [None, 100])
-def test_exact(spark, max_groups):
+def test_exact(spark):
     data = groups()
     rows = [(k, v) for k, vs in data.items() for v in vs]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    found = exact_percentiles(
-        df, ["k"], "v", PROBS, {"n": F.count(F.lit(1)), "s": F.count("v")}, max_groups=max_groups
-    ).collect()
+    found = exact_percentiles(df, ["k"], "v", PROBS, {"n": F.count(F.lit(1)), "s": F.count("v")}).collect()
     assert {r.k for r in found} == set(data) and len(found) == len(data)
     for row in found:
         values = data[row.k]
@@ -54,13 +51,12 @@ def test_exact(spark, max_groups):
             assert row[name] == (want if want is None else pytest.approx(want, rel=1e-12)), (row.k, name)
 
 
-@pytest.mark.parametrize("max_groups", [None, 1])
-def test_without_keys_and_without_rows(spark, max_groups):
+def test_without_keys_and_without_rows(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
-    assert exact_percentiles(df, [], "v", {"p": 0.25}, max_groups=max_groups).first().p == 25.0
-    empty = exact_percentiles(df.where("v < 0"), [], "v", {"p": 0.25}, {"n": F.count("v")}, max_groups=max_groups).collect()
+    assert exact_percentiles(df, [], "v", {"p": 0.25}).first().p == 25.0
+    empty = exact_percentiles(df.where("v < 0"), [], "v", {"p": 0.25}, {"n": F.count("v")}).collect()
     assert [(r.n, r.p) for r in empty] == [(None, None)]
-    keyed = exact_percentiles(df.where("v < 0").withColumn("k", F.lit(1)), ["k"], "v", {"p": 0.5}, max_groups=max_groups)
+    keyed = exact_percentiles(df.where("v < 0").withColumn("k", F.lit(1)), ["k"], "v", {"p": 0.5})
     assert keyed.collect() == []
 
 
@@ -74,10 +70,34 @@ def test_modes_agree(spark, mode, error):
         assert abs(r.a - n * 0.5) <= n * max(error, 0.0005) and abs(r.b - n * 0.95) <= n * max(error, 0.0005)
 
 
-def test_checked_groups(spark):
-    df = spark.range(1000).selectExpr("id % 30 as k", "id as v")
-    assert checked_groups(df, ["k"]) == 30 and checked_groups(df, ["k"], limit=30) == 30
-    assert checked_groups(df, ["k"], limit=29) is None and checked_groups(df.where("v < 0"), ["k"]) == 0
+@pytest.mark.parametrize("mode", ["exact", "approx", "sketch"])
+def test_several_groupings(spark, mode):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["x", "y", None]), rnd.randint(0, 2), rnd.choice([None, float(rnd.randint(0, 40))])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a string, b int, v double")
+    sets = [[], ["a"], ["b"], ["a", "b"]]
+    found = percentiles(mode)(df, ["a", "b"], "v", {"p": 0.5}, {"n": F.count(F.lit(1))}, sets=sets).collect()
+    want = {}
+    for number, keys in enumerate(sets):
+        for a, b, v in rows:
+            want.setdefault((number, a if "a" in keys else None, b if "b" in keys else None), []).append(v)
+    assert len(found) == len(want) == 1 + 3 + 3 + 9
+    for r in found:
+        values = want[r["set"], r.a, r.b]
+        assert r.n == len(values) and abs(r.p - expected(values, 0.5)) <= (0 if mode == "exact" else 3)
+
+
+def test_rows_are_read_once(spark, tmp_path):
+    """One scan and one exchange of the rows, whatever the adaptive plan becomes; the steps read the counts."""
+    spark.range(20_000).selectExpr("id % 7 as k", "cast(id % 999 as double) as v", "id as w").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").dropDuplicates(["w"])
+    for sets in (None, [[], ["k"]]):
+        got = exact_percentiles(df, ["k"], "v", {"p": 0.5, "q": 0.99}, {"n": F.count(F.lit(1)), "s": F.sum("w")}, sets)
+        assert got.agg(F.sum("n")).first()[0] == (20_000 if sets is None else 40_000)
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(w#") == 1
+        assert plan.count("ReusedExchange") == 2
 
 
 def test_unknown_mode():
