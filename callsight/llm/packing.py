@@ -37,12 +37,30 @@ EPOCHS = 3
 GENERATIONS = 8
 POPULATION = 6
 WELL_FILLED = 0.98
-KEPT_WORDS, KEPT_LETTERS = 150_000, 400_000  # what a worker remembers; speed only
+KEPT_WORDS, KEPT_LETTERS = 200_000, 200_000  # what each of two generations in a worker remembers; speed only
 OPENED = 0.9  # bins filled less than this are opened for the next level
 
 # ---- tokens ---------------------------------------------------------------------------
 
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# A word a line: Latin letters with marks behind them, or anything else.
+LINES = re.compile(f"(?:([{LETTERS}]+)([.,;:!?]*)|[^\n]*)\n")
+
+
+class Remembered:
+    """A dict that forgets: two generations, the older one goes when the newer is full."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not held; the others are in `new` from now on."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        keys = keys - self.new.keys()
+        again = keys & self.old.keys()
+        self.new.update((k, self.old[k]) for k in again)
+        return keys - again
 
 
 class WordTokens:
@@ -50,69 +68,89 @@ class WordTokens:
 
     The tokenizer never joins characters across white space, so a text's ids are those of its
     words one after the other; each distinct word is tokenized once. Words of Latin letters
-    with marks behind them are split here, their letters tokenized together in one call and
-    told apart by the vocabulary's end-of-word pieces.
+    with marks behind them are split here. A run of letters is one word to the tokenizer, and
+    small letters are left as they are, so letters go to its model together in one call, cut at
+    blanks alone, and are told apart by the vocabulary's end-of-word pieces.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(file)
+        self.model.encode_special_tokens = True
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.words = Remembered(KEPT_WORDS)
+        self.letters = Remembered(KEPT_LETTERS)
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def learn(self, words: set[bytes]) -> None:
-        """Fills the caches with the given words; an earlier content goes when it is large."""
-        for cache, most in ((self.words, KEPT_WORDS), (self.letters, KEPT_LETTERS)):
-            if len(cache) > most:
-                cache.clear()
-        new = {w: w.decode() for w in words if w not in self.words}
-        plain = {w: m.groups() for w, s in new.items() if (m := PLAIN.fullmatch(s))}
-        unknown = sorted({letters.lower() for letters, _ in plain.values()} - self.letters.keys())
-        for at in range(0, len(unknown), 5000):
-            part = unknown[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                self.letters.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
-            else:
-                self.letters.update((x, self.ids(x)) for x in part)
-        for word, text in new.items():
-            if word in plain:
-                letters, marks = plain[word]
-                ids = self.letters[letters.lower()]
-                if marks:
-                    if marks not in self.letters:
-                        self.letters[marks] = self.ids(marks)
-                    ids += self.letters[marks]
-            else:
-                ids = self.ids(text)
-            self.words[word] = ids
+        """Makes sure that the caches hold the given words."""
+        new = list(self.words.missing(words))
+        if not new:
+            return
+        text = b"\n".join(new).decode()
+        lines = LINES.findall(text.lower() + "\n")
+        if len(lines) != len(new):  # letters whose small form has another shape
+            lines = [LINES.findall(w.decode().lower() + "\n")[0] for w in new]
+        unknown = list(self.letters.missing({x for x, _ in lines if x} | {marks for _, marks in lines if marks}))
+        plain = [x for x in unknown if x[0] not in ".,;:!?"]
+        parts = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+        for at in range(0, len(parts), 50):
+            some = parts[at : at + 50]
+            encoded = self.model.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)
+            for part, e in zip(some, encoded, strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) == len(part) and cuts[-1] == len(ids):
+                    data = ids.tobytes()
+                    self.letters.new.update((x, data[4 * a : 4 * b]) for x, a, b in zip(part, [0, *cuts], cuts, strict=False))
+                else:
+                    self.letters.new.update(zip(part, self.ids(part), strict=True))
+        marks = [x for x in unknown if x[0] in ".,;:!?"]
+        self.letters.new.update(zip(marks, self.ids(marks), strict=True))
+        held = self.letters.new
+        other = [w for w, (x, _) in zip(new, lines, strict=True) if not x]
+        found = self.words.new
+        found.update(zip(other, self.ids([w.decode() for w in other]), strict=True))
+        found.update((w, held[x] + held[m] if m else held[x]) for w, (x, m) in zip(new, lines, strict=True) if x)
 
     def encode(self, texts: list[bytes]):
         """The ids of each text as little-endian bytes, texts taken in runs of bounded size."""
-        run: list[list[bytes]] = []
+        run: list[bytes] = []
+        cuts = [0]
         size = 0
         for text in texts:
-            run.append(text.split())
+            run += text.split()
+            cuts.append(len(run))
             size += len(text)
             if size > 2 << 20:
-                yield from self._run(run)
-                run, size = [], 0
-        yield from self._run(run)
-
-    def _run(self, run: list[list[bytes]]):
-        self.learn(set().union(*run))
-        get = self.words.__getitem__
-        for words in run:
-            yield b"".join(map(get, words))
+                yield from self._run(run, cuts)
+                run, cuts, size = [], [0], 0
+        yield from self._run(run, cuts)
+
+    def _run(self, run: list[bytes], cuts: list[int]):
+        ids = list(map(self.words.new.get, run))
+        unknown = {w for w, known in zip(run, ids, strict=True) if known is None}
+        if unknown:
+            before = self.words.new
+            self.learn(unknown)
+            now = self.words.new
+            ids = [now[w] if known is None else known for w, known in zip(run, ids, strict=True)]
+            if before is not now:  # the words of this run stay in the newer generation
+                now.update(zip(run, ids, strict=True))
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield b"".join(ids[start:end])
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
