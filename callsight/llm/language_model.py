@@ -15,12 +15,13 @@ for the totals of its own n-grams (`batches.py`), so frequent n-grams are combin
 shuffle and no task holds the model.
 
 The weights are a few dozen numbers; a tenth of the training documents, chosen by another hash
-of the id, is enough for them where it has LEARN_TOKENS tokens. Below that all training
-documents are taken.
+of the id, learns them, whatever the size of the table. Only where that tenth has no document at
+all, every training document learns.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as the text ''
 for the split; without training documents every estimate is the uniform 1; a bucket that no
-training document meets keeps the weight 1/2.
+learning document meets keeps the weight 1/2; rows that repeat are counted and scored each;
+extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ from callsight.llm.common import kept
 ORDER = 2
 HELD_OUT = 10  # one in so many documents is left out of the counts
 LEARN = 10  # one in so many training documents learns the weights
-LEARN_TOKENS = 1_000_000
 ADDED = 0.1
 LEVELS = 24  # context-frequency buckets: 1, 2-3, 4-7, ...
 ROUNDS = 12
@@ -237,8 +237,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     names=["size", "base", "ratios", "levels"],
                 )
 
-    enough = LEARNING in seen and seen[LEARNING].tokens >= LEARN_TOKENS
-    learning = B.with_totals(rows.where(F.col("part") == LEARNING if enough else F.col("part") != HELD), totals)
+    chosen = F.col("part") == LEARNING if LEARNING in seen else F.col("part") != HELD
+    learning = B.with_totals(rows.where(chosen), totals)
     mix = _learned(kept(learning.mapInArrow(events, "size long, base binary, ratios binary, levels binary"), "learning"), order)
 
     def scores(batches):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from callsight.llm import decontamination, language_model, quality_rules, token_count, toxicity
 from callsight.llm.common import table
 from callsight.llm.queries import TOXIC_CATEGORIES, label_table, tokenizer_file
@@ -88,13 +89,15 @@ def plain_quality(rows):
     for i, text, _ in rows:
         counts = plain_counts(text)
         far = None, None
-        if counts[0] >= 100:
+        strange = False
+        if counts[0] >= 10 and len(text) >= 40:
             x = lang[i]
             far = (
                 plain_distance(shares(Counter(map(plain_class, text))), shares(classes[x])),
                 plain_distance(shares(folded(Counter(numbered(text)), x)), shares(folded(words[x], x))),
             )
-        strange = far[0] is not None and (far[0] > 0.35 or far[1] > 0.5)
+            most = max(0.27, 0.2 + 36 / len(text)), max(0.5, 0.38 + 1.2 / math.sqrt(counts[0]))
+            strange = far[0] > most[0] or far[1] > most[1]
         out[i] = (*counts, *far, not counts[5] and not strange)
     return out
 
@@ -199,38 +202,40 @@ def test_token_count_of_nothing(nothing):
 
 
 def plain_model(rows):
-    """doc_id -> (held out, tokens, known, N, base score, score); orders 1 and 2."""
+    """(doc_id, held out, tokens, known, N, base score, score) of every row; orders 1 and 2."""
     texts = [(i, [*SPACE.findall((t or "").translate(SMALL)), "\0end"]) for i, t in rows]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    one, two, docs = Counter(), Counter(), 0
-    for i, words in texts:
-        if not held(i):
-            one.update(words)
-            two.update(zip(["\0begin", *words], words, strict=False))
-            docs += 1
-    n, v = sum(one.values()), len(one)
-
-    def events(words):
-        for before, word in zip(["\0begin", *words], words, strict=False):
-            context = docs if before == "\0begin" else one[before]
-            ratio = two[before, word] / context if context else 0.0
-            yield (one[word] + 0.1) / (n + 0.1 * (v + 1)), ratio, min(context.bit_length(), 23)
-
+    name = lambda i: ("" if i is None else str(i)).encode()
+    held = lambda i: zlib.crc32(name(i)) % 10 == 0
+    grams = lambda words: list(zip(["\0begin", *words], words, strict=False))
+    training = [(i, words) for i, words in texts if not held(i)]
+    one = Counter(w for _, words in training for w in words)
+    two = Counter(g for _, words in training for g in grams(words))
+
+    def events(words, itself=False):
+        """Base estimate, ratio and bucket of each token; `itself`: the text is taken out of the counts first."""
+        own_one, own_two = (Counter(words), Counter(grams(words))) if itself else (Counter(), Counter())
+        n, docs = sum(one.values()) - own_one.total(), len(training) - itself
+        v = len(one) - sum(one[w] == own_one[w] for w in own_one)
+        for before, word in grams(words):
+            context = docs if before == "\0begin" else one[before] - own_one[before]
+            ratio = (two[before, word] - own_two[before, word]) / context if context else 0.0
+            yield (one[word] - own_one[word] + 0.1) / (n + 0.1 * (v + 1)), ratio, min(context.bit_length(), 23)
+
+    learning = [words for i, words in training if xxhash.xxh3_64_intdigest(name(i)) % 10 == 0]
+    found = [e for words in learning or [words for _, words in training] for e in events(words, True)]
     weights = [0.0] + [0.5] * 23
     for _ in range(12):
         used, seen = [0.0] * 24, [0] * 24
-        for i, words in texts:
-            if held(i):
-                for base, ratio, k in events(words):
-                    used[k] += weights[k] * ratio / (weights[k] * ratio + (1 - weights[k]) * base)
-                    seen[k] += 1
+        for base, ratio, k in found:
+            used[k] += weights[k] * ratio / (weights[k] * ratio + (1 - weights[k]) * base)
+            seen[k] += 1
         weights = [0.0] + [used[k] / seen[k] if seen[k] else weights[k] for k in range(1, 24)]
     out = []
     for i, words in texts:
         own = list(events(words))
         base = sum(math.log10(b) for b, _, _ in own)
         score = sum(math.log10(weights[k] * r + (1 - weights[k]) * b) for b, r, k in own)
-        out.append((i, held(i), len(words), sum(one[w] > 0 for w in words), n, base, score))
+        out.append((i, held(i), len(words), sum(one[w] > 0 for w in words), sum(one.values()), base, score))
     return out
 
 
