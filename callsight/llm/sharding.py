@@ -195,20 +195,34 @@ def write(docs: DataFrame, slot_map: DataFrame, path: str, shards: int, total_by
     ).repartition(shards * files, "shard", "file").drop("file").write.partitionBy("shard").parquet(path)
 
 
-def read(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """record, size, shard and slot, the record's number in its shard, from 0 without gaps. `record`: its type."""
-    rows = spark.read.schema(f"record {record}, size long, shard int").parquet(path).select(
-        "record", "size", "shard", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+def _rows(spark: SparkSession, path: str, record: str) -> DataFrame:
+    return spark.read.schema(f"record {record}, size long, shard int").parquet(f"{path}/records").select(
+        "record", "size", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
-    earlier = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("shard", "__file").agg(F.count(F.lit(1)).alias("n")).select(
-        "__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before")
+
+
+def save_manifest(spark: SparkSession, path: str) -> None:
+    """shard, file, first, n, bytes of every file: its records have the numbers `first` to `first + n - 1`."""
+    earlier = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = _rows(spark, path, "struct<>").groupBy("shard", "file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")
     )
-    return rows.join(files, "__file").select("record", "size", "shard", (F.col("__before") + F.col("__row")).alias("slot"))
+    first = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")
+    files.select("shard", "file", first, "n", "bytes").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def read(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """record, size, shard and slot, the record's number in its shard, from 0 without gaps. `record`: its type.
+
+    The manifest has a row per file; Spark broadcasts it where its size allows that.
+    """
+    manifest = spark.read.schema("file string, first long").parquet(f"{path}/manifest")
+    rows = _rows(spark, path, record).join(manifest, "file")
+    return rows.select("record", "size", "shard", (F.col("first") + F.col("row")).alias("slot"))
 
 
 def shard(docs: DataFrame, path: str, shards: int, text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Writes `docs` into shards of nearly equal bytes below `path`, with the map's versions beside them.
+    """Writes `docs` into shards of nearly equal bytes below `path`, with the map's versions and a manifest of the files.
 
     Returns record (the whole row), size, shard and slot of every document, read from what was written.
     """
@@ -218,4 +232,5 @@ def shard(docs: DataFrame, path: str, shards: int, text: str = "text", slots: in
     save_map(spark, start, f"{path}/map")
     save_map(spark, rebalanced(start, total, largest), f"{path}/map")
     write(docs, load_map(spark, f"{path}/map"), f"{path}/records", shards, int(total.sum()), size, slots)
-    return read(spark, f"{path}/records", docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString())
+    save_manifest(spark, path)
+    return read(spark, path, docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString())
