@@ -16,7 +16,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm.common import WordCache, kept, text_bytes, worker_state
@@ -29,13 +29,14 @@ BATCH = pa.schema(
     [
         ("part", pa.int32()),
         ("doc_ids", pa.list_(pa.int64())),
+        ("marks", pa.list_(pa.int64())),
         ("sizes", pa.list_(pa.int32())),
         ("words", pa.binary()),
         ("at", pa.binary()),
         ("n_tokens", pa.int64()),
     ]
 )
-BATCH_DDL = "part int, doc_ids array<long>, sizes array<int>, words binary, at binary, n_tokens long"
+BATCH_DDL = "part int, doc_ids array<long>, marks array<long>, sizes array<int>, words binary, at binary, n_tokens long"
 
 
 def word_hash(word: bytes) -> int:
@@ -53,7 +54,7 @@ class _Open:
     """A batch that is being filled."""
 
     def __init__(self, part: int):
-        self.part, self.ids, self.hashes, self.size = part, [], [], 0
+        self.part, self.ids, self.marks, self.hashes, self.size = part, [], [], [], 0
 
     def row(self) -> dict:
         sizes = [len(h) for h in self.hashes]
@@ -64,6 +65,7 @@ class _Open:
         return {
             "part": self.part,
             "doc_ids": self.ids,
+            "marks": self.marks,
             "sizes": sizes,
             "words": words[order].astype("<u8").tobytes(),
             "at": _planes(number[at]),
@@ -71,22 +73,28 @@ class _Open:
         }
 
 
+def text_mark(name: str = "text") -> Column:
+    return F.xxhash64(F.col(name).cast("string"))
+
+
 def word_batches(docs: DataFrame, part_of: Callable[[int | None], int] | None = None) -> DataFrame:
     """The batches of `docs` (doc_id, text), numbered by `batch` (a kept table).
 
     Words are runs of characters other than ASCII white space, A-Z made small. With
-    `part_of`, the documents of each part come in batches of their own.
+    `part_of`, the documents of each part come in batches of their own. A document's mark,
+    `text_mark` of its text, tells rows that repeat an id apart.
     """
 
     def fill(batches):
         cache = worker_state("word hashes", lambda: WordCache(word_hash))
         filling = {}
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, mark in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = text.lower().split()
                 part = part_of(doc_id) if part_of else 0
                 now = filling.setdefault(part, _Open(part))
                 now.ids.append(doc_id)
+                now.marks.append(mark)
                 now.hashes.append(np.fromiter(map(cache.fresh().__getitem__, words), np.uint64, len(words)))
                 now.size += len(words) + 1
                 if now.size >= BATCH_WORDS:
@@ -94,7 +102,8 @@ def word_batches(docs: DataFrame, part_of: Callable[[int | None], int] | None =
         for rest in filling.values():
             yield pa.RecordBatch.from_pylist([rest.row()], schema=BATCH)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(fill, BATCH_DDL)
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), text_mark().alias("mark"))
+    rows = told.mapInArrow(fill, BATCH_DDL)
     return kept(rows.withColumn("batch", F.monotonically_increasing_id()), "batches")
 
 

@@ -85,13 +85,14 @@ def _asked(sets: list[np.ndarray], chosen: list[int], shift: int) -> tuple[np.nd
 SET = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("mark", pa.int64()),
         ("n_shingles", pa.int64()),
         ("print", pa.binary()),
         ("shingles", pa.binary()),
         ("rare", pa.list_(pa.int64())),
     ]
 )
-SET_DDL = "doc_id long, n_shingles long, print binary, shingles binary, rare array<long>"
+SET_DDL = "doc_id long, mark long, n_shingles long, print binary, shingles binary, rare array<long>"
 
 
 def first_shared(shingles: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
@@ -133,6 +134,7 @@ def sets_of(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(row["marks"], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(prints, pa.binary()),
                         pa.array(held, pa.binary()),
@@ -303,18 +305,29 @@ def links_in_clusters(sets: DataFrame, of: DataFrame, least: int) -> DataFrame:
     return placed.mapInArrow(join, "a binary, b binary")
 
 
+def groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, mark, n_shingles, group of every row of `docs` (doc_id, text) that has a word.
+
+    `mark` is `batches.text_mark` of the row's text, `group` the name of its component.
+    """
+    return _grouped(sets_of(docs, least), least)
+
+
+def _grouped(sets: DataFrame, least: int) -> DataFrame:
+    roots = components(links_in_clusters(sets, clusters(sets), least))
+    return (
+        sets.where("n_shingles > 0")
+        .select("doc_id", "mark", "n_shingles", "print")
+        .join(roots, F.col("print") == F.col("node"), "left")
+        .select("doc_id", "mark", "n_shingles", F.coalesce("root", "print").alias("group"))
+    )
+
+
 def join(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
     sets = sets_of(docs, least)
-    links = links_in_clusters(sets, clusters(sets), least)
-    roots = components(links)
-    rows = sets.select("doc_id", "n_shingles", "print")
-    grouped_rows = (
-        rows.where("n_shingles > 0")
-        .join(roots, F.col("print") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "print").alias("group"))
-    )
+    grouped_rows = _grouped(sets, least).drop("mark")
     smallest = grouped_rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     found = grouped_rows.join(smallest, "group").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
