@@ -4,7 +4,8 @@ Every stage takes what its predecessor kept, written as Parquet and read again.
 last return the columns of documents; extra columns go through untouched.
 
 Defined cases: rows without a doc_id never leave in the near-duplicate stage; of rows that
-repeat both id and text one stays; stages over an empty table give an empty table.
+repeat both id and text one stays; rows that repeat an id with different texts are judged each;
+stages over an empty table give an empty table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight.llm import decontamination, packing, quality_rules, shingle_join, toxicity
+from callsight.llm.batches import text_mark
 from callsight.llm.common import kept, table
 from callsight.llm.queries import TOXIC_CATEGORIES, label_table, tokenizer_file
 
@@ -38,11 +40,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents, the one with the smallest id."""
-    stay = shingle_join.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(
-        docs.where("doc_id is null")
-    ).select(docs.columns)
+    """Of every group of linked rows, the one with the smallest id, of several with that id the one
+    whose text has the smallest mark; of rows that repeat id and text, the one whose other columns
+    are smallest."""
+    found = shingle_join.groups(docs.select("doc_id", "text")).where("doc_id is not null")
+    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select(
+        F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark")
+    )
+    told = docs.withColumn("__mark", text_mark())
+    leaves = found.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct().join(
+        stay, ["__id", "__mark"], "left_anti"
+    )
+    same = (told["doc_id"] == leaves["__id"]) & (told["__mark"] == leaves["__mark"])
+    kept_rows = told.join(leaves, same, "left_anti").drop("__mark")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = kept_rows.where("doc_id is not null").groupBy("doc_id", "text").agg(
+        F.min(F.struct(*others) if others else F.lit(0)).alias("__rest")
+    )
+    whole = once.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__rest.{c}").alias(c) for c in docs.columns])
+    return whole.unionByName(kept_rows.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
