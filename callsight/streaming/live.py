@@ -1,4 +1,4 @@
-"""Live metrics and live assembly of streamed replies."""
+"""Live metrics, and the replies that a live assembly (see `replies`) did not get to close."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from callsight.functions import text
 from callsight.operators.calls import assemble_stream
 from callsight.plans.metrics import cost, errors, requests, tokens
 
@@ -74,30 +73,6 @@ def late_rows(spark: SparkSession, counts_path: str, metrics_path: str, by: tupl
     return both.agg(F.coalesce(F.sum(F.col("came") * F.col("sign")), F.lit(0)).alias("late"))
 
 
-def assemble_stream_live(chunks: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Replies of a chunk stream: a request is complete once no chunk came for `gap`.
-
-    The state of a request is its own reply, held until then. In batches use
-    `assemble_stream`, which gives the same text, model, usage and times; `whole_replies`
-    adds those that a stream that has ended did not get to close.
-    """
-    said_model = F.when(text.missing_if_blank(F.col("model")).isNotNull(), F.col("seq"))
-    said_usage = F.when(F.col("usage").isNotNull(), F.col("seq"))
-    pieces = F.array_sort(F.collect_set(F.struct("seq", text.blank(F.col("delta")).alias("delta"))))
-    return (
-        chunks.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", gap), "request_id")
-        .agg(
-            F.array_join(F.transform(pieces, lambda x: x["delta"]), "").alias("text"),
-            F.max_by("model", said_model).alias("model"),
-            F.max_by("usage", said_usage).alias("usage"),
-            F.min(F.when(F.col("delta") != "", F.col("ts"))).alias("first_token_at"),
-            F.max("ts").alias("last_chunk_at"),
-        )
-        .drop("session_window")
-    )
-
-
 def whole_replies(closed: DataFrame, chunks: DataFrame) -> DataFrame:
     """The replies that a live assembly has written, and those still open, from the chunks."""
     still_open = chunks.join(closed.select("request_id").distinct(), "request_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callsight.functions import text
 from callsight.functions.redaction import CLIENT_RULES
 from callsight.operators import calls as ops
-from callsight.streaming import live
+from callsight.streaming import live, replies
 from checks import inputs
 from checks.ingest_queries import run_to_table, stream_by_time
 from checks.metrics_queries import times_as_text
@@ -53,7 +53,7 @@ def live_assembly(spark, sf_dir):
     """The replies that the stream closes, and the last ones."""
     chunks = inputs.chunks(spark, sf_dir)
     stream = stream_by_time(spark, chunks, "ts")
-    closed = run_to_table(live.assemble_stream_live(stream, "10 minutes", "1 hour"), spark)
+    closed = run_to_table(replies.assemble_stream_live(stream, 600, "1 hour", block=64), spark)
     return flat(live.whole_replies(closed, chunks))
 
 
