@@ -81,20 +81,20 @@ def read_latest(spark: SparkSession, path: str, since: Time | None = None, until
     return rows.where(is_settled).unionByName(dedup_latest(rows.where(~is_settled)))
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder of the table's file system."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory()] if fs.exists(hadoop) else []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
-    names = [n[len("day=") :] for n in _folders(spark, path) if n.startswith("day=")]
+    names = [n[len("day=") :] for n in folders(spark, path) if n.startswith("day=")]
     return sorted(dt.date.fromisoformat(n) for n in names if n != "__HIVE_DEFAULT_PARTITION__")
 
 
@@ -116,7 +116,7 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date], file_b
     old = [
         f"{path}/day={day}/{batch}"
         for day in days
-        for batch in _folders(spark, f"{path}/day={day}")
+        for batch in folders(spark, f"{path}/day={day}")
         if batch.startswith("batch=")
     ]
     if not old:
@@ -132,16 +132,16 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date], file_b
 def remove_replaced(spark: SparkSession, path: str, grace: dt.timedelta = GRACE) -> int:
     """Remove the batches that compactions older than `grace` have replaced; returns how many.
     `grace` must be longer than any query over the table takes."""
-    records = [f"{path}/{RECORDS}/{name}" for name in _folders(spark, f"{path}/{RECORDS}")]
+    records = [f"{path}/{RECORDS}/{name}" for name in folders(spark, f"{path}/{RECORDS}")]
     gone = 0
     for record in records:
         rows = spark.read.schema("folder string, at timestamp").json(record)
         seconds = int(grace.total_seconds())
         folders = [r.folder for r in rows.where(F.col("at") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))).collect()]
         for folder in folders:
-            _remove(spark, f"{path}/{folder}")
+            remove(spark, f"{path}/{folder}")
         if folders:
-            _remove(spark, record)
+            remove(spark, record)
         gone += len(folders)
     return gone
 
@@ -154,5 +154,5 @@ def drop_expired(spark: SparkSession, path: str, as_of: dt.datetime, keep_days:
         d for d in stored_days(spark, path) if dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1) <= oldest
     ]
     for day in gone:
-        _remove(spark, f"{path}/day={day}")
+        remove(spark, f"{path}/day={day}")
     return gone

@@ -352,3 +352,28 @@ register(
     late,
     f"WITH {EVENTS} SELECT count(*) AS late FROM raw_logs WHERE created_at < TIMESTAMP '2024-01-23 00:00:00'",
 )
+
+
+def folded_live_table(spark, sf_dir):
+    """Fifty batches, folded every eighth."""
+    path, rows = scratch_path(spark, "live"), inputs.raw_logs(spark, sf_dir)
+    source = scratch_path(spark, "source")
+    rows.repartitionByRange(BATCHES_FOLDED, "created_at", "request_id", "ingested_at").sortWithinPartitions("created_at").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = live.live_metrics(stream, 86400, "60 days")
+    live.keep_live_metrics(found, path, scratch_path(spark, "checkpoint"), fold_every=8).awaitTermination()
+    return live.read_live_metrics(spark, path)
+
+
+BATCHES_FOLDED = 50
+register(
+    "stream_live_metrics_folded",
+    lambda s, d: times_as_text(
+        folded_live_table(s, d).select("t", "requests", "errors", "tokens", F.bround("cost_usd", 6).alias("cost_usd"), "p95_ms")
+    ),
+    f"""WITH {EVENTS}, b AS (SELECT time_bucket(INTERVAL 86400 SECOND, created_at, TIMESTAMP '1970-01-01') AS bucket, * FROM raw_logs)
+    SELECT {iso('bucket')} AS t, count(*) AS requests, count(*) FILTER (status = 'error') AS errors,
+      CAST(sum(total_tokens) AS BIGINT) AS tokens, round_even(sum(cost_usd), 6) AS cost_usd,
+      quantile_disc(latency_ms, 0.95) AS p95_ms
+    FROM b GROUP BY bucket""",
+)
