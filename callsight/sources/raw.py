@@ -6,11 +6,15 @@ topic itself is read and written; otherwise, JSON-lines files of the same record
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callsight.functions.text import session_key
 from callsight.schemas import RAW_SCHEMA
+from callsight.session import scratch_path
+from callsight.sources.logs import folders
 
 # Topics, partitions of the raw topic.
 RAW_TOPIC = "inference.logs.raw"
@@ -44,31 +48,92 @@ def read_raw_topic(
 
 
 def keyed(events: DataFrame) -> DataFrame:
-    """Events as (key, value): the JSON text, keyed by session, else by request."""
+    """Events as (key, value, created_at): the JSON text, keyed by session, else by request, and its time."""
     key = session_key(F.col("session_id"), F.col("request_id"))
-    return events.select(key.alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+    time = F.col("created_at") if "created_at" in events.columns else F.lit(None).cast("timestamp")
+    return events.select(
+        key.alias("key"), F.to_json(F.struct(*events.columns)).alias("value"), time.alias("created_at")
+    )
+
+
+def partition_of(key: Column, partitions: int) -> Column:
+    """The partition of a key, by its MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(partitions)).cast("int")
+
+
+OFFSETS = "_offsets"  # per batch: partition, first offset, number of records; reads of records pass it by
+ORDER = ["partition", "created_at", "key", "value"]
+
+
+def numbered(records: DataFrame, order: Sequence[str], by: str, name: str = "numbered") -> DataFrame:
+    """`records` with `number`, from 0 without gaps within each value of `by`, in the given order.
+
+    The order begins with `by`. Rows are dealt to tasks by ranges of the whole order, so one value may
+    lie in many tasks. Each task numbers its own rows, and the counts per value and task, a few rows
+    each, say how many come before them.
+    """
+    own = F.monotonically_increasing_id()  # task number and place in the task
+    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = ranged.withColumns({"_task": F.shiftright(own, 33), "_place": own})
+    path = scratch_path(records.sparkSession, name)
+    rows.write.parquet(path)  # the ranges come from a sample: taken once
+    rows = records.sparkSession.read.schema(rows.schema).parquet(path)
+    counts = rows.groupBy(by, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, "_task", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_place") - F.col("_first")
+    return rows.join(starts, [by, "_task"]).withColumn("number", number).drop("_task", "_place", "_first", "_before")
+
+
+def _first_offsets(spark: SparkSession, path: str, batch: str) -> dict[int, int]:
+    """Where a batch's offsets begin in each partition: where they did when it was written before, else
+    behind all that is there."""
+    names = folders(spark, f"{path}/{OFFSETS}")
+    if not names:
+        return {}
+    known = spark.read.schema("partition int, first bigint, n bigint, batch string").parquet(f"{path}/{OFFSETS}")
+    if f"batch={batch}" in names:
+        return {r.partition: r.first for r in known.where(F.col("batch") == batch).collect()}
+    ends = known.groupBy("partition").agg(F.max(F.col("first") + F.col("n")).alias("end"))
+    return {r.partition: r.end for r in ends.collect()}
 
 
 def write_raw(
     events: DataFrame, path: str, batch_id: str, topic: str = RAW_TOPIC, partitions: int = RAW_PARTITIONS
 ) -> None:
-    """Store events as record files. Writing a batch again replaces it. The key decides the
-    partition a record names, as in the topic; no shuffle is needed for that."""
-    records = keyed(events).withColumns(
-        {
-            "topic": F.lit(topic),
-            "partition": F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"),
-            "timestamp": F.current_timestamp(),
-            "value": F.col("value").cast("binary"),
-            "batch": F.lit(str(batch_id)),
-        }
+    """Store events (with `created_at`) as record files, as the topic would hold them.
+
+    The key decides the partition; in a partition, records have offsets without gaps in the order
+    of time, so those of a session keep their order. Writing a batch again replaces it and gives the
+    same offsets; a later batch goes on behind those that are there.
+    """
+    batch, spark = str(batch_id), events.sparkSession
+    records = keyed(events).withColumn("partition", partition_of(F.col("key"), partitions))
+    placed = numbered(records, ORDER, "partition", "records")
+    first = _first_offsets(spark, path, batch)
+    starts = [F.lit(first.get(p, 0)).cast("bigint") for p in range(partitions)]
+    stored = placed.select(
+        "key",
+        F.col("value").cast("binary").alias("value"),
+        F.lit(topic).alias("topic"),
+        "partition",
+        (F.element_at(F.array(*starts), F.col("partition") + 1) + F.col("number")).alias("offset"),
+        F.current_timestamp().alias("timestamp"),
+        F.lit(batch).alias("batch"),
+    )
+    counts = placed.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    told = counts.select(
+        "partition", F.element_at(F.array(*starts), F.col("partition") + 1).alias("first"), "n", F.lit(batch).alias("batch")
     )
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
+    # offsets first: a try that ends between the two writes is replaced by one with the same offsets
+    for rows, where in ((told.coalesce(1), f"{path}/{OFFSETS}"), (stored, path)):
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+        writer.parquet(where) if where != path else writer.json(where)
 
 
 def write_raw_topic(events: DataFrame, servers: str, topic: str = RAW_TOPIC) -> None:
     """Produce events; the broker's clients hash the key to a partition."""
-    keyed(events).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option(
+    keyed(events).drop("created_at").write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option(
         "kafka.acks", "all"
     ).option("kafka.enable.idempotence", "true").save()
 

@@ -261,6 +261,26 @@ def round_trip(spark, sf_dir):
     return times_as_text(ingest.ingest_rows(raw.read_raw(spark, path))[0].select(*ROW))
 
 
+def offsets(spark, sf_dir):
+    """Two batches of records, the first one written a second time behind the other."""
+    path = scratch_path(spark, "raw")
+    events = ops.to_log_row(ops.apply_defaults(ops.split_valid(parsed(spark, sf_dir))[0]))
+    events = events.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    early = F.col("created_at") < inputs.RANGE[0]
+    for part, name in ((events.where(early), "1"), (events.where(~early), "2"), (events.where(early), "1")):
+        raw.write_raw(part, path, name)
+    return raw.read_raw(spark, path).select(
+        F.get_json_object(F.col("value").cast("string"), "$.request_id").alias("request_id"), "key", "partition", "offset"
+    )
+
+
+register(
+    "raw_offsets",
+    offsets,
+    f"""WITH {EVENTS}, {VALID}, r AS (SELECT request_id, COALESCE(nullif(session_id, ''), request_id) AS key, created_at FROM valid),
+    p AS (SELECT *, CAST(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 3 AS INTEGER) AS "partition" FROM r)
+    SELECT request_id, key, "partition", row_number() OVER (PARTITION BY "partition" ORDER BY created_at, key, request_id) - 1 AS "offset" FROM p""",
+)
 register("raw_round_trip", round_trip, SQL["parse_events_valid"])
 register(
     "stream_ingest_counts",
