@@ -31,21 +31,23 @@ def ascii_lower(value: Column) -> Column:
     return F.translate(value, ORDERED, ORDERED.lower())
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first `://`; null without one."""
+    return F.when(url.contains("://"), F.regexp_replace(url, "^(?s).*?://", ""))
+
+
 def host(url: Column) -> Column:
-    rest = F.when(url.contains("://"), F.regexp_replace(url, "^(?s).*?://", ""))
-    return F.coalesce(ascii_lower(F.regexp_extract(rest, "^([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(ascii_lower(F.regexp_extract(_rest(url), "^([^/?#]*)", 1)), F.lit(""))
 
 
 def path(url: Column) -> Column:
-    rest = F.when(url.contains("://"), F.regexp_replace(url, "^(?s).*?://", ""))
-    return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
     """Host without `www.`, path without trailing slashes, query sorted and without tracking
     parameters; no scheme, no fragment. Null where there is no `://`."""
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
+    query = F.regexp_extract(F.regexp_replace(_rest(url), "(?s)#.*$", ""), r"(?s)^[^?]*\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     return F.when(
         url.contains("://"),

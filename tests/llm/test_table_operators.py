@@ -43,6 +43,8 @@ URLS = [
     "a\nb://x.net/a?p=2&q=1",
     "http://user:pw@X.net:80/Ä/%20",
     "http://x.net/" + "long/" * 20_000,
+    "a?b#c://x.net/a?p=2&q=1",
+    "mailto:x#y://Q.net/z/?utm_source=l#://w",
 ]
 
 
@@ -85,6 +87,28 @@ def test_url_filter_on_odd_urls(spark):
     assert url_filter.judge(pages.where("false"), URL_RULES, rows).count() == 0
 
 
+def test_the_join_decides_and_not_the_host(spark, sf):
+    """The list is written otherwise than the pages: canonical forms find it, and other URLs of a listed host pass."""
+    from callsight.llm import queries
+
+    rows = queries.op2_url_filter(spark, sf).collect()
+    listed = [r for r in rows if r.listed]
+    hosts = {r.host for r in listed}
+    assert listed and any(r.verdict == "block" and r.rule is None for r in listed)
+    assert any(r.host in hosts and not r.listed and r.verdict == "allow" for r in rows)
+    urls = table(spark, sf, "pages").select(F.col("url"), queries.seen_elsewhere(F.col("url")).alias("other"))
+    both = urls.select("url", "other", url_filter.canonical(F.col("url")).alias("a"), url_filter.canonical(F.col("other")).alias("b")).collect()
+    assert all(r.a == r.b == plain_canonical(r.url) for r in both) and all(r.url != r.other for r in both if r.url)
+    empty = url_filter.judge(table(spark, sf, "pages"), URL_RULES, spark.createDataFrame([], "entry string")).collect()
+    assert {r.page_id for r in empty if r.verdict == "block"} < {r.page_id for r in rows if r.verdict == "block"}
+
+
+def test_url_filter_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/a", 9, 9, "m", 9), (None, None, 9, 9, "m", 9)], "page_id long, url string, host int, listed int, maybe string, entry int")
+    got = url_filter.judge(pages, URL_RULES, spark.createDataFrame([("x.net/a",)], "canonical string")).collect()
+    assert {(r.page_id, r.host, r.listed, r.verdict) for r in got} == {(1, "x.net", True, "block"), (None, "", False, "allow")}
+
+
 def test_bloom_filter_loses_nothing_and_passes_little(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = url_filter.BlockedBloom(keys)
