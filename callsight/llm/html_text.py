@@ -4,11 +4,14 @@ A page is cut at block-level tags into a flat list of text blocks. Each has its
 its link density, those of the blocks before and after it, its tag's kind and whether it
 stands in a part of the page that names itself (`nav`, `footer`, `aside`, a class like
 `sidebar`). A class only names a part if the whole token does (`site-footer`, not
-`has-sidebar`), and never the container of the page's text (`_void`). A decision tree, grown on the small labelled table below, says which blocks are
-main text; these are joined in page order.
-
-Defined cases: a null or empty html has no text; an unclosed tag or script ends with the
-page; unknown references stay as they are; nothing is cut off.
+`has-sidebar`), and neither names nor tags count on a container of the page's text (`_void`). A
+decision tree, grown on the small labelled table below, says which blocks are main text; these are
+joined in page order.
+
+Defined cases: a null or empty html has no text; an unclosed script or style ends with the
+page, any other unclosed tag is a container like others; unknown references stay as they are;
+nothing is cut off. Rows that repeat are each answered; of blocks with equal features all or none
+are main text; columns of the input named `text` or `n_chars` are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|button|title|object)(?=[\s/>])"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<closed>noscript|template|textarea|iframe|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+    r"(?:(?!<(?P=closed)[\s/>]).)*?</(?P=closed)\s*>"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-z][^>]*(?:>|\Z)",
@@ -35,7 +39,9 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "header"}
+BOILER_TAGS = {"nav", "footer", "aside", "menu", "dialog", "header"}
+# Parts of a form or a picture; a page may lie in one as a whole, or one may be left open.
+LOOSE_TAGS = {"form", "fieldset", "button", "select", "object", "svg", "textarea", "iframe", "noscript", "template"}
 MAIN_TAGS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEAF_TAGS = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -43,7 +49,7 @@ HINT = re.compile(
     r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|"
     r"newsletter|subscri\w*|sidebar|side|widgets?|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|"
     r"comments?|replies|reply|disqus|social|share|sharing|related|recommend\w*|login|signup|search|"
-    r"pagination|pager|tags?|copyright|legal|skip|hidden"
+    r"pagination|pager|tags?|copyright|legal|skip"
 )
 # Words that a token may have beside a hint.
 PLAIN = set(
@@ -52,8 +58,9 @@ PLAIN = set(
     "text label title group panel cloud news post posts article articles entry story stories".split()
 )
 TEXT_WORDS = {"post", "article", "entry", "story"}  # their header is the text's
-NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = {"class", "id", "role", "aria-label"}
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 
 
@@ -76,30 +83,38 @@ def _is_hint(token: str) -> bool:
     return all(part in hints or part in PLAIN for part in parts)
 
 
-def _is_boiler(name: str, attrs: str, in_main: bool) -> bool:
-    """Whether the tag or its being hidden says so."""
-    if name in BOILER_TAGS and not (name == "header" and in_main):
-        return True
-    return bool(attrs) and name not in MAIN_TAGS and name not in ("body", "html") and bool(HIDDEN.search(attrs))
+def _attributes(attrs: str) -> dict[str, str]:
+    return {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(attrs)}
+
 
+def _is_hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(attrs.get("style", "")))
 
-def _is_named_boiler(name: str, attrs: str) -> bool:
+
+def _is_named_boiler(attrs: dict[str, str]) -> bool:
     """Whether a class, id, role or label says so."""
-    if not attrs or name in MAIN_TAGS or name in ("body", "html"):
-        return False
-    named = [(a or b or c).lower() for a, b, c in NAMED.findall(attrs)]
+    named = [value.lower() for name, value in attrs.items() if name in NAMING]
     return any(n.strip() in ROLES or any(map(_is_hint, n.split())) for n in named)
 
 
-def _void(found: list[Block], within: list[tuple], holders: dict[int, tuple], mains: set[int]) -> set[int]:
-    """The named containers whose name does not count, as they hold the page's text: the main
-    element, or the longest article if it is longer than all text outside of named parts and
+def _kind(name: str, attrs: dict[str, str], in_main: bool) -> str:
+    """What a container is by its tag and names: `sure` boilerplate, `loose` boilerplate, or nothing."""
+    if name in MAIN_TAGS or name in ("body", "html"):
+        return ""
+    if (name in BOILER_TAGS and not (name == "header" and in_main)) or _is_hidden(attrs):
+        return "sure"
+    return "loose" if name in LOOSE_TAGS or _is_named_boiler(attrs) else ""
+
+
+def _void(found: list[Block], within: list[tuple], holders: dict[int, tuple], mains: set[int], sure: set[int]) -> set[int]:
+    """The containers whose kind does not count, as they hold the page's text: the main
+    element, or the longest article if it is longer than all text outside of such parts and
     little of that is in articles (else it may be a long comment). On a page without either:
-    those with most of its words and little beside them."""
+    those with most of its words and little beside them, unless their tag makes them `sure`."""
     named, articles, free, free_main, total = {}, {}, 0, 0, 0
     for block, (hints, inside) in zip(found, within, strict=True):
         total += block.words
-        if not (block.boiler or hints):
+        if not hints:
             free += block.words
             free_main += block.words if block.main else 0
         for h in hints:
@@ -110,17 +125,18 @@ def _void(found: list[Block], within: list[tuple], holders: dict[int, tuple], ma
         longest = max(articles, key=lambda a: (articles[a], -a), default=-1)
         held = {longest} if articles.get(longest, 0) > max(free, 4 * free_main) else set()
         return {h for a, hints in holders.items() if a in mains or a in held for h in hints}
-    return {h for h, words in named.items() if 2 * words > total and 4 * free < words}
+    return {h for h, words in named.items() if h not in sure and 2 * words > total and 4 * free < words}
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, markup, scripts and styles left out."""
     found: list[Block] = []
-    # name, boiler, main, named containers, articles
-    stack: list[tuple[str, bool, bool, tuple, tuple]] = []
+    # name, main, boilerplate containers, articles
+    stack: list[tuple[str, bool, tuple, tuple]] = []
     within: list[tuple] = []  # of each block, the last two
-    holders: dict[int, tuple] = {}  # article or main element -> named containers around it
+    holders: dict[int, tuple] = {}  # article or main element -> boilerplate containers around it
     mains: set[int] = set()
+    sure: set[int] = set()
     n_named = 0
     parts: list[str] = []
     linked_parts: list[str] = []
@@ -131,14 +147,14 @@ def blocks(page: str) -> list[Block]:
         if text:
             linked = len(references.unescape("".join(linked_parts)).split())
             names = [part[0] for part in stack[-3:]]
-            within.append(stack[-1][3:] if stack else ((), ()))
+            within.append(stack[-1][2:] if stack else ((), ()))
             found.append(
                 Block(
                     text,
                     text.count(" ") + 1,
                     linked,
+                    False,
                     bool(stack) and stack[-1][1],
-                    bool(stack) and stack[-1][2],
                     any(n in HEADINGS for n in names),
                     any(n in ("li", "td", "th", "dd", "dt") for n in names),
                 )
@@ -158,14 +174,15 @@ def blocks(page: str) -> list[Block]:
         at = tag.end()
         name = (tag["name"] or "").lower()
         if not name:
-            if tag["raw"]:
+            if tag["raw"] or tag["closed"]:
                 flush()
             continue
         closing, attrs = bool(tag["end"]), tag["attrs"] or ""
-        if name == "a":
-            links = max(0, links + (-1 if closing else 1))
+        if name == "a":  # a new anchor ends the one before, and one without a target is no link
+            links = 0 if closing else int("href" in _attributes(attrs))
         elif name not in INLINE:
             flush()
+            links = links if closing or name not in MAIN_TAGS else 0
         if name in LEAF_TAGS or attrs.endswith("/"):
             continue
         if closing:
@@ -175,22 +192,25 @@ def blocks(page: str) -> list[Block]:
         elif name != "a" and (name not in INLINE or attrs):
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            _, boiler, main, hints, inside = stack[-1] if stack else ("", False, False, (), ())
+            _, main, hints, inside = stack[-1] if stack else ("", False, (), ())
+            kind = _kind(name, _attributes(attrs) if attrs else {}, main)
             if name in MAIN_TAGS:
                 here = len(holders)
                 holders[here], inside = hints, (*inside, here)
                 if name == "main":
                     mains.add(here)
-            elif _is_named_boiler(name, attrs):
+            elif kind:
+                if kind == "sure":
+                    sure.add(n_named)
                 hints, n_named = (*hints, n_named), n_named + 1
-            stack.append((name, boiler or _is_boiler(name, attrs, main), main or name in MAIN_TAGS, hints, inside))
+            stack.append((name, main or name in MAIN_TAGS, hints, inside))
     if at < len(page):
         add(page[at:])
     flush()
     if n_named:
-        void = _void(found, within, holders, mains)
+        void = _void(found, within, holders, mains, sure)
         for block, (hints, _) in zip(found, within, strict=True):
-            block.boiler = block.boiler or not void.issuperset(hints)
+            block.boiler = not void.issuperset(hints)
     return found
 
 
@@ -219,7 +239,7 @@ def _impurity(ones, count):
     return count * 2 * p * (1 - p)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1) -> Node:
     """A classification tree by Gini impurity; ties go to the first feature and lowest limit."""
     node = Node(share=float(y.mean()) if len(y) else 0.0)
     if depth == 0 or node.share in (0.0, 1.0):
@@ -287,6 +307,41 @@ LABELLED = [
 ]
 
 
+# Pages without an article, where a short line is told by its neighbours alone. A block is its label (`+` main
+# text), its number of words, `a` if they are a link, `h` if it is a heading.
+LINED = [
+    "-2a -2a -3a +2h +45 +30 -3a -2",
+    "-1a -1a -6 -2a +1h +52 +6 +41 -5a -4a",
+    "-3a -2a +3 +36 +28 +4 +60 -2a -3",
+    "+1h +40 +33 -4a",
+    "-4a -9 -4a -8a +5h +25 +48 +9 +31 -7a -5 -6a",
+    "-2a -3 -2a -2a +70 +5 +22 +80 -10a -4 -9a",
+    "-6 -3a -12a -7 -12a +4h +39 +12 +35 -3a -9 -2a",
+    "-5a -1 -5a +2h +31 +1 +27 +2h +64 -1a -1a",
+    "-2a -2a +8 +90 +10 +24 +3h +29 -2a -8 -2a",
+    "-1a -11 -1a -11 -1a +6h +23 +55 -20a -11",
+    "+3h +34 +8 +47 +2 +21 -14a -14a -6",
+    "-3a -10 -15a -4 -3a +1 +58 +26 -6a -2 -3a",
+    "+23 +26 -1a",
+    "+40 +5 +19 -2a -2a",
+    "+18 -3a",
+    "-5 -2a -5a +33 +21",
+    "-3 +4h +22 +27",
+]
+
+
+def _lined(spec: str) -> str:
+    def block(part: str) -> str:
+        count = int(re.sub(r"\D", "", part))
+        words = (MARK if part[0] == "+" else "") + " ".join((LONG.split() * 5)[:count])
+        return f"<h2>{words}</h2>" if part[-1] == "h" else f"<div><a href=x>{words}</a></div>" if part[-1] == "a" else f"<div>{words}</div>"
+
+    return "".join(map(block, spec.split()))
+
+
+LABELLED += map(_lined, LINED)
+
+
 def trained() -> Node:
     """The tree of the labelled pages above."""
     x, y = [], []

@@ -31,3 +31,50 @@ TEXT = f"No rain {PROSE}"
 )
 def test_parts(page, text):
     assert html_text.main_text(page, TREE) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div title='The hidden valley'>{ARTICLE}</div>",
+        f"<div class='flex hidden md:block'>{ARTICLE}</div>",
+        f"<form action=x><div>{ARTICLE}</div><input name=q></form>",
+        f"<a name=top>{ARTICLE}",
+        f"<a href=x>one<a href=y>two</a>{ARTICLE}",
+        f"<a href=x>one<div>{ARTICLE}</div>",
+        *[f"<{tag}>go{ARTICLE}" for tag in ("button", "svg", "select", "object", "textarea", "iframe", "noscript", "nav", "aside")],
+        f"<svg><title>icon</title><path d='x'/></svg><noscript><p>{PROSE}</p></noscript>{ARTICLE}",
+        f"<div hidden><p>{PROSE}</p></div><p style='display: none'>{PROSE}</p><div aria-hidden=true>{PROSE}</div>{ARTICLE}",
+        f"{ARTICLE}<script>var x",
+        f"<h1>No rain</h1><p>{PROSE}</p>",
+        f"<form><div><a href=x>home</a></div><div><h1>No rain</h1><p>{PROSE}</p></div></form>",
+    ],
+)
+def test_no_article_is_lost(page):
+    assert html_text.main_text(page, TREE) == TEXT
+
+
+def test_parts_inside_an_article_still_go():
+    page = f"<article><h1>No rain</h1><form><p>{PROSE}</p></form><button>share it</button><p>{PROSE}</p></article>"
+    assert html_text.main_text(page, TREE) == TEXT
+
+
+FLAGS = 5  # the features ahead of the word counts and link densities: own, before, after
+
+
+def split_on(node):
+    return set() if node.low is None else {node.feature} | split_on(node.low) | split_on(node.high)
+
+
+def test_the_tree_reads_the_neighbours():
+    used = split_on(TREE)
+    assert used & {FLAGS + 2, FLAGS + 3} and used & {FLAGS + 4, FLAGS + 5}
+    long, short = f"<div>{PROSE} {PROSE}</div>", "<div>the well in spring</div>"
+    link = "<div><a href=x>all the news of this week</a></div>"
+    found = lambda page: "the well in spring" in html_text.main_text(page, TREE)
+    assert found(long + short + long) and not found(long + link + short + link) and not found(link + short + link + long)
+
+
+def test_labelled_pages_are_varied():
+    blocks = [b for page in html_text.LABELLED for b in html_text.blocks(page)]
+    assert len(blocks) > 250 and len({b.words for b in blocks}) > 40
