@@ -13,7 +13,8 @@ one past the range's end. So any cut gives every record exactly once.
 Defined cases: a null html is an empty payload, a null url leaves the target out, a null
 page_id leaves the number out of the record id and reads back as null; rows that repeat a
 page_id are records of their own, and all that have the smallest one are responses; an empty
-table gives no archive and no record. Control characters in a URL are percent-encoded.
+table gives no archive and no record. Control characters in a URL are percent-encoded. Extra
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+PIECE_BYTES = 1 << 15  # inflated at a time
 BATCH_BYTES = 8 << 20
 LEVEL = 4
 
@@ -88,16 +90,23 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return pa.fs.LocalFileSystem(), folder
-    if folder.startswith("file:"):
-        return pa.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    return pa.fs.FileSystem.from_uri(folder)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark would read it: the cluster's own where none is named."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a qualified path, and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives; returns path, bytes, records of each (a kept table)."""
+    folder = qualified(pages.sparkSession, folder).rstrip("/")
 
     def archives(batches):
         fs, base = _filesystem(folder)
@@ -108,8 +117,9 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
             for batch in batches:
                 for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     if out is None:
-                        path = f"{base}/pages-{uuid.uuid4().hex}.warc.gz"
-                        out, count = fs.open_output_stream(path, compression=None), 0
+                        name = f"pages-{uuid.uuid4().hex}.warc.gz"
+                        path = f"{folder}/{name}"
+                        out, count = fs.open_output_stream(f"{base}/{name}", compression=None), 0
                     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     out.write(packer.compress(record(*row)) + packer.flush())
                     count += 1
@@ -145,10 +155,10 @@ def headers(head: bytes) -> dict[str, str] | None:
 
 
 class _Range:
-    """Bytes of a file from `start`, read on as far as needed; what lies behind is let go."""
+    """Bytes of a file from `start` on, which lies at `at` in `data`; what lies behind is let go now and then."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data = file, start, b""
+        self.file, self.start, self.data, self.at = file, start, bytearray(), 0
         file.seek(start)
 
     def more(self) -> bool:
@@ -157,46 +167,49 @@ class _Range:
         return bool(got)
 
     def drop(self, count: int) -> None:
-        self.data = self.data[count:]
+        self.at += count
         self.start += count
+        if self.at > READ_BYTES:
+            del self.data[: self.at]
+            self.at = 0
 
 
 def member(source: _Range) -> tuple[bytes, int] | None:
     """The record whose member begins at the source's start and the member's size, or None."""
     unpacker = zlib.decompressobj(31)
     parts: list[bytes] = []
-    got, at = 0, 0
-    while True:
+    got, at = 0, source.at
+    while not unpacker.eof:
+        piece = source.data[at : at + PIECE_BYTES]
+        if not piece:
+            if not source.more():
+                return None
+            continue
         try:
-            part = unpacker.decompress(source.data[at:])
+            part = unpacker.decompress(piece)
         except zlib.error:
             return None
-        at = len(source.data)
+        at += len(piece)
         parts.append(part)
         if got < len(VERSION):
             start = b"".join(parts)[: len(VERSION)]
             if not VERSION.startswith(start):
                 return None
-            parts = [b"".join(parts)]
         got += len(part)
-        if unpacker.eof:
-            break
-        if not source.more():
-            return None
-    return (b"".join(parts), len(source.data) - len(unpacker.unused_data)) if got >= len(VERSION) else None
+    return (b"".join(parts), at - len(unpacker.unused_data) - source.at) if got >= len(VERSION) else None
 
 
 def records_of(file, start: int, end: int):
     """(offset, fields, block) of the records that start in [start, end)."""
     source = _Range(file, start)
     while source.start < end:
-        at = source.data.find(MAGIC)
+        at = source.data.find(MAGIC, source.at)
         if at < 0:
-            source.drop(max(0, len(source.data) - len(MAGIC) + 1))
+            source.drop(max(0, len(source.data) - source.at - len(MAGIC) + 1))
             if not source.more():
                 return
             continue
-        source.drop(at)
+        source.drop(at - source.at)
         if source.start >= end:
             return
         found = member(source)
@@ -259,12 +272,13 @@ def parse(path: str, offset: int, fields: dict[str, str], block: bytes) -> dict:
 
 
 def read(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of `files` (path, bytes), by ranges of `split_bytes`."""
+    """The records of `files` (path, bytes), by ranges of `split_bytes`. Paths may leave the file system out."""
+    root = qualified(spark, "/").rstrip("/")
 
     def scan(batches):
         for batch in batches:
             for path, start, end in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                fs, at = _filesystem(path)
+                fs, at = _filesystem(path if ":" in path.partition("/")[0] else f"{root}{path}")
                 rows, held = [], 0
                 with fs.open_input_file(at) as file:
                     for offset, fields, block in records_of(file, start, end):

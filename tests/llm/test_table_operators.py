@@ -157,6 +157,36 @@ def test_warc_round_trip_at_any_split(spark):
         assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
 
 
+def test_warc_paths(spark):
+    """A path without a file system is the cluster's own, and the names that Hadoop and Arrow use differ for S3."""
+    pages = spark.createDataFrame([(1, "u", HTML[0], "mine", 7)], "page_id long, url string, html string, path string, offset int")
+    folder = scratch_path(spark, "warc").removeprefix("file://")
+    files = warc.write(pages, folder)
+    path = files.first().path
+    assert folder.startswith("/") and path.startswith("file:/") and warc.qualified(spark, folder).startswith("file:/")
+    assert warc.read(spark, files).first().page_id == 1
+    bare = spark.createDataFrame([("/" + path.partition(":")[2].lstrip("/"), files.first().bytes)], "path string, bytes long")
+    assert warc.read(spark, bare).first().page_id == 1
+    assert type(warc._filesystem("s3a://bucket/a?region=eu-west-1")[0]).__name__ == "S3FileSystem"
+    with pytest.raises(Exception, match="(?i)unrecognized"):
+        warc._filesystem("nowhere://a/b")
+
+
+def test_reader_lets_go_of_what_it_has_read(tmp_path):
+    """Members larger and smaller than a read, with and without junk between them."""
+    random.seed(2)
+    parts, want = [], []
+    for k in range(60):
+        body = random.randbytes(random.choice([10, 5_000, 300_000, 2_500_000 if k % 20 == 0 else 100]))
+        parts += [gzip.compress(warc.record(k, "u", body, "d", None), 1), random.choice([b"", b"\x1f\x8b\x08"])]
+        want.append((f"<urn:page:{k}>", len(body)))
+    path = tmp_path / "x.gz"
+    path.write_bytes(b"".join(parts))
+    with path.open("rb") as file:
+        got = [(f["warc-record-id"], len(b.partition(b"\r\n\r\n")[2])) for _, f, b in warc.records_of(file, 0, path.stat().st_size)]
+    assert got == want
+
+
 def test_warc_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(pages, scratch_path(spark, "warc"))).count() == 0
