@@ -172,12 +172,13 @@ def text_row(text: bytes, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
-    """At most MAX_LABELLED labelled documents, the same ones at every run."""
+    """At most MAX_LABELLED labelled documents, the same ones at every run; of several texts with one
+    id the smallest by its bytes."""
     known = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).where("doc_id is not null")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select(F.col("doc_id"), text_bytes().alias("text"))
     # The bound on the labelled rows is a bound on what is sent around.
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> list[Linear]:
