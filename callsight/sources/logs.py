@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ COMPACTED = "compact-"
 RECORDS = "_compactions"  # what compactions have replaced; table scans pass it by
 FILE_BYTES = 256 << 20
 GRACE = dt.timedelta(hours=24)
+BLOOM = {"parquet.bloom.filter.enabled#request_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+MAX_LOOKUP, LISTED = 200, 10  # LISTED: what Spark pushes as conditions, spark.sql.parquet.pushdown.inFilterThreshold
 _PLACE = re.compile(r"/day=(\d{4}-\d{2}-\d{2})/batch=([^/]+)/")
 
 
@@ -41,11 +43,12 @@ def write_logs(rows: DataFrame, path: str, batch_id: str, ingested_at: Time | No
     _save(stamped.withColumn("day", F.to_date("created_at")), path, str(batch_id))
 
 
-def _save(rows: DataFrame, path: str, batch: str) -> None:
+def _save(rows: DataFrame, path: str, batch: str, options: dict[str, str] | None = None) -> None:
     (
         rows.withColumn("batch", F.lit(batch))
         .sortWithinPartitions("day", *LOG_KEYS)
         .write.mode("overwrite")
+        .options(**(options or {}))
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day", "batch")
         .parquet(path)
@@ -58,23 +61,52 @@ def read_logs(spark: SparkSession, path: str, since: Time | None = None, until:
     return in_range(rows, since or FAR_PAST, until or FAR_FUTURE) if since or until else rows
 
 
+def _days_table(spark: SparkSession, path: str, since: Time | None, until: Time | None) -> DataFrame:
+    """The table, or the folders of the asked days alone."""
+    reader = spark.read.schema(TABLE_SCHEMA)
+    if not since and not until:
+        return reader.parquet(path)
+    first, last = str(since or FAR_PAST)[:10], str(until or FAR_FUTURE)[:10]
+    days = [f"{path}/day={day}" for day in map(str, stored_days(spark, path)) if first <= day <= last]
+    return reader.option("basePath", path).parquet(*days) if days else spark.createDataFrame([], TABLE_SCHEMA)
+
+
+def read_requests(
+    spark: SparkSession, path: str, request_ids: Sequence[str], since: Time | None = None, until: Time | None = None
+) -> DataFrame:
+    """The rows of some calls, at most MAX_LOOKUP, one row per call.
+
+    The ids are pushed to the files as conditions of at most LISTED ids each, as longer lists are
+    pushed as a range only. Compacted days have Bloom filters of the ids, so row groups that hold none
+    of them are passed over.
+    """
+    wanted = sorted(set(request_ids))
+    if len(wanted) > MAX_LOOKUP:
+        raise ValueError(f"{len(wanted)} ids; join with the log table instead")
+    rows = _days_table(spark, path, since, until)
+    if since or until:
+        rows = in_range(rows, since or FAR_PAST, until or FAR_FUTURE)
+    held = F.lit(False)
+    for at in range(0, len(wanted), LISTED):
+        held = held | F.col("request_id").isin(wanted[at : at + LISTED])
+    return dedup_latest(rows.where(held).drop("batch"))
+
+
 def read_latest(spark: SparkSession, path: str, since: Time | None = None, until: Time | None = None) -> DataFrame:
     """One row per call of a time range.
 
     A day that is one compacted batch holds no copies and is read as it lies; only days
     with newer batches pay for the removal of copies, as a rule the current one. Which days
     these are is taken from the files that the scan itself has listed, so a batch that
-    arrives meanwhile is either seen by both or by none.
+    arrives meanwhile is either seen by both or by none. Files of other days are not listed.
     """
-    table = spark.read.schema(TABLE_SCHEMA).parquet(path)
+    table = _days_table(spark, path, since, until)
     held: dict[str, set[str]] = {}
     for file in table.inputFiles():
         if place := _PLACE.search(file):
             held.setdefault(place[1], set()).add(place[2])
     settled = [day for day, batches in held.items() if len(batches) == 1 and min(batches).startswith(COMPACTED)]
     if since or until:
-        first, last = (str(as_day) for as_day in (since or FAR_PAST, until or FAR_FUTURE))
-        settled = [day for day in settled if first[:10] <= day <= last[:10]]
         table = in_range(table, since or FAR_PAST, until or FAR_FUTURE)
     rows = table.drop("batch")
     is_settled = F.coalesce(F.col("day").cast("string").isin(settled), F.lit(False))
@@ -124,7 +156,7 @@ def compact_days(spark: SparkSession, path: str, days: Iterable[dt.date], file_b
     rows = spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*old)
     ranges = max(1, -(-sum(_bytes(spark, folder) for folder in old) // file_bytes))
     name = f"{COMPACTED}{uuid.uuid4().hex}"
-    _save(dedup_latest(rows).drop("batch").repartitionByRange(ranges, "day", *LOG_KEYS), path, name)
+    _save(dedup_latest(rows).drop("batch").repartitionByRange(ranges, "day", *LOG_KEYS), path, name, BLOOM)
     replaced = spark.createDataFrame([(folder[len(path) + 1 :],) for folder in old], "folder string")
     replaced.withColumn("at", F.current_timestamp()).coalesce(1).write.json(f"{path}/{RECORDS}/{name}")
 
@@ -137,12 +169,12 @@ def remove_replaced(spark: SparkSession, path: str, grace: dt.timedelta = GRACE)
     for record in records:
         rows = spark.read.schema("folder string, at timestamp").json(record)
         seconds = int(grace.total_seconds())
-        folders = [r.folder for r in rows.where(F.col("at") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))).collect()]
-        for folder in folders:
+        old = [r.folder for r in rows.where(F.col("at") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))).collect()]
+        for folder in old:
             remove(spark, f"{path}/{folder}")
-        if folders:
+        if old:
             remove(spark, record)
-        gone += len(folders)
+        gone += len(old)
     return gone
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,14 +17,15 @@ from callsight.sources.logs import write_logs
 from callsight.sources.raw import write_dead_letters
 
 log = logging.getLogger(__name__)
+T = TypeVar("T")
 
 # Tries of a store write and the first pause, doubled each time.
 WRITE_TRIES = 3
 FIRST_PAUSE_SECONDS = 0.5
 
 
-def write_with_retry(write: Callable[[], None], tries: int = WRITE_TRIES, pause: float = FIRST_PAUSE_SECONDS) -> None:
-    """Try a write again after growing pauses. The last failure is raised: the batch then
+def write_with_retry(write: Callable[[], T], tries: int = WRITE_TRIES, pause: float = FIRST_PAUSE_SECONDS) -> T:
+    """Try a write again after growing pauses; returns what it returns. The last failure is raised: the batch then
     counts as not done, and the stream reads it again when it is restarted."""
     for attempt in range(1, tries + 1):
         try:
@@ -69,17 +71,29 @@ def run_ingest(
     def bury(dead: DataFrame, name: str) -> None:
         write_dead_letters(dead, dead_path, name)
 
+    named: list[str] = []
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        name = f"{stream_id(batch.sparkSession, checkpoint)}-{batch_id:012d}"
+        spark = batch.sparkSession
+        if not named:  # the checkpoint's id is there once the first batch is
+            named.append(stream_id(spark, checkpoint))
+        name = f"{named[0]}-{batch_id:012d}"
         # Both sinks take their share of one parse.
         parsed = parse_events(batch).persist()
+
+        def write_valid() -> dict[str, int]:
+            # The write passes all rows of the batch, so they are counted on their way.
+            seen = Observation()
+            valid, _ = split_valid(parsed.observe(seen, *count_columns()))
+            write_logs(to_log_row(redaction.redact_events(apply_defaults(valid), redactor)), logs_path, name)
+            return seen.get
+
         try:
-            valid, dead = split_valid(parsed)
-            rows = to_log_row(redaction.redact_events(apply_defaults(valid), redactor))
-            write_with_retry(lambda: write_logs(rows, logs_path, name))
-            write_with_retry(lambda: (dead_sink or bury)(dead, name))
+            counts = write_with_retry(write_valid)
+            write_with_retry(lambda: (dead_sink or bury)(split_valid(parsed)[1], name))
             if counts_path:
-                write_with_retry(lambda: write_counts(ingest_counts(parsed), batch_id, name, counts_path))
+                row = spark.createDataFrame([(counts["stored"], counts["dead"])], "stored bigint, dead bigint")
+                write_with_retry(lambda: write_counts(row, batch_id, name, counts_path))
         finally:
             parsed.unpersist()
 
@@ -100,7 +114,11 @@ def write_counts(counts: DataFrame, batch_id: int, name: str, path: str) -> None
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
+def count_columns() -> list[Column]:
+    ok = F.size("reasons") == 0
+    return [F.count_if(ok).alias("stored"), F.count_if(~ok).alias("dead")]
+
+
 def ingest_counts(parsed: DataFrame) -> DataFrame:
     """Stored and dead records of a parsed batch."""
-    ok = F.size("reasons") == 0
-    return parsed.agg(F.count_if(ok).alias("stored"), F.count_if(~ok).alias("dead"))
+    return parsed.agg(*count_columns())

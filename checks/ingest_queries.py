@@ -168,6 +168,22 @@ def latest(spark, sf_dir):
     return times_as_text(table.read_latest(spark, path).select(*STORED[:-1]))
 
 
+def looked_up(spark, sf_dir):
+    """About 150 calls by their ids, half of the days compacted."""
+    path = stored(spark, sf_dir)
+    days = table.stored_days(spark, path)
+    table.compact_days(spark, path, days[: len(days) // 2])
+    ids = inputs.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    wanted = [f"req_{i:010d}" for i in range(0, ids + 1, max(1, ids // 150))]
+    return times_as_text(table.read_requests(spark, path, wanted).select(*STORED[:-1]))
+
+
+register(
+    "lookup_requests",
+    looked_up,
+    f"""WITH {EVENTS} SELECT {STORED_SQL} FROM calls
+    WHERE event_id % greatest(1, (SELECT max(event_id) FROM events) // 150) = 0""",
+)
 register("latest_read", latest, f"WITH {EVENTS} SELECT {STORED_SQL} FROM calls")
 
 

@@ -182,3 +182,63 @@ def test_time_filter_prunes_days_and_columns(spark, raw, tmp_path):
     assert "GreaterThanOrEqual(created_at" in scan
     assert "input_preview" not in scan and "metadata" not in scan
     assert "WindowGroupLimit" in text
+
+
+def scanned(df):
+    """Rows that the file scans of a query have read, after row groups were passed over."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            plan = plan.executedPlan()
+        if plan.nodeName().endswith("QueryStage"):
+            plan = plan.plan()
+        if plan.nodeName().startswith("Scan parquet"):
+            found += plan.metrics().apply("numOutputRows").value()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def many_logs(spark, path, n=60_000, days=3):
+    rows = spark.range(0, n, 1, 4).selectExpr(
+        "concat('r', xxhash64(id)) as request_id", "'s' as session_id", "'c' as conversation_id", "'p' as provider", "'m' as model",
+        "'success' as status", "'' as error_type", "'' as error_message", "1D as latency_ms", "1D as ttft_ms", "1L as prompt_tokens",
+        "1L as completion_tokens", "2L as total_tokens", "0D as cost_usd", "'' as input_preview", "'' as output_preview", "0 as redacted",
+        f"timestamp_seconds(1704067200 + id * {days} * 86400 div {n}) as created_at", "'{}' as metadata",
+    )
+    table.write_logs(rows, path, "one", "2024-02-01")
+    return [r.request_id for r in rows.where("id % 3000 = 0").collect()]
+
+
+def test_a_lookup_of_some_ids_reads_a_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    ids = many_logs(spark, path)
+    assert len(ids) == 20
+    spark.conf.set("parquet.block.size", "65536")
+    try:
+        hadoop = spark._jsc.hadoopConfiguration()
+        hadoop.set("parquet.block.size", "65536")
+        table.compact_days(spark, path, table.stored_days(spark, path))
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.unset("parquet.block.size")
+    table.remove_replaced(spark, path, dt.timedelta(0))
+    found = table.read_requests(spark, path, [*ids, "r0", ids[0]])
+    assert sorted(r.request_id for r in found.collect()) == sorted(ids)
+    assert scanned(found) < 0.5 * 60_000 == 0.5 * scanned(table.read_logs(spark, path))
+    none = table.read_requests(spark, path, ["r0"])
+    assert scanned(none) < 0.1 * 60_000 and table.read_requests(spark, path, []).count() == 0
+    with pytest.raises(ValueError):
+        table.read_requests(spark, path, [f"r{i}" for i in range(201)])
+
+
+def test_a_read_of_some_days_lists_their_files_alone(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    many_logs(spark, path, 3000)
+    table.compact_days(spark, path, table.stored_days(spark, path)[:2])
+    some = table.read_latest(spark, path, since="2024-01-02 00:00:00", until="2024-01-02 23:59:59")
+    files = some.inputFiles()
+    assert files and all("/day=2024-01-02/" in f for f in files) and some.count() == 1000
+    assert table.read_latest(spark, path, since="2030-01-01").count() == 0
+    assert table.read_latest(spark, path).count() == 3000
