@@ -116,6 +116,32 @@ def detail_projection(detail: DataFrame) -> DataFrame:
     )
 
 
+# The fields of a message in a nested conversation.
+MESSAGE_FIELDS = ["id", "role", "content", "status", "prompt_tokens", "completion_tokens", "request_id", "created_at"]
+NESTED_BLOCK_SECONDS = 3600
+
+
+def conversation_nested(
+    conversations: DataFrame, messages: DataFrame, block_seconds: int = NESTED_BLOCK_SECONDS
+) -> DataFrame:
+    """One row per conversation with its messages as an array, oldest first, equal times by id.
+
+    The answer's shape, for conversations that fit a row; `conversation_detail` has any. Messages
+    are listed and sorted by blocks of time first, so the tasks of a conversation with very many
+    of them share that work and only lists are put behind each other at the end.
+    """
+    block = F.floor(F.unix_seconds("created_at") / block_seconds)
+    entry = F.struct("created_at", "id", F.struct(*MESSAGE_FIELDS).alias("message"))
+    blocks = messages.groupBy("conversation_id", block.alias("_block")).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["message"]).alias("_part")
+    )
+    lists = blocks.groupBy("conversation_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_part"))), lambda x: x["_part"])).alias("messages")
+    )
+    found = conversations.join(lists, F.col("id") == F.col("conversation_id"), "left").drop("conversation_id")
+    return found.withColumn("messages", F.coalesce("messages", F.array().cast(lists.schema["messages"].dataType)))
+
+
 def context(messages: DataFrame, n: int = CONTEXT_MESSAGES) -> DataFrame:
     """The last n messages of each conversation, oldest first, as an array.
 

@@ -53,6 +53,20 @@ register(
     lambda s, d: times_as_text(ops.detail_projection(ops.conversation_detail(*both(s, d), ordered=False))),
     f"WITH {MESSAGES} {_DETAIL_SQL}",
 )
+register(
+    "conversation_nested",
+    lambda s, d: times_as_text(
+        ops.conversation_nested(*both(s, d)).select(
+            "id", "title", "status", "created_at", "updated_at",
+            F.size("messages").alias("n"),
+            F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["id"], m["role"], m["status"], m["request_id"], m["content"])), "\n").alias("messages"),
+        )
+    ),
+    f"""WITH {MESSAGES}, l AS (SELECT conversation_id, count(*) AS n,
+      string_agg(concat_ws('|', id, role, status, request_id, content), chr(10) ORDER BY created_at, id) AS messages FROM messages GROUP BY 1)
+    SELECT c.id, title, status, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at, CAST(COALESCE(n, 0) AS INTEGER) AS n,
+      COALESCE(messages, '') AS messages FROM convs c LEFT JOIN l ON c.id = l.conversation_id""",
+)
 register(
     "conversation_open",
     lambda s, d: times_as_text(

@@ -75,3 +75,20 @@ def test_trace_keeps_every_message(spark, sf, tables):
     assert traced.count() == tables[1].count()
     lost = ops.messages_without_log(tables[1], inputs.raw_logs(spark, sf)).count()
     assert traced.where("request_id is not null and not has_log").count() == lost
+
+
+def test_a_long_conversation_nests_in_order_and_by_blocks(spark):
+    n = 20_000
+    messages = spark.range(0, n, 1, 6).selectExpr(
+        "concat('m', lpad(id, 6, '0')) as id", "if(id % 3 = 0, concat('c', id % 5), 'hot') as conversation_id", "'user' as role",
+        "'x' as content", "'complete' as status", "cast(null as bigint) as prompt_tokens", "cast(null as bigint) as completion_tokens",
+        "cast(null as string) as request_id", "timestamp_seconds(pmod(xxhash64(id), 50000)) as created_at",
+    )
+    conversations = spark.sql("select concat('c', id) as id, 't' as title from range(7) union all select 'hot', 't'")
+    found = ops.conversation_nested(conversations, messages, 1000)
+    got = {r.id: [(m.created_at, m.id) for m in r.messages] for r in found.collect()}
+    want = {}
+    for r in messages.collect():
+        want.setdefault(r.conversation_id, []).append((r.created_at, r.id))
+    assert got == {c: sorted(want.get(c, [])) for c in got} and len(got) == 8 and got["c6"] == []
+    assert len(got["hot"]) > n / 2
