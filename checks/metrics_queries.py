@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callsight.functions.times import bucket_start, iso_millis, iso_text
+from callsight.functions.times import WINDOWS, bucket_start, iso_millis, iso_text
 from callsight.operators import logs as ops
 from callsight.operators.quantiles import in_sets
 from callsight.plans import metrics, panels, rollups
@@ -84,7 +84,7 @@ TOTALS = f"""
   {zero(quantile(0.5))} AS p50_ms, {zero(quantile(0.95))} AS p95_ms, {zero(quantile(0.99))} AS p99_ms,
   {zero('avg(ttft_ms)')} AS avg_ttft_ms, CAST(COALESCE(sum(total_tokens), 0) AS BIGINT) AS total_tokens,
   COALESCE({rounded('sum(cost_usd)', 4)}, 0.0) AS total_cost_usd"""
-for name, (hours, bucket) in {"1h": (1, 60), "24h": (24, 1800), "7d": (168, 21600)}.items():
+for name, (hours, bucket) in WINDOWS.items():
     register(
         f"metrics_totals_{name}",
         lambda s, d, w=name: metrics.totals(settled(s, d, w)),
