@@ -37,7 +37,7 @@ EPOCHS = 3
 GENERATIONS = 8
 POPULATION = 6
 WELL_FILLED = 0.98
-KEPT_WORDS, KEPT_LETTERS = 200_000, 200_000  # what each of two generations in a worker remembers; speed only
+KEPT_WORDS, KEPT_LETTERS = 100_000, 120_000  # what each of two generations in a worker remembers; speed only
 OPENED = 0.9  # bins filled less than this are opened for the next level
 
 # ---- tokens ---------------------------------------------------------------------------
