@@ -18,6 +18,8 @@ items all count; columns of the input named like an added one are replaced.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -312,12 +314,14 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     dropped = {*ADDED, "n_hit", "n_items", "contaminated", "__text", "__row"}
     own = [c for c in docs.columns if c not in dropped]
     source = docs.select(*own, text_bytes(text).alias("__text"))
-    blocks = list(item_blocks(benchmark))
-    if len(blocks) == 1:
-        found = _pass(source, blocks[0])
+    blocks = item_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _pass(source, first)
     else:  # each pass reads the same numbered rows; only rows with hits meet again
         source = kept(source.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        passes = [kept(_pass(source, block), "hits") for block in blocks]
+        # a pass is done before the next block comes to the driver
+        passes = [kept(_pass(source, block), "hits") for block in chain((first, second), blocks)]
         hits = passes[0].select("__row", "spans", "items").where("size(items) > 0")
         for more in passes[1:]:
             hits = hits.unionByName(more.select("__row", "spans", "items").where("size(items) > 0"))
