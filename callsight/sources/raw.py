@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from callsight.functions.text import session_key
 from callsight.schemas import RAW_SCHEMA
-from callsight.session import scratch_path
+from callsight.session import stored_once
 from callsight.sources.logs import folders
 
 # Topics, partitions of the raw topic.
@@ -70,14 +70,12 @@ def numbered(records: DataFrame, order: Sequence[str], by: str, name: str = "num
 
     The order begins with `by`. Rows are dealt to tasks by ranges of the whole order, so one value may
     lie in many tasks. Each task numbers its own rows, and the counts per value and task, a few rows
-    each, say how many come before them.
+    each, say how many come before them. The rows are made once, before the sample of the ranges.
     """
     own = F.monotonically_increasing_id()  # task number and place in the task
-    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = ranged.withColumns({"_task": F.shiftright(own, 33), "_place": own})
-    path = scratch_path(records.sparkSession, name)
-    rows.write.parquet(path)  # the ranges come from a sample: taken once
-    rows = records.sparkSession.read.schema(rows.schema).parquet(path)
+    ranged = stored_once(records, f"{name}-unsorted").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumns({"_task": F.shiftright(own, 33), "_place": own})
+    rows = stored_once(placed, name)  # the ranges come from a sample: taken once
     counts = rows.groupBy(by, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(by, "_task", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

@@ -10,7 +10,7 @@ from callsight.functions import text
 from callsight.operators import events as ops
 from callsight.operators.logs import dedup_latest, dedup_stream, in_range
 from callsight.plans import metrics
-from callsight.session import scratch_path
+from callsight.session import scratch_path, stored_once
 from callsight.sources import logs as table
 from callsight.sources import raw
 from callsight.streaming import ingest, live
@@ -268,20 +268,25 @@ register(
 )
 
 
+def kept_events(spark, sf_dir):
+    """The valid events, parsed once for all writes of them."""
+    events = ops.to_log_row(ops.apply_defaults(ops.split_valid(parsed(spark, sf_dir))[0]))
+    return stored_once(events.withColumn("metadata", F.from_json("metadata", "map<string,string>")), "events")
+
+
 def round_trip(spark, sf_dir):
     """Events written as raw records and ingested again; the second write replaces the first."""
     path = scratch_path(spark, "raw")
-    events = ops.to_log_row(ops.apply_defaults(ops.split_valid(parsed(spark, sf_dir))[0]))
+    events = kept_events(spark, sf_dir)
     for _ in range(2):
-        raw.write_raw(events.withColumn("metadata", F.from_json("metadata", "map<string,string>")), path, "1")
+        raw.write_raw(events, path, "1")
     return times_as_text(ingest.ingest_rows(raw.read_raw(spark, path))[0].select(*ROW))
 
 
 def offsets(spark, sf_dir):
     """Two batches of records, the first one written a second time behind the other."""
     path = scratch_path(spark, "raw")
-    events = ops.to_log_row(ops.apply_defaults(ops.split_valid(parsed(spark, sf_dir))[0]))
-    events = events.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    events = kept_events(spark, sf_dir)
     early = F.col("created_at") < inputs.RANGE[0]
     for part, name in ((events.where(early), "1"), (events.where(~early), "2"), (events.where(early), "1")):
         raw.write_raw(part, path, name)

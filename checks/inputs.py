@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over_tasks(rows: DataFrame) -> DataFrame:
+    """Rows of a file of few parts dealt to more tasks, by their bytes: what is made of them costs far more
+    than the rows."""
+    return rows.hint("rebalance")
+
+
 _MODELS = "array(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 
 
@@ -289,7 +295,7 @@ def wire_events(spark: SparkSession, sf_dir: str, damaged: str = "true") -> Data
         f"when event_id % 40 = {k} and {damaged if k in DEAD_KINDS else 'true'} then {e}" for k, e in DAMAGE.items()
     )
     return (
-        table(spark, sf_dir, "events")
+        over_tasks(table(spark, sf_dir, "events"))
         .selectExpr("event_id", "ts", f"{CREATED} as created_at", body)
         .selectExpr("event_id", "ts", f"case {kinds} else body end as value")
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from callsight.sources import raw
+from checks import inputs
 
 
 def events(spark, low, high):
@@ -48,3 +49,21 @@ def test_numbers_within_a_hot_value_and_without_rows(spark):
         by[r.k] = r.number + 1
     assert sum(by.values()) == 5000
     assert raw.numbered(rows.where("false"), ["k", "v", "id"], "k").count() == 0
+
+
+def test_records_are_made_once_for_the_ranges(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        made.add(1)
+        return i
+
+    rows = spark.range(0, 400, 1, 4).select(F.lit("k").alias("k"), counted("id").alias("v"))
+    assert raw.numbered(rows, ["k", "v"], "k").where("number = v").count() == 400
+    assert made.value == 400
+
+
+def test_a_file_of_one_part_is_dealt_out_before_records_are_made_of_it(spark, sf):
+    plan = inputs.raw_records(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("get_json_object") < plan.index("RebalancePartitions") < plan.index("Relation")
