@@ -27,7 +27,7 @@ TABLE_SCHEMA = T.StructType(
 FAR_PAST, FAR_FUTURE = "0001-01-01", "9999-12-31"
 COMPACTED = "compact-"
 RECORDS = "_compactions"  # what compactions have replaced; table scans pass it by
-FILE_BYTES = 256 << 20
+FILE_BYTES = 32 << 20  # in memory, to be sorted, the rows of a file take some fifteen times as much
 GRACE = dt.timedelta(hours=24)
 BLOOM = {"parquet.bloom.filter.enabled#request_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 MAX_LOOKUP, LISTED = 200, 10  # LISTED: what Spark pushes as conditions, spark.sql.parquet.pushdown.inFilterThreshold

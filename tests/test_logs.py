@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,13 @@ def test_a_read_of_some_days_lists_their_files_alone(spark, tmp_path):
     assert files and all("/day=2024-01-02/" in f for f in files) and some.count() == 1000
     assert table.read_latest(spark, path, since="2030-01-01").count() == 0
     assert table.read_latest(spark, path).count() == 3000
+
+
+def test_a_file_of_a_compacted_day_stays_small_enough_to_be_sorted(spark, tmp_path, monkeypatch):
+    ranges = []
+    monkeypatch.setattr(table, "_bytes", lambda spark, path: 256 << 20)
+    monkeypatch.setattr(table, "_save", lambda rows, *args: ranges.append(
+        int(re.search(r"RepartitionByExpression .*\], (\d+)", rows._jdf.queryExecution().analyzed().toString())[1])))
+    (tmp_path / "day=2024-01-01" / "batch=a").mkdir(parents=True)
+    table.compact_days(spark, str(tmp_path), [dt.date(2024, 1, 1)])
+    assert ranges[0] >= 8
