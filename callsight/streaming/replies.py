@@ -29,14 +29,15 @@ USAGE = HEAD[2:5]
 REPLY_DDL = f"request_id string, reply string, {HEAD_DDL}"
 
 
-def _later(row: dict, at: str, found: pd.DataFrame, columns: list[str]) -> None:
+def _later(row: dict, at: str, seqs: list, found: list[int], columns: dict[str, list]) -> None:
     """Takes over the columns of the row with the highest number, if that is above the one known."""
-    if len(found):
-        last = found.loc[found["seq"].idxmax()]
-        if row[at] is None or int(last["seq"]) >= row[at]:
-            row[at] = int(last["seq"])
-            for c in columns:
-                row[c] = None if pd.isna(last[c]) else last[c] if c == "model" else int(last[c])
+    numbered = [i for i in found if seqs[i] == seqs[i]]
+    if numbered:
+        last = max(numbered, key=seqs.__getitem__)
+        if row[at] is None or int(seqs[last]) >= row[at]:
+            row[at] = int(seqs[last])
+            for c, values in columns.items():
+                row[c] = None if pd.isna(values[last]) else values[last] if c == "model" else int(values[last])
 
 
 class Replies(StatefulProcessor):
@@ -51,28 +52,37 @@ class Replies(StatefulProcessor):
         self.blocks = handle.getMapState("blocks", "block bigint", "seqs array<bigint>, deltas array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = dict(zip(HEAD, self.head.get(), strict=True)) if self.head.exists() else dict.fromkeys(HEAD)
+        known = self.head.get()  # calls to the state and pandas' own per request cost most here: few of both
+        empty = known is None
+        head = dict.fromkeys(HEAD) if empty else dict(zip(HEAD, known, strict=True))
         for part in rows:
-            if head["last_at"] is not None and int(part["at"].min()) > head["last_at"] + 1000 * self.gap:
+            seqs, ats, deltas, models = (part[c].tolist() for c in ("seq", "at", "delta", "model"))
+            if head["last_at"] is not None and int(min(ats)) > head["last_at"] + 1000 * self.gap:
                 yield self._closed(key, tuple(head[name] for name in HEAD))
                 head = dict.fromkeys(HEAD)
-            for number, chunks in part.groupby(part["seq"] // self.block):
-                at = (int(number),)
-                seqs, deltas = self.blocks.getValue(at) if self.blocks.containsKey(at) else ([], [])
-                held = dict(zip(seqs, deltas, strict=True)) | dict(zip(chunks["seq"].tolist(), chunks["delta"].tolist(), strict=True))
+            blocks: dict[int, dict[int, str]] = {}
+            for seq, delta in zip(seqs, deltas, strict=True):
+                if seq == seq:  # a missing number is none
+                    blocks.setdefault(int(seq // self.block), {})[int(seq)] = delta
+            for number in sorted(blocks):
+                held = blocks[number]
+                if not empty and self.blocks.containsKey((number,)):
+                    held = dict(zip(*self.blocks.getValue((number,)), strict=True)) | held
                 order = sorted(held)
-                self.blocks.updateValue(at, (order, [held[s] for s in order]))
-            _later(head, "model_at", part[part["model"].notna()], ["model"])
-            _later(head, "usage_at", part[part["has_usage"]], USAGE)
-            first = part.loc[part["delta"] != "", "at"]
-            if len(first):
-                head["first_at"] = min(int(first.min()), head["first_at"] or int(first.min()))
-            head["last_at"] = max(int(part["at"].max()), head["last_at"] or 0)
+                self.blocks.updateValue((number,), (order, [held[s] for s in order]))
+            empty = False
+            _later(head, "model_at", seqs, [i for i, m in enumerate(models) if not pd.isna(m)], {"model": models})
+            told = [i for i, has in enumerate(part["has_usage"].tolist()) if has]
+            _later(head, "usage_at", seqs, told, {c: part[c].tolist() for c in USAGE} if told else {})
+            first = min((int(at) for at, delta in zip(ats, deltas, strict=True) if delta != ""), default=None)
+            if first is not None:
+                head["first_at"] = min(first, head["first_at"] or first)
+            head["last_at"] = max(int(max(ats)), head["last_at"] or 0)
         self.head.update(tuple(head[name] for name in HEAD))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if known is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         self.handle.registerTimer(head["last_at"] // 1000 + self.gap)
-        yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._closed(key, self.head.get())

@@ -221,7 +221,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("model"),
     )
     piece = F.explode(F.concat(words, F.array(last)))
-    rows = calls(spark, sf_dir).select("request_id", "started_at", piece.alias("p"))
+    rows = over_tasks(calls(spark, sf_dir)).select("request_id", "started_at", piece.alias("p"))
     return rows.select(
         "request_id",
         "p.seq",

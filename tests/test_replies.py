@@ -114,3 +114,18 @@ def test_a_reply_that_goes_on_after_its_end_is_two(spark, tmp_path, block):
         chunk_rows(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
     got = sorted((r.request_id, r.text) for r in run(spark, f"{tmp_path}/chunks", str(tmp_path), block=block).collect())
     assert got == [("a", "x"), ("a", "z"), ("b", "y")]
+
+
+def test_a_new_request_asks_the_state_for_little(monkeypatch):
+    """Every call to the state goes to the JVM and back."""
+    asked = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *args: asked.append(name)
+
+    made = replies.Replies(1000, 128)
+    made.handle, made.head, made.blocks = State(), State(), State()
+    part = pd.DataFrame({"seq": [1, 0], "at": [20, 10], "delta": ["b", "a"], "model": [None, "m"], "has_usage": False})
+    assert list(made.handleInputRows(("r",), iter([part]), None)) == []
+    assert asked == ["get", "updateValue", "update", "registerTimer"]
