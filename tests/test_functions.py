@@ -174,3 +174,12 @@ def test_times(spark):
     )
     with pytest.raises(ValueError):
         times.window_hours("2h")
+
+
+def test_an_engine_gets_texts_in_parts_of_a_batch(spark):
+    class Sizes:
+        def redact(self, texts):
+            return texts + f" {len(texts) <= 500}"
+
+    rows = spark.range(0, 3000, 1, 1).select("id", redaction.by_engine(Sizes)(F.concat(F.lit("t"), "id")).alias("r"))
+    assert [tuple(x) for x in rows.select("id", "r.text", "r.changed").orderBy("id").collect()] == [(i, f"t{i} True", True) for i in range(3000)]
