@@ -119,7 +119,7 @@ register(
 def stored(spark, sf_dir):
     """The log table written in two batches, the second with the late copies."""
     path = scratch_path(spark, "logs")
-    rows = inputs.raw_logs(spark, sf_dir)
+    rows = inputs.over_tasks(inputs.raw_logs(spark, sf_dir))
     late = F.col("ingested_at") > F.col("created_at") + F.expr("interval 3 seconds")
     table.write_logs(rows.where(~late), path, "first", "2024-01-31 00:00:01")
     table.write_logs(rows.where(late), path, "second", "2024-01-31 00:00:06")
@@ -204,18 +204,25 @@ register(
 
 FILES = 4
 FILES_PER_PART = 2
+FILE_ROWS = 250_000  # about as many to a file: larger batches are more files
+
+
+def files_of(rows, least=1):
+    """Files that so many rows take."""
+    return max(least, -(-rows // FILE_ROWS))
 
 
 def record_files(spark, sf_dir):
-    """The raw records as several files, so that a stream takes several batches."""
-    path = scratch_path(spark, "raw")
-    inputs.raw_records(spark, sf_dir).repartition(FILES, "offset").write.json(path)
-    return path
+    """The raw records as FILES times several files, so that a stream takes several batches; and how many times."""
+    path, records = scratch_path(spark, "raw"), inputs.raw_records(spark, sf_dir)
+    each = files_of(-(-inputs.table(spark, sf_dir, "events").count() // FILES))
+    records.repartition(FILES * each, "offset").write.json(path)
+    return path, each
 
 
 def ingested(spark, sf_dir):
     logs, dead, counts = (scratch_path(spark, n) for n in ("logs", "dead", "counts"))
-    records = raw.read_raw_stream(spark, record_files(spark, sf_dir), 1)
+    records = raw.read_raw_stream(spark, *record_files(spark, sf_dir))
     ingest.run_ingest(records, logs, dead, scratch_path(spark, "checkpoint"), counts_path=counts).awaitTermination()
     return logs, dead, counts
 
@@ -233,10 +240,10 @@ def two_topics(spark, sf_dir):
 
 def replayed(spark, sf_dir):
     """The same records twice, each time from the start, into the same table."""
-    path = record_files(spark, sf_dir)
+    path, each = record_files(spark, sf_dir)
     logs, dead = scratch_path(spark, "logs"), scratch_path(spark, "dead")
     for _ in range(2):
-        records = raw.read_raw_stream(spark, path, 2)
+        records = raw.read_raw_stream(spark, path, 2 * each)
         ingest.run_ingest(records, logs, dead, scratch_path(spark, "checkpoint")).awaitTermination()
     return logs
 
@@ -324,11 +331,14 @@ def stream_by_time(spark, rows, time):
 
 def stream_of_parts(spark, parts):
     """A batch per part. A file stream takes the oldest files first, so the parts are
-    written one after the other."""
+    written one after the other, in equally many files: so many that the largest part's are
+    not too large, if the smallest has rows for all of them."""
     path, rows = scratch_path(spark, "rows"), parts[0]
+    sizes = [part.count() for part in parts]
+    files = max(FILES_PER_PART, min(files_of(max(sizes)), min(sizes) // 1000))
     for part in parts:
-        part.repartition(FILES_PER_PART).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def log_stream(spark, sf_dir):

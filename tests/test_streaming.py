@@ -11,7 +11,7 @@ from callsight.operators.events import parse_events
 from callsight.sources import chat, raw
 from callsight.sources.logs import read_logs, write_logs
 from callsight.streaming import ingest, live
-from checks import inputs
+from checks import ingest_queries, inputs
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +195,13 @@ def test_chat_snapshot(spark, sf, tmp_path):
     chat.write_chat(conversations, messages, str(tmp_path))
     back = chat.read_chat(spark, str(tmp_path))
     assert back[0].count() == conversations.count() and back[1].count() == messages.count()
+
+
+def test_large_parts_are_more_files_and_still_a_batch_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest_queries, "FILE_ROWS", 1000)
+    parts = [spark.range(0, 6000, 1, 3), spark.range(6000, 10000, 1, 3), spark.range(10000, 15000, 1, 3)]
+    stream, batches = ingest_queries.stream_of_parts(spark, [p.toDF("id") for p in parts]), []
+    query = stream.writeStream.foreachBatch(lambda rows, _: batches.append(
+        tuple(rows.agg(F.count_distinct(F.input_file_name()), F.count("id"), F.min("id")).first())))
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert batches == [(4, 6000, 0), (4, 4000, 6000), (4, 5000, 10000)]
