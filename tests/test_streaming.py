@@ -202,6 +202,6 @@ def test_large_parts_are_more_files_and_still_a_batch_each(spark, tmp_path, monk
     parts = [spark.range(0, 6000, 1, 3), spark.range(6000, 10000, 1, 3), spark.range(10000, 15000, 1, 3)]
     stream, batches = ingest_queries.stream_of_parts(spark, [p.toDF("id") for p in parts]), []
     query = stream.writeStream.foreachBatch(lambda rows, _: batches.append(
-        tuple(rows.agg(F.count_distinct(F.input_file_name()), F.count("id"), F.min("id")).first())))
+        tuple(rows.withColumn("f", F.input_file_name()).agg(F.count_distinct("f"), F.count("id"), F.min("id")).first())))
     query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert batches == [(4, 6000, 0), (4, 4000, 6000), (4, 5000, 10000)]
