@@ -17,17 +17,18 @@ are pieces of their own; an empty table gives no piece. Extra columns are left o
 
 from __future__ import annotations
 
+import os
 import random
-import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import kept, text_bytes, worker_state
+from callsight.llm.common import kept, releasing, text_bytes, worker_state
 
 CAPACITY = 4096
 END_ID = 1
@@ -43,8 +44,8 @@ OPENED = 0.9  # bins filled less than this are opened for the next level
 # ---- tokens ---------------------------------------------------------------------------
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-# A word a line: Latin letters with marks behind them, or anything else.
-LINES = re.compile(f"(?:([{LETTERS}]+)([.,;:!?]*)|[^\n]*)\n")
+MARKS = ".,;:!?#$%&*|"  # a run of these is one word to the tokenizer, whatever stands before it
+WORD = f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$"  # other words go to the tokenizer as they are
 
 
 class Remembered:
@@ -53,14 +54,33 @@ class Remembered:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """The keys that are not held; the others are in `new` from now on."""
+    def get(self, keys: list) -> list:
+        """What is held of each key, or None; all that are held are in `new` from now on."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        keys = keys - self.new.keys()
-        again = keys & self.old.keys()
-        self.new.update((k, self.old[k]) for k in again)
-        return keys - again
+        values = list(map(self.new.get, keys))
+        gaps = unknown(values) if self.old else []
+        for i, again in zip(gaps, map(self.old.get, [keys[i] for i in gaps]), strict=True):
+            if again is not None:
+                values[i] = self.new[keys[i]] = again
+        return values
+
+    def put(self, keys: list, values: list, learn) -> None:
+        """Fills the gaps that `get` left in `values`, by `learn` of their keys."""
+        gaps = unknown(values)
+        asked = [keys[i] for i in gaps]
+        for i, key, value in zip(gaps, asked, learn(asked) if asked else (), strict=True):
+            values[i] = self.new[key] = value
+
+
+def _byte_names(letters: str) -> str:
+    """The characters that name the UTF-8 bytes of small Latin letters in the vocabulary: most bytes their own."""
+    names = letters.encode().decode("latin-1")
+    return names.replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+
+
+def unknown(values: list) -> list[int]:
+    return [i for i, value in enumerate(values) if value is None]
 
 
 class WordTokens:
@@ -69,21 +89,23 @@ class WordTokens:
     The tokenizer never joins characters across white space, so a text's ids are those of its
     words one after the other; each distinct word is tokenized once. Words of Latin letters
     with marks behind them are split here. A run of letters is one word to the tokenizer, and
-    small letters are left as they are, so letters go to its model together in one call, cut at
-    blanks alone, and are told apart by the vocabulary's end-of-word pieces.
+    small letters are left as they are, so letters go to its model together in one call, as the
+    characters that name their bytes in the vocabulary, cut at blanks alone, and are told apart by
+    the vocabulary's end-of-word pieces.
+
+    Texts are split and their words numbered by Arrow, so Python sees a run's distinct words only.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.model = Tokenizer.from_file(file)
         self.model.encode_special_tokens = True
         self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -94,63 +116,71 @@ class WordTokens:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that the caches hold the given words."""
-        new = list(self.words.missing(words))
-        if not new:
-            return
-        text = b"\n".join(new).decode()
-        lines = LINES.findall(text.lower() + "\n")
-        if len(lines) != len(new):  # letters whose small form has another shape
-            lines = [LINES.findall(w.decode().lower() + "\n")[0] for w in new]
-        unknown = list(self.letters.missing({x for x, _ in lines if x} | {marks for _, marks in lines if marks}))
-        plain = [x for x in unknown if x[0] not in ".,;:!?"]
-        parts = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        lines = pc.split_pattern(pa.array([b"\n".join(words).decode().lower()], pa.large_string()), "\n").values
+        letters, marks = (part.dictionary_encode() for part in pc.extract_regex(lines, WORD).flatten())
+        names = _listed(letters.dictionary)
+        held = self.letters.get(names)
+        self.letters.put(names, held, self._letters)
+        behind = self.ids(_listed(marks.dictionary))
+        places = [part.indices.fill_null(0).to_numpy().tolist() for part in (letters, marks)]
+        other = np.flatnonzero(letters.indices.is_null().to_numpy(zero_copy_only=False)).tolist()
+        found = [held[i] + behind[k] for i, k in zip(*places, strict=True)] if held else [b""] * len(words)
+        for i, ids in zip(other, self.ids([words[i].decode() for i in other]), strict=True):
+            found[i] = ids
+        return found
+
+    def _letters(self, names: list[str]) -> list[bytes]:
+        """The ids of runs of small Latin letters."""
+        out: list[bytes] = []
+        parts = [names[at : at + 200] for at in range(0, len(names), 200)]
         for at in range(0, len(parts), 50):
             some = parts[at : at + 50]
-            encoded = self.model.encode_batch_fast(list(map(" ".join, some)), add_special_tokens=False)
-            for part, e in zip(some, encoded, strict=True):
+            texts = [_byte_names(" ".join(part)) for part in some]
+            for part, e in zip(some, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                if len(cuts) == len(part) and cuts[-1] == len(ids):
+                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
                     data = ids.tobytes()
-                    self.letters.new.update((x, data[4 * a : 4 * b]) for x, a, b in zip(part, [0, *cuts], cuts, strict=False))
+                    out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
                 else:
-                    self.letters.new.update(zip(part, self.ids(part), strict=True))
-        marks = [x for x in unknown if x[0] in ".,;:!?"]
-        self.letters.new.update(zip(marks, self.ids(marks), strict=True))
-        held = self.letters.new
-        other = [w for w, (x, _) in zip(new, lines, strict=True) if not x]
-        found = self.words.new
-        found.update(zip(other, self.ids([w.decode() for w in other]), strict=True))
-        found.update((w, held[x] + held[m] if m else held[x]) for w, (x, m) in zip(new, lines, strict=True) if x)
+                    out += self.ids(part)
+        return out
 
     def encode(self, texts: list[bytes]):
         """The ids of each text as little-endian bytes, texts taken in runs of bounded size."""
         run: list[bytes] = []
-        cuts = [0]
         size = 0
         for text in texts:
-            run += text.split()
-            cuts.append(len(run))
+            run.append(text)
             size += len(text)
             if size > 2 << 20:
-                yield from self._run(run, cuts)
-                run, cuts, size = [], [0], 0
-        yield from self._run(run, cuts)
-
-    def _run(self, run: list[bytes], cuts: list[int]):
-        ids = list(map(self.words.new.get, run))
-        unknown = {w for w, known in zip(run, ids, strict=True) if known is None}
-        if unknown:
-            before = self.words.new
-            self.learn(unknown)
-            now = self.words.new
-            ids = [now[w] if known is None else known for w, known in zip(run, ids, strict=True)]
-            if before is not now:  # the words of this run stay in the newer generation
-                now.update(zip(run, ids, strict=True))
+                yield from self._run(run)
+                run, size = [], 0
+        yield from self._run(run)
+
+    def _run(self, run: list[bytes]):
+        words = pc.ascii_split_whitespace(pa.array(run, pa.binary()).cast(pa.large_string()))
+        numbered = words.values.dictionary_encode()
+        distinct = _listed(numbered.dictionary.cast(pa.large_binary()))
+        ids = self.words.get(distinct)
+        self.words.put(distinct, ids, self._words)
+        # every word's ids one after the other: the place of each id among those of the distinct words
+        data = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = numbered.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        first = (np.cumsum(sizes) - sizes)[at] - (ends - each)
+        found = data[np.arange(len(at) and ends[-1]) + np.repeat(first, each)]
+        cuts = np.concatenate([[0], ends])[words.offsets.to_numpy()].tolist()
         for start, end in zip(cuts, cuts[1:], strict=False):
-            yield b"".join(ids[start:end])
+            yield found[start:end].tobytes()
+
+
+def _listed(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
@@ -194,7 +224,7 @@ def pieces(
             if rows:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), schema.types)), schema=schema)
 
-    cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(cut, PIECES)
+    cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(releasing(cut), PIECES)
     return kept(cut_up.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 
