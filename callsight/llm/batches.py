@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache, kept, text_bytes, worker_state
+from callsight.llm.common import WordCache, kept, release, releasing, text_bytes, worker_state
 
 BATCH_WORDS = 500_000
 BUCKET_KEYS = 2_000_000
@@ -103,7 +103,7 @@ def word_batches(docs: DataFrame, part_of: Callable[[int | None], int] | None =
             yield pa.RecordBatch.from_pylist([rest.row()], schema=BATCH)
 
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), text_mark().alias("mark"))
-    rows = told.mapInArrow(fill, BATCH_DDL)
+    rows = told.mapInArrow(releasing(fill), BATCH_DDL)
     return kept(rows.withColumn("batch", F.monotonically_increasing_id()), "batches")
 
 
@@ -177,8 +177,13 @@ def total_counts(
             }
         )
 
-    sent = batches.mapInArrow(send, "bucket int, batch long, keys binary, counts binary")
-    return kept(sent.groupBy("bucket").applyInArrow(add_up, "batch long, bucket int, totals binary"), "totals")
+    def bucket_totals(part: pa.Table) -> pa.Table:
+        answers = add_up(part)
+        release()
+        return answers
+
+    sent = batches.mapInArrow(releasing(send), "bucket int, batch long, keys binary, counts binary")
+    return kept(sent.groupBy("bucket").applyInArrow(bucket_totals, "batch long, bucket int, totals binary"), "totals")
 
 
 def filled_keys(totals: DataFrame, classes: int) -> list[int]:

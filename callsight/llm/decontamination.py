@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsight.llm.common import kept, text_bytes, worker_state
+from callsight.llm.common import kept, release, text_bytes, worker_state
 
 WINDOW = 13
 SHARD_WORDS = 1 << 19
@@ -271,6 +271,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
             worker_state("decontamination", dict)  # lets go of another operator's
             held.append(Phrases(shared.value))
         found = search_texts(texts.to_pylist(), held[0])
+        release()  # the indexes are gone
         return pa.StructArray.from_arrays(
             [
                 pa.array([n for n, _, _ in found], pa.int64()),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm import batches as B
-from callsight.llm.common import kept
+from callsight.llm.common import kept, releasing
 
 ORDER = 2
 HELD_OUT = 10  # one in so many documents is left out of the counts
@@ -239,7 +239,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     chosen = F.col("part") == LEARNING if LEARNING in seen else F.col("part") != HELD
     learning = B.with_totals(rows.where(chosen), totals)
-    mix = _learned(kept(learning.mapInArrow(events, "size long, base binary, ratios binary, levels binary"), "learning"), order)
+    mix = _learned(kept(learning.mapInArrow(releasing(events), "size long, base binary, ratios binary, levels binary"), "learning"), order)
 
     def scores(batches):
         for batch in batches:
@@ -262,6 +262,6 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 )
 
     return B.with_totals(rows, totals).mapInArrow(
-        scores,
+        releasing(scores),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

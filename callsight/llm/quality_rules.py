@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsight.llm.common import WordCache, text_bytes, worker_state
+from callsight.llm.common import WordCache, releasing, text_bytes, worker_state
 
 BUCKETS = 4096
 COMMON = 64
@@ -109,7 +109,7 @@ def references(docs: DataFrame) -> dict[str, Reference]:
 
     counts = (
         docs.select(language().alias("lang"), text_bytes().alias("text"))
-        .mapInArrow(count, "lang string, slot int, n long")
+        .mapInArrow(releasing(count), "lang string, slot int, n long")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
     )

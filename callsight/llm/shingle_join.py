@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm import batches as B
-from callsight.llm.common import kept
+from callsight.llm.common import kept, releasing
 from callsight.llm.components import components
 
 SHINGLE = 4
@@ -143,7 +143,7 @@ def sets_of(docs: DataFrame, least: int) -> DataFrame:
                     schema=SET,
                 )
 
-    return kept(B.with_totals(rows, totals).mapInArrow(emit, SET_DDL), "sets")
+    return kept(B.with_totals(rows, totals).mapInArrow(releasing(emit), SET_DDL), "sets")
 
 
 def clusters(sets: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def links_in_clusters(sets: DataFrame, of: DataFrame, least: int) -> DataFrame:
                     sets_.append(np.frombuffer(row["shingles"].to_pybytes(), np.uint64))
         yield from close()
 
-    return placed.mapInArrow(join, "a binary, b binary")
+    return placed.mapInArrow(releasing(join), "a binary, b binary")
 
 
 def groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
