@@ -34,6 +34,16 @@ def over_tasks(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance")
 
 
+ROWS_PER_TASK = 25_000  # of events: some seconds of work where each is parsed as JSON
+
+
+def events_over_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events dealt out by their number. Tasks of so many bytes are few and long, as events are small
+    and their parsing is not, and some cores wait for the last of them."""
+    rows = table(spark, sf_dir, "events")
+    return rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
 _MODELS = "array(" + ", ".join(f"'{m}'" for m in MODELS) + ")"
 
 
@@ -295,7 +305,7 @@ def wire_events(spark: SparkSession, sf_dir: str, damaged: str = "true") -> Data
         f"when event_id % 40 = {k} and {damaged if k in DEAD_KINDS else 'true'} then {e}" for k, e in DAMAGE.items()
     )
     return (
-        over_tasks(table(spark, sf_dir, "events"))
+        events_over_tasks(spark, sf_dir)
         .selectExpr("event_id", "ts", f"{CREATED} as created_at", body)
         .selectExpr("event_id", "ts", f"case {kinds} else body end as value")
     )
